@@ -1 +1,158 @@
-"""To do."""
+"""Documents as catalogue entries, benchmark passages as questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlight.functions import tokens
+from ledgerlight.operators import retrieval as k
+from ledgerlight.operators.scale import attach, broadcast_if_small
+from ledgerlight.plans.bindings import sql_ratio as q
+from ledgerlight.plans.quality import SQL_TOKENS
+from ledgerlight.plans.registry import query
+
+TOP = 8
+# Words of a passage used to find the documents that may hold it.
+ANCHOR = 5
+
+
+def catalogue(t):
+    """Entry name is the first line, the description the whole text."""
+    return t("documents").select(
+        F.col("doc_id").alias("entry"), F.col("doc_id").alias("position"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"),
+        F.col("text").alias("description"), F.concat_ws(" ", "lang", "source").alias("columns"),
+    )
+
+
+def questions(t):
+    return t("benchmark").select(F.col("item_id").alias("question_id"), "text")
+
+
+def edges(t):
+    """A document with the text of an earlier one refers to the earliest."""
+    docs = t("documents").select(F.col("doc_id").alias("entry"), F.md5("text").alias("key"))
+    firsts = docs.groupBy("key").agg(F.min("entry").alias("reference"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return attach(docs, firsts, ["key"]).where("reference < entry").select("entry", "reference")
+
+
+def words_of(text):
+    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
+
+
+def gold(t):
+    """Documents that hold the passage of the question verbatim.
+
+    Passage and documents meet on five consecutive words, the second to the sixth of
+    the passage; the text itself decides. Shorter passages use all inner words.
+    """
+    asked = questions(t).withColumn("w", words_of(F.col("text")))
+    anchored = asked.select(
+        "question_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, ANCHOR), " ").alias("anchor")
+    )
+    w = F.col("w")
+    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, ANCHOR), " "))
+    runs = t("documents").withColumn("w", words_of(F.col("text"))).select("doc_id", F.explode(F.array_distinct(spots)).alias("anchor"))
+    near = runs.join(broadcast_if_small(anchored), "anchor").select("question_id", "doc_id", "passage")
+    texts = t("documents").select("doc_id", "text")
+    return near.join(texts, "doc_id").where(F.contains("text", "passage")).select("question_id", F.col("doc_id").alias("entry"))
+
+
+def allowed(t):
+    return t("labels").select(F.col("doc_id").alias("entry"))
+
+
+def doc_name(doc_id):
+    return F.concat(F.lit("doc_"), doc_id.cast("string"))
+
+
+PARTS = (("split_part(text, chr(10), 1)", 3), ("text", 2), ("lang || ' ' || source", 1))
+SQL_TOP = f"""WITH qt AS (SELECT item_id AS question_id, UNNEST({SQL_TOKENS.format('text')}) AS token FROM benchmark),
+  dt AS ({" UNION ALL ".join(f"SELECT doc_id AS entry, UNNEST({SQL_TOKENS.format(e)}) AS token, {w} AS weight FROM documents" for e, w in PARTS)}),
+  sc AS (SELECT question_id, entry, SUM(weight)::DOUBLE AS score FROM qt JOIN dt USING (token) GROUP BY 1, 2),
+  top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, entry) AS place FROM sc) WHERE place <= {TOP}),
+  stop AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, entry) AS place
+    FROM sc WHERE entry IN (SELECT doc_id FROM labels)) WHERE place <= {TOP}),
+  edge AS (SELECT entry, reference FROM (SELECT doc_id AS entry, MIN(doc_id) OVER (PARTITION BY text) AS reference FROM documents) WHERE reference < entry),
+  ex AS (SELECT question_id, entry FROM top UNION SELECT question_id, reference FROM top JOIN edge USING (entry)
+    UNION SELECT question_id, edge.entry FROM top JOIN edge ON top.entry = edge.reference),
+  gold AS (SELECT item_id AS question_id, doc_id AS entry FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+
+
+@query("fold_tokens", f"""WITH t AS (SELECT doc_id, {SQL_TOKENS.format('text')} AS x FROM documents)
+  SELECT doc_id, len(x) AS n_tokens, array_to_string(list_sort(x), ' ') AS tokens FROM t""")
+def fold_tokens(t):
+    x = t("documents").select("doc_id", tokens(F.col("text")).alias("x"))
+    return x.select("doc_id", F.size("x").cast("long").alias("n_tokens"), F.array_join(F.array_sort("x"), " ").alias("tokens"))
+
+
+@query("lexical_topk", SQL_TOP + " SELECT * FROM top")
+def lexical_topk(t):
+    return k.lexical_topk(questions(t), catalogue(t), TOP)
+
+
+@query("scoped_candidates", SQL_TOP + " SELECT * FROM stop")
+def scoped_candidates(t):
+    return k.lexical_topk(questions(t), catalogue(t), TOP, candidates=allowed(t))
+
+
+@query("fk_expand", SQL_TOP + " SELECT * FROM ex")
+def fk_expand(t):
+    return k.fk_expand(lexical_topk(t), edges(t))
+
+
+@query("full_baseline", SQL_TOP + """ SELECT question_id, (SELECT COUNT(*) FROM documents) AS n_context, COUNT(*) AS n_gold, COUNT(*) AS n_found
+  FROM gold WHERE entry IN (SELECT doc_id FROM documents) GROUP BY 1""")
+def full_baseline(t):
+    # The full context is the same for every question, so only its size is attached.
+    size = t("documents").agg(F.count(F.lit(1))).scalar()
+    marked = gold(t).join(catalogue(t).select("entry", F.lit(1).alias("here")), "entry", "left")
+    return marked.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("here").alias("n_found")).withColumn("n_context", size)
+
+
+@query("full_cover_recall", SQL_TOP + f""", g AS (SELECT question_id, COUNT(*) FILTER (WHERE (question_id, entry) NOT IN (SELECT (question_id, entry) FROM ex)) AS miss
+    FROM gold GROUP BY 1), c AS (SELECT question_id, COUNT(*) AS n FROM ex GROUP BY 1)
+  SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE miss = 0) AS full_hits, {q('COUNT(*) FILTER (WHERE miss = 0)', 'COUNT(*)')} AS recall,
+    {q('SUM(COALESCE(n, 0))', 'COUNT(*)')} AS mean_context FROM g LEFT JOIN c USING (question_id)""")
+def full_cover_recall(t):
+    return k.full_cover_recall(gold(t), fk_expand(t))
+
+
+@query("miss_causes", SQL_TOP + """, cat AS (SELECT 'doc_' || doc_id AS name, doc_id FROM documents),
+  gn AS (SELECT question_id, CASE WHEN lang = 'en' THEN 'doc_' ELSE 'DOC_' END || entry AS name FROM gold JOIN documents ON entry = doc_id),
+  got AS (SELECT question_id, 'doc_' || entry AS name FROM stop)
+  SELECT question_id, name AS entry, CASE WHEN name IN (SELECT name FROM cat) AND name NOT IN (SELECT 'doc_' || doc_id FROM labels) THEN 'not_permitted'
+    WHEN name NOT IN (SELECT name FROM cat) AND lower(name) IN (SELECT lower(name) FROM cat) THEN 'case_mismatch' ELSE 'other' END AS cause
+  FROM gn WHERE (question_id, name) NOT IN (SELECT (question_id, name) FROM got)""")
+def miss_causes(t):
+    # Gold names outside English are written in capitals, as an unquoted name would differ in case.
+    langs = t("documents").select(F.col("doc_id").alias("entry"), "lang")
+    plain = doc_name(F.col("entry"))
+    named = gold(t).join(langs, "entry").select("question_id", F.when(F.col("lang") == "en", plain).otherwise(F.upper(plain)).alias("entry"))
+    got = scoped_candidates(t).select("question_id", plain.alias("entry"))
+    return k.miss_causes(named, got, catalogue(t).select(plain.alias("entry")), allowed(t).select(plain.alias("entry")))
+
+
+def grants(t):
+    """Error events grant a table; a high value grants all of them."""
+    name = F.when(F.col("value") > 200, k.ALL_TABLES).otherwise(doc_name(F.get_json_object("props", "$.k").cast("long") * 20))
+    return t("events").where("event_type = 'error'").select("user_id", name.alias("entry"))
+
+
+SQL_GRANTS = """WITH g AS (SELECT DISTINCT user_id, CASE WHEN value > 200 THEN '*' ELSE 'doc_' || (CAST(json_extract(props, '$.k') AS BIGINT) * 20) END AS entry
+    FROM events WHERE event_type = 'error'), c AS (SELECT 'doc_' || doc_id AS entry FROM documents), u AS (SELECT DISTINCT user_id FROM events),
+  p AS (SELECT user_id, bool_or(entry = '*') AS star, COUNT(*) FILTER (WHERE entry IN (SELECT entry FROM c)) AS n FROM g GROUP BY 1)"""
+
+
+@query("grant_tables", SQL_GRANTS + """
+  SELECT user_id, CASE WHEN star THEN 'all' WHEN n > 0 THEN 'listed' ELSE 'none' END AS scope,
+    CASE WHEN star THEN (SELECT COUNT(*) FROM documents) ELSE COALESCE(n, 0) END AS n_tables FROM u LEFT JOIN p USING (user_id)""")
+def grant_tables(t):
+    return k.grant_scope(t("events"), grants(t), catalogue(t).select(doc_name(F.col("entry")).alias("entry")))
+
+
+@query("permitted_requests", SQL_GRANTS + """, r AS (SELECT event_id, user_id, 'doc_' || CAST(json_extract(props, '$.k') AS BIGINT) AS entry FROM events)
+  SELECT event_id, user_id, entry FROM r WHERE entry IN (SELECT entry FROM c)
+    AND (user_id IN (SELECT user_id FROM g WHERE entry = '*') OR (user_id, entry) IN (SELECT (user_id, entry) FROM g))""")
+def permitted_requests(t):
+    asked = t("events").select("event_id", "user_id", doc_name(F.get_json_object("props", "$.k").cast("long")).alias("entry"))
+    return k.permitted(asked, grants(t), catalogue(t).select(doc_name(F.col("entry")).alias("entry"))).select("event_id", "user_id", "entry")
