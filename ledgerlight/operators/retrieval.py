@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import ratio, tokens
@@ -15,6 +19,8 @@ ALL_TABLES = "*"
 GATE = 0.95
 # Up to this many questions are carried to the entries; more are joined by token.
 INLINE_QUESTIONS = 2_000
+# ... as long as questions times their words stays below this many table cells.
+INLINE_CELLS = 20_000_000
 
 
 def question_tokens(questions: DataFrame, question: str = "question_id", text: str = "text") -> DataFrame:
@@ -34,32 +40,53 @@ def lexical_topk(
     asked = question_tokens(questions)
     if candidates is not None:
         catalogue = catalogue.join(candidates.select("entry"), "entry", "left_semi")
-    few = asked.limit(inline_limit + 1).count() <= inline_limit
-    scored = _score_in_place(asked, catalogue) if few else _score_by_token(asked, catalogue)
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).first()
+    few = size["n"] <= inline_limit and size["n"] * size["words"] <= INLINE_CELLS
+    scored = _score_in_place(asked.collect(), catalogue, k) if few else _score_by_token(asked, catalogue)
     return top_per_group(scored, ["question_id"], [F.desc("score"), F.col("position")], k, "place").select(
         "question_id", "entry", "score", F.col("place").cast("long").alias("place")
     )
 
 
-def _score_in_place(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Score every entry against the few questions where it lies; only top rows are shuffled."""
-    packed = asked.where(F.size("tokens") > 0).agg(
-        F.struct(
-            F.collect_list(F.struct("question_id", "tokens")).alias("asked"),
-            F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("vocabulary"),
-        )
-    ).scalar()
-    known = catalogue.withColumn("_q", packed)
-    for part in WEIGHTS:
-        known = known.withColumn(f"_{part}", F.array_intersect(tokens(F.col(part)), F.col("_q.vocabulary")))
-
-    def score(q: Column) -> Column:
-        parts = [F.lit(w) * F.size(F.array_intersect(F.col(f"_{p}"), q["tokens"])) for p, w in WEIGHTS.items()]
-        total = parts[0] + parts[1] + parts[2]
-        return F.struct(q["question_id"].alias("question_id"), total.alias("score"))
-
-    hits = F.filter(F.transform("_q.asked", score), lambda s: s["score"] > 0)
-    return known.select("entry", "position", F.inline(hits))
+def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
+    """Score entries against a few questions where they lie and keep the best of each batch.
+
+    The weight table (token by question) is small and checked by the caller. Each Arrow
+    batch sends on at most ``k`` rows per question, so what is shuffled does not grow
+    with the entries of a batch.
+    """
+    vocabulary: dict[str, int] = {}
+    for row in asked:
+        for token in row["tokens"]:
+            vocabulary.setdefault(token, len(vocabulary))
+    table = np.zeros((len(vocabulary) + 1, len(asked)), dtype=np.float32)
+    for i, row in enumerate(asked):
+        table[[vocabulary[w] for w in row["tokens"]], i] = 1.0
+    shared = catalogue.sparkSession.sparkContext.broadcast((vocabulary, table, np.array([r["question_id"] for r in asked])))
+    parts = list(WEIGHTS.items())
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, weights, ids = shared.value
+        for batch in batches:
+            total = np.zeros((len(batch), len(ids)))
+            for part, weight in parts:
+                for i, words in enumerate(batch[part]):
+                    rows = [index[w] for w in words if w in index]
+                    if rows:
+                        total[i] += weight * weights[rows].sum(axis=0)
+            position = batch["position"].to_numpy()
+            for j, question in enumerate(ids):
+                best = np.lexsort((position, -total[:, j]))[:k]
+                best = best[total[best, j] > 0]
+                yield pd.DataFrame({
+                    "question_id": question, "entry": batch["entry"].to_numpy()[best], "position": position[best],
+                    "score": total[best, j],
+                })
+
+    kinds = dict(catalogue.dtypes)
+    schema = f"question_id long, entry {kinds['entry']}, position {kinds['position']}, score double"
+    worded = catalogue.select("entry", "position", *[tokens(F.col(p)).alias(p) for p, _ in parts])
+    return worded.mapInPandas(score, schema)
 
 
 def _score_by_token(asked: DataFrame, catalogue: DataFrame) -> DataFrame:

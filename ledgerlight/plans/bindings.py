@@ -260,5 +260,5 @@ SQL_PAY = SQL_SALES + """, pay AS (
   FROM sales)"""
 SQL_TRACES = """traces AS (
   SELECT event_id AS trace_id, user_id AS query_id, event_type AS agent,
-    CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, ts AS at, value AS duration,
+    CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, ts AS "at", value AS duration,
     CAST(json_extract(props, '$.k') AS BIGINT) AS calls FROM events)"""

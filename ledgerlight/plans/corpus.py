@@ -1 +1,228 @@
-"""To do."""
+"""Record checks, deduplication and splits over conversations and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlight.functions import strip_fences
+from ledgerlight.operators import corpus as k
+from ledgerlight.plans.registry import query
+
+TURN_SKILLS = {2: "text-to-sql", 3: "data-analysis", 4: "supervisor-routing", 5: "insight-generation", 6: "error-reflection"}
+
+
+def records(t):
+    """Conversations as chat records; the number of messages stands for the skill."""
+    skill = F.create_map(*[x for n, s in TURN_SKILLS.items() for x in (F.lit(n).cast("long"), F.lit(s))])
+    return k.chat_records(t("conversations"), "conv_id").withColumn(
+        "skill_type", F.coalesce(F.try_element_at(skill, F.col("n_messages")), F.lit("other"))
+    )
+
+
+SQL_RECORDS = """WITH rec AS (SELECT conv_id, COUNT(*) AS n, SUM(octet_length(encode(text)))::BIGINT AS n_bytes,
+    MAX(CASE WHEN turn = 0 THEN role END) AS r0, MAX(CASE WHEN turn = 1 THEN role END) AS r1, MAX(CASE WHEN turn = 2 THEN role END) AS r2,
+    MAX(CASE WHEN turn = 0 THEN text END) AS c0, MAX(CASE WHEN turn = 1 THEN text END) AS c1, MAX(CASE WHEN turn = 2 THEN text END) AS c2,
+    CASE COUNT(*) WHEN 2 THEN 'text-to-sql' WHEN 3 THEN 'data-analysis' WHEN 4 THEN 'supervisor-routing' WHEN 5 THEN 'insight-generation'
+      WHEN 6 THEN 'error-reflection' ELSE 'other' END AS skill_type FROM conversations GROUP BY 1),
+  chk AS (SELECT *, CASE WHEN skill_type = 'other' THEN 'unknown skill_type: other' WHEN n <> 3 THEN 'messages must hold exactly 3 items'
+    WHEN COALESCE(r0, '') <> 'system' THEN 'messages[0] must be system' WHEN COALESCE(trim(c0), '') = '' THEN 'messages[0] is empty'
+    WHEN COALESCE(r1, '') <> 'user' THEN 'messages[1] must be user' WHEN COALESCE(trim(c1), '') = '' THEN 'messages[1] is empty'
+    WHEN COALESCE(r2, '') <> 'assistant' THEN 'messages[2] must be assistant' WHEN COALESCE(trim(c2), '') = '' THEN 'messages[2] is empty' END AS reason FROM rec)"""
+
+
+@query("chat_shape", SQL_RECORDS + " SELECT conv_id, skill_type, reason FROM chk")
+def chat_shape(t):
+    return records(t).select("conv_id", "skill_type", k.chat_reason(F.col("skill_type")).alias("reason"))
+
+
+@query("accept_stats", SQL_RECORDS + " SELECT skill_type, COUNT(*) AS total, COUNT(*) FILTER (WHERE reason IS NULL) AS valid FROM chk GROUP BY 1")
+def accept_stats(t):
+    return k.accept_stats(chat_shape(t), "skill_type")
+
+
+@query("accept_reject", SQL_RECORDS + """ SELECT conv_id, skill_type, reason, c1 AS user_text, reason IS NULL AS accepted FROM chk""")
+def accept_reject(t):
+    df = records(t).withColumn("reason", k.chat_reason(F.col("skill_type")))
+    return df.select("conv_id", "skill_type", "reason", F.col("content1").alias("user_text"), F.col("reason").isNull().alias("accepted"))
+
+
+PROMPTS = {"en": "You are a PostgreSQL specialist. ", "fr": "You use pandas on a DataFrame. ", "de": "You are the Supervisor Agent. ",
+           "es": "You are a business intelligence analyst. "}
+
+
+def by_lang(values):
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("lang")]
+
+
+def sql_by_lang(values):
+    return "CASE lang " + " ".join("WHEN '%s' THEN '%s'" % (a, v.replace("'", "''")) for a, v in values.items()) + " END"
+
+
+@query("skill_from_prompt", f"""SELECT doc_id, CASE lang WHEN 'en' THEN 'text-to-sql' WHEN 'fr' THEN 'data-analysis' WHEN 'de' THEN 'supervisor-routing'
+    WHEN 'es' THEN 'insight-generation' ELSE 'unknown' END AS skill FROM documents""")
+def skill_from_prompt(t):
+    prompt = F.concat(by_lang(PROMPTS), F.col("text"))
+    return t("documents").select("doc_id", k.skill_from_prompt(prompt).alias("skill"))
+
+
+FENCED = "'```' || CASE lang WHEN 'en' THEN 'sql' WHEN 'fr' THEN 'python' ELSE '' END || chr(10) || text || chr(10) || '```'"
+
+
+@query("strip_fences", rf"""SELECT doc_id, md5(regexp_replace(regexp_replace({FENCED}, '```(?:json|python|sql)?\s*|\s*```', '', 'g'), '^\s+|\s+$', '', 'g')) AS clean
+  FROM documents""")
+def fences(t):
+    mark = F.when(F.col("lang") == "en", "sql").when(F.col("lang") == "fr", "python").otherwise("")
+    fenced = F.concat(F.lit("```"), mark, F.lit("\n"), F.col("text"), F.lit("\n```"))
+    return t("documents").select("doc_id", F.md5(strip_fences(fenced)).alias("clean"))
+
+
+STARTS = {"en": "SELECT ", "fr": "with x ", "de": "DROP TABLE ", "es": "select 1; delete "}
+
+
+@query("forbidden_words", rf"""WITH s AS (SELECT doc_id, {sql_by_lang(STARTS)} || text AS x FROM documents)
+  SELECT doc_id, CASE WHEN NOT regexp_matches(x, '^(with|select)\b', 'i') THEN 'sql must start with SELECT or WITH'
+    WHEN regexp_matches(x, '\b(insert|update|delete|drop|alter|truncate|grant|revoke|create)\b', 'i') THEN 'sql contains forbidden mutation statement' END AS reason FROM s""")
+def forbidden_words(t):
+    return t("documents").select("doc_id", k.sql_reason(F.concat(by_lang(STARTS), F.col("text"))).alias("reason"))
+
+
+CODES = {"en": "import pandas as pd\ndf = pd.DataFrame()\n# ", "fr": "df = pd.DataFrame()\n# ", "de": "x = 1\n# ", "es": "import numpy as np\ndf['a'] = np.log(df.b)\n# "}
+
+
+@query("import_contract", rf"""WITH s AS (SELECT doc_id, {sql_by_lang(CODES)} || text AS x FROM documents)
+  SELECT doc_id, CASE WHEN NOT contains(x, 'df') THEN 'no df reference'
+    WHEN regexp_matches(x, '\bpd\.') AND NOT regexp_matches(x, '\bimport\s+pandas\s+as\s+pd\b') THEN 'uses ''pd'' without import'
+    WHEN regexp_matches(x, '\bnp\.') AND NOT regexp_matches(x, '\bimport\s+numpy\s+as\s+np\b') THEN 'uses ''np'' without import'
+    WHEN regexp_matches(x, '\bstats\.') AND NOT regexp_matches(x, '\bfrom\s+scipy\s+import\s+stats\b') THEN 'uses ''stats'' without import' END AS reason FROM s""")
+def import_contract(t):
+    return t("documents").select("doc_id", k.import_reason(F.concat(by_lang(CODES), F.col("text"))).alias("reason"))
+
+
+def plan_documents(t):
+    """One plan per event; its agents and numbers follow from the event."""
+    n = F.get_json_object("props", "$.k").cast("int")
+    second = F.when(F.col("event_type") == "view", "python").when(F.col("event_type") == "click", "viz").otherwise("insight")
+    skill = F.create_map(*[F.lit(x) for kv in k.AGENT_SKILLS.items() for x in kv])
+    task = F.when(n > 90, "SELECT a FROM b WHERE c").otherwise(F.concat(F.lit("Sum revenue of user "), F.col("user_id").cast("string")))
+
+    def step(number, agent, task, deps):
+        return F.struct(number.alias("step"), agent.alias("agent"), task.alias("task"), deps.alias("depends_on"),
+                        F.when(n > 80, "visualization").otherwise(skill[agent]).alias("skill_type"))
+
+    first = step(F.lit(1), F.lit("sql"), task, F.when(n < 10, F.array(second)).otherwise(F.array().cast("array<string>")))
+    other = step(F.when(n < 20, 3).otherwise(2), second, F.lit("Continue"), F.array(F.when(n < 30, "viz").otherwise("sql")))
+    last = step(F.lit(3), F.lit("insight"), F.lit("Conclude"), F.array(F.lit("sql")))
+    steps = F.when(F.col("event_type") == "error", F.array(first, other, last)).otherwise(F.array(first, other))
+    body = F.to_json(F.struct(F.when(n == 50, "").otherwise("Plan").alias("plan_summary"), steps.alias("steps")))
+    return t("events").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("plan"))
+
+
+@query("plan_audit")
+def plan_audit(t):
+    df = plan_documents(t).withColumn("p", k.parsed(F.col("plan"), k.PLAN_SCHEMA))
+    return df.select("event_id", F.array_join(k.plan_reasons(F.col("p")), "; ").alias("violations"))
+
+
+def insight_documents(t):
+    """One insight per event; its numbers are the value of the event."""
+    n = F.get_json_object("props", "$.k").cast("int")
+    value = F.col("value").cast("string")
+    finding = F.when(n < 10, "Revenue rose").when(n < 20, F.concat(F.lit("Rose by "), value, F.lit("%. It fell before. Again."))).otherwise(
+        F.concat(F.lit("Revenue of user rose by "), value, F.lit("%")))
+    pair = F.concat(value, F.lit(" vs "), n.cast("string"))
+    evidence = F.when(n < 40, F.array(pair)).when(n < 60, F.array(F.concat(value, F.lit("% vs 3%")), F.lit("rank 1"))).otherwise(F.array(pair, F.lit("rank 1")))
+    kind = F.when(F.col("event_type") == "error", "positive_outlier").when(F.col("event_type") == "view", "negative_outlier").otherwise("none")
+    detail = F.when(n < 70, F.lit("sudden")).otherwise(F.lit(None).cast("string"))
+    action = F.when(n < 80, F.concat(F.lit("Review user "), F.col("user_id").cast("string"))).otherwise("Perhaps wait")
+    confidence = F.when(n < 50, "low").otherwise("high")
+    body = F.struct(finding.alias("finding"), evidence.alias("evidence"), F.struct(kind.alias("type"), detail.alias("detail")).alias("anomaly"),
+                    action.alias("action"), confidence.alias("confidence"))
+    return t("events").select("event_id", F.to_json(body).alias("insight"))
+
+
+@query("insight_audit")
+def insight_audit(t):
+    df = insight_documents(t).withColumn("i", k.parsed(F.col("insight"), k.INSIGHT_SCHEMA))
+    return df.select("event_id", F.array_join(k.insight_reasons(F.col("i")), "; ").alias("violations"), k.doubtful_anomaly(F.col("i")).alias("warned"))
+
+
+@query("absolute_pair", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) < 40 OR CAST(json_extract(props, '$.k') AS BIGINT) >= 60 AS has_pair FROM events""")
+def absolute_pair(t):
+    df = insight_documents(t).withColumn("i", k.parsed(F.col("insight"), k.INSIGHT_SCHEMA))
+    return df.select("event_id", k.has_absolute_pair(F.col("i.evidence")).alias("has_pair"))
+
+
+@query("error_record_audit", """SELECT event_id, CASE event_type WHEN 'view' THEN 'missing or empty fix_strategy' WHEN 'error' THEN 'invalid error_category: error'
+    WHEN 'click' THEN 'invalid json' END AS reason FROM events""")
+def error_record_audit(t):
+    kind = F.col("event_type")
+    body = F.to_json(F.struct(
+        F.col("props").alias("root_cause"), F.when(kind == "error", "error").otherwise("sql_logic").alias("error_category"),
+        F.when(kind == "view", " ").otherwise("retry").alias("fix_strategy"), F.lit("context").alias("corrected_context"),
+    ))
+    text = F.when(kind == "click", F.substring(body, 1, 9)).otherwise(body)
+    return t("events").select("event_id", k.error_record_reason(text).alias("reason"))
+
+
+@query("token_estimate", SQL_RECORDS + " SELECT conv_id, n_bytes // 4 AS tokens FROM rec")
+def token_estimate(t):
+    return records(t).select("conv_id", k.estimated_tokens(F.col("n_bytes")).alias("tokens"))
+
+
+@query("length_split", """WITH d AS (SELECT doc_id, octet_length(encode(text))::BIGINT // 4 AS tokens FROM documents)
+  SELECT doc_id, tokens, CASE WHEN tokens <= 3800 THEN 'kept' ELSE 'long' END AS part FROM d""")
+def length_split(t):
+    df = t("documents").select("doc_id", k.estimated_tokens(F.octet_length("text")).alias("tokens"))
+    return k.length_split(df, F.col("tokens"))
+
+
+@query("exact_dedup", """WITH d AS (SELECT doc_id, source, md5(source || '|||' || text) AS key FROM documents)
+  SELECT doc_id, source FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY doc_id) AS i FROM d) WHERE i = 1""")
+def exact_dedup(t):
+    df = t("documents").select("doc_id", "source", "text")
+    return k.exact_dedup(df, k.pair_key(F.col("source"), F.col("text")), "doc_id").select("doc_id", "source")
+
+
+SQL_SPLIT = """s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS i, COUNT(*) OVER (PARTITION BY lang) AS n FROM pool),
+  cut AS (SELECT *, GREATEST(round_even(n * 0.8, 0), 1) AS a, GREATEST(round_even(n * 0.1, 0), 1) AS z FROM s),
+  split AS (SELECT doc_id, lang, text, CASE WHEN i <= a THEN 'train' WHEN i <= a + z THEN 'valid' ELSE 'test' END AS split FROM cut)"""
+
+
+@query("stratified_split", f"WITH pool AS (SELECT * FROM documents), {SQL_SPLIT} SELECT doc_id, lang, split FROM split")
+def stratified_split(t):
+    return k.stratified_split(t("documents").select("doc_id", "lang"), "lang", "doc_id")
+
+
+@query("train_only_rows", f"""WITH f AS (SELECT d.*, COALESCE(toxic = 1, FALSE) AS forced FROM documents d LEFT JOIN labels USING (doc_id)),
+  pool AS (SELECT * FROM f WHERE NOT forced), {SQL_SPLIT}
+  SELECT doc_id, lang, split FROM split UNION ALL SELECT doc_id, lang, 'train' FROM f WHERE forced""")
+def train_only_rows(t):
+    df = t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
+    return k.stratified_split(df, "lang", "doc_id", train_only=F.col("toxic") == 1).select("doc_id", "lang", "split")
+
+
+@query("split_leak", f"""WITH pool AS (SELECT * FROM documents), {SQL_SPLIT}
+  SELECT md5(text) AS key, COUNT(*) AS n_rows, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM split GROUP BY 1 HAVING COUNT(DISTINCT split) > 1""")
+def split_leak(t):
+    df = t("documents").select("doc_id", "lang", F.md5("text").alias("key"))
+    return k.split_leaks(k.stratified_split(df, "lang", "doc_id"), "key")
+
+
+QUOTA = {"en": 500, "fr": 300, "de": 120, "es": 60}
+
+
+@query("quota_fill", """WITH c AS (SELECT * FROM (SELECT doc_id, lang, source, ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY doc_id) AS u FROM documents) WHERE u <= 15),
+    p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM c),
+    e AS (SELECT lang, COUNT(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+  SELECT doc_id, lang, source FROM p LEFT JOIN e USING (lang)
+  WHERE i <= CASE lang WHEN 'en' THEN 500 WHEN 'fr' THEN 300 WHEN 'de' THEN 120 WHEN 'es' THEN 60 ELSE 0 END - COALESCE(n, 0)""")
+def quota_fill(t):
+    docs = t("documents").select("doc_id", "lang", "source")
+    existing = t("labels").join(docs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_existing"))
+    return k.quota_fill(docs, "lang", "source", "doc_id", 15, QUOTA, existing)
+
+
+@query("corpus_card", """WITH d AS (SELECT lang, COUNT(*) AS n, SUM(octet_length(encode(text)))::BIGINT AS b FROM documents GROUP BY 1)
+  SELECT 'documents.parquet' AS file, SUM(n)::BIGINT AS n_rows, SUM(b)::BIGINT AS n_bytes, string_agg(lang || '=' || n, ', ' ORDER BY lang) AS mix FROM d""")
+def corpus_card(t):
+    return k.corpus_card(t("documents"), "text", "lang")
