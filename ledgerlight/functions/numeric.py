@@ -16,7 +16,17 @@ def rounded(col: Column, places: int = 2) -> Column:
 
 def half_even(col: Column, places: int = 2) -> Column:
     """Half-to-even rounding as a double (the data-frame rule)."""
-    return F.bround(col.cast("decimal(30,8)"), places).cast("double")
+    return F.bround(col.cast("double"), places)
+
+
+def exact(col: Column, places: int = 4) -> Column:
+    """Decimal of a double that stands for a number of at most ``places`` decimals.
+
+    Goes through a whole number: a direct cast prints and parses the double.
+    """
+    unit = F.lit(f"{10 ** -places:.{places}f}").cast(f"decimal({places},{places})")
+    whole = F.rint(col * 10**places).cast("long").cast("decimal(18,0)")
+    return (whole * unit).cast(f"decimal(18,{places})")
 
 
 def money(col: Column, places: int = 2) -> Column:

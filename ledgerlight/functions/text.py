@@ -30,8 +30,10 @@ FENCE = r"```(?:json|python|sql)?\s*|\s*```"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; đ becomes d."""
-    return F.translate(F.lower(text), _FROM + COMBINING_MARKS, _TO)
+    """Lower case without accents; đ becomes d. Plain ASCII text skips the letter map."""
+    lower = F.lower(text)
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, lower).otherwise(F.translate(lower, _FROM + COMBINING_MARKS, _TO))
 
 
 def tokens(text: Column) -> Column:

@@ -75,13 +75,16 @@ def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
                     if rows:
                         total[i] += weight * weights[rows].sum(axis=0)
             position = batch["position"].to_numpy()
-            for j, question in enumerate(ids):
+            picks = []
+            for j in range(len(ids)):
                 best = np.lexsort((position, -total[:, j]))[:k]
-                best = best[total[best, j] > 0]
-                yield pd.DataFrame({
-                    "question_id": question, "entry": batch["entry"].to_numpy()[best], "position": position[best],
-                    "score": total[best, j],
-                })
+                picks.append(best[total[best, j] > 0])
+            rows = np.concatenate(picks) if picks else np.array([], dtype=int)
+            cols = np.repeat(np.arange(len(ids)), [len(p) for p in picks])
+            yield pd.DataFrame({
+                "question_id": ids[cols], "entry": batch["entry"].to_numpy()[rows], "position": position[rows],
+                "score": total[rows, cols],
+            })
 
     kinds = dict(catalogue.dtypes)
     schema = f"question_id long, entry {kinds['entry']}, position {kinds['position']}, score double"

@@ -13,6 +13,7 @@ from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.bindings import sql_round as r
 from ledgerlight.plans.registry import query
+from ledgerlight.session import durable
 
 S = f"WITH {b.SQL_SALES}"
 H = f"WITH {b.SQL_HEADS}"
@@ -76,9 +77,9 @@ def two_years(t):
     def of(year):
         return F.sum(F.when(F.col("year") == year, F.col("amount")))
 
-    return b.sales(t, "customer").where(span).groupBy("nation").agg(
+    return durable(b.sales(t, "customer").where(span).groupBy("nation").agg(
         of(2000).alias("rev_current"), of(1999).alias("rev_previous")
-    )
+    ))
 
 
 @query("compare_periods", YEARS + f""", c AS (SELECT nation, cur, prev, CASE WHEN prev > 0 THEN
@@ -128,7 +129,7 @@ def baseline_multiple(t):
     months = b.heads(t).groupBy("payment", (F.col("year") * 100 + F.col("month")).alias("ym")).agg(
         F.count(F.lit(1)).alias("orders")
     )
-    out = anomaly.against_rest(months, "orders", ["payment"], 1.2)
+    out = anomaly.against_rest(durable(months), "orders", ["payment"], 1.2)
     return out.withColumns({c: rounded(F.col(c), 4) for c in ("baseline", "multiple", "deviation_pct")})
 
 
@@ -141,7 +142,7 @@ def spike_month(t):
     months = b.sales(t, "customer").where(span & (F.col("status") == "F")).groupBy("region", "month").agg(
         F.sum("amount").alias("x")
     )
-    return anomaly.against_rest(months, "x", ["region"], 1.2).select(
+    return anomaly.against_rest(durable(months), "x", ["region"], 1.2).select(
         "region", "month", money(F.col("x")).alias("revenue"), rounded(F.col("multiple"), 4).alias("multiple"), "is_spike"
     )
 
@@ -179,7 +180,7 @@ def refund_surge(t):
     months = b.sales(t, "order", "product").where(span & (F.col("return_flag") == "R")).groupBy("category", "month").agg(
         F.count(F.lit(1)).alias("refunds")
     )
-    return anomaly.against_rest(months, "refunds", ["category"], 1.5).select(
+    return anomaly.against_rest(durable(months), "refunds", ["category"], 1.5).select(
         "category", "month", "refunds", rounded(F.col("multiple"), 4).alias("multiple"), "is_spike"
     )
 
@@ -190,7 +191,7 @@ def refund_surge(t):
 def mix_shift(t):
     period = F.when(F.col("order_date") < F.lit("1998-04-01").cast("date"), "before").otherwise("from")
     counts = b.heads(t).groupBy(period.alias("period"), "payment").agg(F.count(F.lit(1)).alias("cnt"))
-    return w.share_of_total(counts, "cnt", ["period"], places=1)
+    return w.share_of_total(durable(counts), "cnt", ["period"], places=1)
 
 
 @query("below_threshold", f"""WITH {b.SQL_STOCK}
@@ -233,7 +234,7 @@ def writeoff_spike(t):
     quarters = b.movements(t).where("movement_type = 'write_off'").join(b.sites(t), "site_id").groupBy(
         "region", F.year("movement_date").cast("long").alias("yr"), F.quarter("movement_date").cast("long").alias("qtr")
     ).agg(F.count(F.lit(1)).alias("event_count"), F.sum("quantity").alias("total_qty"))
-    return anomaly.against_rest(quarters, "event_count", ["region"]).select(
+    return anomaly.against_rest(durable(quarters), "event_count", ["region"]).select(
         "region", "yr", "qtr", "event_count", "total_qty", rounded(F.col("multiple"), 4).alias("multiple")
     )
 
@@ -328,7 +329,7 @@ def salary_inversion(t):
   SELECT department, year, month, {r('x', 1)} AS avg_overtime, {r('x / baseline', 4)} AS multiple FROM k""")
 def overtime_surge(t):
     months = b.payroll(t).groupBy("department", "year", "month").agg(ratio(F.sum("overtime"), F.count("overtime")).alias("x"))
-    return anomaly.against_rest(months, "x", ["department", "year"]).select(
+    return anomaly.against_rest(durable(months), "x", ["department", "year"]).select(
         "department", "year", "month", rounded(F.col("x"), 1).alias("avg_overtime"),
         rounded(F.col("multiple"), 4).alias("multiple"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.functions import exact
 from ledgerlight.sources.tables import Tables
 
 # Share of the list price taken as cost; the tables hold no cost column.
@@ -27,7 +28,7 @@ CAPACITY_RATE = 4
 
 
 def amount():
-    return (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+    return exact(F.col("l_extendedprice") * (1 - F.col("l_discount")))
 
 
 def places(t: Tables) -> DataFrame:
@@ -80,7 +81,7 @@ def sales(t: Tables, *dims: str) -> DataFrame:
         df = df.join(members(t), "customer_id")
     if "product" in dims:
         df = df.join(items(t), "product_id").withColumn(
-            "cost", (F.lit(COST_RATE) * F.col("list_price") * F.col("quantity")).cast("decimal(18,4)")
+            "cost", exact(F.lit(COST_RATE) * F.col("list_price") * F.col("quantity"))
         )
     return df
 
@@ -93,7 +94,7 @@ def heads(t: Tables) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("payment"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
+        exact(F.col("o_totalprice"), 2).alias("total"),
         day.alias("order_date"),
         F.year(day).cast("long").alias("year"),
         F.quarter(day).cast("long").alias("quarter"),
@@ -163,9 +164,9 @@ def staff(t: Tables, dates: bool = False) -> DataFrame:
 def payroll(t: Tables) -> DataFrame:
     """Order lines read as pay records of the ordering customer."""
     df = sales(t, "customer")
-    base = F.col("gross").cast("decimal(18,4)")
-    bonus = (F.col("gross") * F.col("tax")).cast("decimal(18,4)")
-    deduction = (F.col("gross") * F.col("discount")).cast("decimal(18,4)")
+    base = exact(F.col("gross"))
+    bonus = exact(F.col("gross") * F.col("tax"))
+    deduction = exact(F.col("gross") * F.col("discount"))
     return df.select(
         F.col("customer_id").alias("employee_id"),
         F.col("nation").alias("department"),

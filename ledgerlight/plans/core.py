@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import money, ratio, rounded
 from ledgerlight.operators import aggregates, relational
-from ledgerlight.operators.scale import running, scalars
 from ledgerlight.plans import bindings as b
 from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.bindings import sql_round as r
 from ledgerlight.plans.registry import query
+from ledgerlight.session import durable
 
 S = f"WITH {b.SQL_SALES} "
 H = f"WITH {b.SQL_HEADS} "
@@ -93,15 +93,16 @@ def null_defaults(t):
 
 
 @query("derived_pay", PAY + f"""
-  SELECT employee_id, {m('SUM(net)')} AS net, {m('SUM(base * overtime) * 1.5 / 160')} AS overtime_cost,
+  SELECT employee_id, {m('SUM(net)')} AS net, {m('CAST(SUM(base * overtime) AS DECIMAL(24,4)) * 0.009375::DECIMAL(7,6)')} AS overtime_cost,
     {m('SUM(base) * 0.15')} AS overhead, {r('CAST(SUM(base) AS DOUBLE) * 0.20::DOUBLE / 12')} AS carrying_cost
   FROM pay GROUP BY 1""")
 def derived_pay(t):
-    # 160 paid hours a month, overtime at 1.5 times, 15% overhead, 20% carrying cost a year.
+    # 160 paid hours a month, overtime at 1.5 times (1.5 / 160), 15% overhead, 20% carrying cost a year.
+    overtime_rate = F.lit("0.009375").cast("decimal(7,6)")
     pay = b.payroll(t).withColumn("hours_pay", F.col("base") * F.col("overtime").cast("decimal(10,0)"))
     return pay.groupBy("employee_id").agg(
         money(F.sum("net")).alias("net"),
-        F.round(F.sum("hours_pay").cast("double") * 1.5 / 160, 2).alias("overtime_cost"),
+        money(F.sum("hours_pay").cast("decimal(24,4)") * overtime_rate).alias("overtime_cost"),
         money(F.sum("base") * F.lit("0.15").cast("decimal(4,2)")).alias("overhead"),
         rounded(F.sum("base").cast("double") * 0.20 / 12).alias("carrying_cost"),
     )
@@ -562,7 +563,7 @@ def chisq_uniform(t):
   FROM k""")
 def gini(t):
     spend = b.heads(t).groupBy("customer_id").agg(F.sum("total").alias("x"))
-    return aggregates.gini(spend, "x", "customer_id")
+    return aggregates.gini(durable(spend), "x", "customer_id")
 
 
 @query("lorenz", H + f""", v AS (SELECT customer_id, SUM(total) AS x FROM heads GROUP BY 1)
@@ -571,7 +572,7 @@ def gini(t):
   FROM v""")
 def lorenz(t):
     spend = b.heads(t).groupBy("customer_id").agg(F.sum("total").alias("x"))
-    return aggregates.lorenz(spend, "x", "customer_id").select("customer_id", "share_entities", "share_value")
+    return aggregates.lorenz(durable(spend), "x", "customer_id").select("customer_id", "share_entities", "share_value")
 
 
 @query("pivot_fill", S + """
@@ -620,14 +621,14 @@ def histogram(t):
     SELECT x, RANK() OVER (ORDER BY x DESC) AS k FROM v)""")
 def power_law_slope(t):
     spend = b.heads(t).groupBy("customer_id").agg(F.sum("total").alias("x"))
-    return aggregates.rank_size_slope(spend, "x")
+    return aggregates.rank_size_slope(durable(spend), "x")
 
 
 @query("share_concentration", H + f""", v AS (SELECT customer_id, SUM(total) AS x FROM heads GROUP BY 1)
   SELECT {r(q('(SELECT SUM(x) FROM (SELECT x FROM v ORDER BY x DESC, customer_id LIMIT 10))', '(SELECT SUM(x) FROM v)') + ' * 100', 4)} AS top_share_pct""")
 def share_concentration(t):
     spend = b.heads(t).groupBy("customer_id").agg(F.sum("total").alias("x"))
-    return aggregates.top_share(spend, "x", "customer_id", 10)
+    return aggregates.top_share(durable(spend), "x", "customer_id", 10)
 
 
 # --- order, limit, set operations --------------------------------------------

@@ -62,7 +62,7 @@ def sql_by_lang(values):
     WHEN 'es' THEN 'insight-generation' ELSE 'unknown' END AS skill FROM documents""")
 def skill_from_prompt(t):
     prompt = F.concat(by_lang(PROMPTS), F.col("text"))
-    return t("documents").select("doc_id", k.skill_from_prompt(prompt).alias("skill"))
+    return t.spread("documents", "doc_id").select("doc_id", k.skill_from_prompt(prompt).alias("skill"))
 
 
 FENCED = "'```' || CASE lang WHEN 'en' THEN 'sql' WHEN 'fr' THEN 'python' ELSE '' END || chr(10) || text || chr(10) || '```'"
@@ -73,7 +73,7 @@ FENCED = "'```' || CASE lang WHEN 'en' THEN 'sql' WHEN 'fr' THEN 'python' ELSE '
 def fences(t):
     mark = F.when(F.col("lang") == "en", "sql").when(F.col("lang") == "fr", "python").otherwise("")
     fenced = F.concat(F.lit("```"), mark, F.lit("\n"), F.col("text"), F.lit("\n```"))
-    return t("documents").select("doc_id", F.md5(strip_fences(fenced)).alias("clean"))
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(strip_fences(fenced)).alias("clean"))
 
 
 STARTS = {"en": "SELECT ", "fr": "with x ", "de": "DROP TABLE ", "es": "select 1; delete "}
@@ -83,7 +83,7 @@ STARTS = {"en": "SELECT ", "fr": "with x ", "de": "DROP TABLE ", "es": "select 1
   SELECT doc_id, CASE WHEN NOT regexp_matches(x, '^(with|select)\b', 'i') THEN 'sql must start with SELECT or WITH'
     WHEN regexp_matches(x, '\b(insert|update|delete|drop|alter|truncate|grant|revoke|create)\b', 'i') THEN 'sql contains forbidden mutation statement' END AS reason FROM s""")
 def forbidden_words(t):
-    return t("documents").select("doc_id", k.sql_reason(F.concat(by_lang(STARTS), F.col("text"))).alias("reason"))
+    return t.spread("documents", "doc_id").select("doc_id", k.sql_reason(F.concat(by_lang(STARTS), F.col("text"))).alias("reason"))
 
 
 CODES = {"en": "import pandas as pd\ndf = pd.DataFrame()\n# ", "fr": "df = pd.DataFrame()\n# ", "de": "x = 1\n# ", "es": "import numpy as np\ndf['a'] = np.log(df.b)\n# "}
@@ -95,7 +95,7 @@ CODES = {"en": "import pandas as pd\ndf = pd.DataFrame()\n# ", "fr": "df = pd.Da
     WHEN regexp_matches(x, '\bnp\.') AND NOT regexp_matches(x, '\bimport\s+numpy\s+as\s+np\b') THEN 'uses ''np'' without import'
     WHEN regexp_matches(x, '\bstats\.') AND NOT regexp_matches(x, '\bfrom\s+scipy\s+import\s+stats\b') THEN 'uses ''stats'' without import' END AS reason FROM s""")
 def import_contract(t):
-    return t("documents").select("doc_id", k.import_reason(F.concat(by_lang(CODES), F.col("text"))).alias("reason"))
+    return t.spread("documents", "doc_id").select("doc_id", k.import_reason(F.concat(by_lang(CODES), F.col("text"))).alias("reason"))
 
 
 def plan_documents(t):
@@ -114,7 +114,7 @@ def plan_documents(t):
     last = step(F.lit(3), F.lit("insight"), F.lit("Conclude"), F.array(F.lit("sql")))
     steps = F.when(F.col("event_type") == "error", F.array(first, other, last)).otherwise(F.array(first, other))
     body = F.to_json(F.struct(F.when(n == 50, "").otherwise("Plan").alias("plan_summary"), steps.alias("steps")))
-    return t("events").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("plan"))
+    return t.spread("events", "event_id").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("plan"))
 
 
 @query("plan_audit")
@@ -137,7 +137,7 @@ def insight_documents(t):
     confidence = F.when(n < 50, "low").otherwise("high")
     body = F.struct(finding.alias("finding"), evidence.alias("evidence"), F.struct(kind.alias("type"), detail.alias("detail")).alias("anomaly"),
                     action.alias("action"), confidence.alias("confidence"))
-    return t("events").select("event_id", F.to_json(body).alias("insight"))
+    return t.spread("events", "event_id").select("event_id", F.to_json(body).alias("insight"))
 
 
 @query("insight_audit")
@@ -161,7 +161,7 @@ def error_record_audit(t):
         F.when(kind == "view", " ").otherwise("retry").alias("fix_strategy"), F.lit("context").alias("corrected_context"),
     ))
     text = F.when(kind == "click", F.substring(body, 1, 9)).otherwise(body)
-    return t("events").select("event_id", k.error_record_reason(text).alias("reason"))
+    return t.spread("events", "event_id").select("event_id", k.error_record_reason(text).alias("reason"))
 
 
 @query("token_estimate", SQL_RECORDS + " SELECT conv_id, n_bytes // 4 AS tokens FROM rec")

@@ -15,6 +15,7 @@ from ledgerlight.plans.bindings import sql_round as r
 from ledgerlight.plans.corpus import SQL_SPLIT
 from ledgerlight.plans.quality import SQL_TOKENS, stacked
 from ledgerlight.plans.registry import query
+from ledgerlight.session import durable
 from ledgerlight.sources import readers, writers
 from ledgerlight.streaming import feeds
 
@@ -96,7 +97,7 @@ def normalised_questions(t):
     WHEN contains(u, 'REAL') OR contains(u, 'FLOA') OR contains(u, 'DOUB') THEN 'double' WHEN contains(u, 'NUMERIC') OR contains(u, 'DECIMAL') THEN 'decimal(38,9)'
     WHEN contains(u, 'BOOL') THEN 'boolean' ELSE 'string' END AS concrete_type, COUNT(*) AS n FROM u GROUP BY 1""")
 def typed_load(t):
-    words = t("documents").select(F.explode(tokens(F.col("text"))).alias("w"))
+    words = t.spread("documents", "doc_id").select(F.explode(tokens(F.col("text"))).alias("w"))
     return words.groupBy(readers.declared_type(F.col("w")).alias("concrete_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -278,4 +279,4 @@ def chart_pie(t):
   SELECT nation, {r('x')} AS revenue, ABS(x - AVG(x) OVER ()) / STDDEV_POP(x) OVER () >= 1.5 AS is_anomaly FROM v""")
 def chart_flagged(t):
     bars = b.sales(t, "customer").groupBy("nation").agg(F.sum("amount").cast("double").alias("revenue"))
-    return charts.flagged(bars, "nation", "revenue", 1.5)
+    return charts.flagged(durable(bars), "nation", "revenue", 1.5)

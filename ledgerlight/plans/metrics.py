@@ -13,6 +13,7 @@ from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.bindings import sql_round as r
 from ledgerlight.plans.registry import query
+from ledgerlight.session import durable
 
 S = f"WITH {b.SQL_SALES}"
 H = f"WITH {b.SQL_HEADS}"
@@ -157,7 +158,7 @@ def growth_rank(t):
         "category", money(F.col("previous")).alias("previous"), money(F.col("current")).alias("current"),
         rounded(F.col("growth_pct")).alias("growth_pct"),
     )
-    return w.ranked(out, "growth_pct", name="position")
+    return w.ranked(durable(out), "growth_pct", name="position")
 
 
 @query("cagr", S + f""", v AS (SELECT region, year, SUM(amount) AS x FROM sales WHERE year <= 2000 GROUP BY 1, 2)
@@ -368,7 +369,7 @@ def stock_value(t):
   FROM staff GROUP BY 1, 2""")
 def headcount_mix(t):
     counts = b.staff(t).groupBy("department", "level").agg(F.count(F.lit(1)).alias("headcount"))
-    return w.share_of_total(counts, "headcount", ["department"], places=1)
+    return w.share_of_total(durable(counts), "headcount", ["department"], places=1)
 
 
 @query("turnover_rate", f"WITH {b.SQL_STAFF_DATES}" + f"""

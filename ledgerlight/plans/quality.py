@@ -236,7 +236,7 @@ SQL_TOKENS = "list_distinct(regexp_extract_all(strip_accents(replace(lower({0}),
   SELECT name, regexp_full_match(name, '[a-z]{{1,3}}[0-9]+') OR length(letters) = 1
     OR (length(letters) >= 2 AND NOT regexp_matches(letters, '[aeiouy]')) AS is_opaque FROM l""")
 def opaque_names(t):
-    names = t("documents").select(F.explode(tokens(F.col("text"))).alias("name")).distinct()
+    names = t.spread("documents", "doc_id").select(F.explode(tokens(F.col("text"))).alias("name")).distinct()
     return names.withColumn("is_opaque", k.is_opaque(F.col("name")))
 
 

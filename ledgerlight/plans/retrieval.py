@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import tokens
 from ledgerlight.operators import retrieval as k
-from ledgerlight.operators.scale import attach, broadcast_if_small
+from ledgerlight.operators.scale import attach
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.quality import SQL_TOKENS
 from ledgerlight.plans.registry import query
@@ -18,12 +18,17 @@ ANCHOR = 5
 
 def catalogue(t):
     """Entry name is the first line, the description the whole text."""
-    return t("documents").select(
+    return t.spread("documents", "doc_id").select(
         F.col("doc_id").alias("entry"), F.col("doc_id").alias("position"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"),
         F.col("text").alias("description"), F.concat_ws(" ", "lang", "source").alias("columns"),
     )
 
 
+def entries(t):
+    """Names of the catalogue entries."""
+    return t("documents").select(F.col("doc_id").alias("entry"))
+
+
 def questions(t):
     return t("benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -39,22 +44,35 @@ def words_of(text):
     return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
 
 
-def gold(t):
+def gold(t, few=2_000):
     """Documents that hold the passage of the question verbatim.
 
-    Passage and documents meet on five consecutive words, the second to the sixth of
-    the passage; the text itself decides. Shorter passages use all inner words.
+    A few passages are carried to the documents. Beyond that, passage and document meet
+    on five consecutive words, the second to the sixth of the passage, and the text
+    itself decides.
     """
-    asked = questions(t).withColumn("w", words_of(F.col("text")))
-    anchored = asked.select(
-        "question_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, ANCHOR), " ").alias("anchor")
-    )
+    asked = questions(t).select("question_id", F.col("text").alias("passage"))
+    docs = t.spread("documents", "doc_id").select(F.col("doc_id").alias("entry"), "text")
+    if asked.limit(few + 1).count() <= few:
+        packed = asked.agg(F.collect_list(F.struct("question_id", "passage"))).scalar()
+        held = F.filter("_p", lambda p: F.contains(F.col("text"), p["passage"]))
+        return docs.withColumn("_p", packed).select(
+            "entry", F.explode(F.transform(held, lambda p: p["question_id"])).alias("question_id")
+        )
+    return gold_by_words(asked, docs)
+
+
+def gold_by_words(asked, docs):
+    """Verbatim passages through a join on word runs; passages need seven words or more."""
     w = F.col("w")
-    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, ANCHOR), " "))
-    runs = t("documents").withColumn("w", words_of(F.col("text"))).select("doc_id", F.explode(F.array_distinct(spots)).alias("anchor"))
-    near = runs.join(broadcast_if_small(anchored), "anchor").select("question_id", "doc_id", "passage")
-    texts = t("documents").select("doc_id", "text")
-    return near.join(texts, "doc_id").where(F.contains("text", "passage")).select("question_id", F.col("doc_id").alias("entry"))
+    anchored = asked.withColumn("w", words_of(F.col("passage"))).select(
+        "question_id", "passage", F.array_join(F.slice("w", 2, ANCHOR), " ").alias("anchor")
+    )
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1)))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, ANCHOR), " ")))
+    spots = docs.withColumn("w", words_of(F.col("text"))).select("entry", F.explode(runs).alias("anchor"))
+    near = spots.join(anchored, "anchor").select("question_id", "entry", "passage")
+    return near.join(docs, "entry").where(F.contains("text", "passage")).select("question_id", "entry")
 
 
 def allowed(t):
@@ -81,7 +99,7 @@ SQL_TOP = f"""WITH qt AS (SELECT item_id AS question_id, UNNEST({SQL_TOKENS.form
 @query("fold_tokens", f"""WITH t AS (SELECT doc_id, {SQL_TOKENS.format('text')} AS x FROM documents)
   SELECT doc_id, len(x) AS n_tokens, array_to_string(list_sort(x), ' ') AS tokens FROM t""")
 def fold_tokens(t):
-    x = t("documents").select("doc_id", tokens(F.col("text")).alias("x"))
+    x = t.spread("documents", "doc_id").select("doc_id", tokens(F.col("text")).alias("x"))
     return x.select("doc_id", F.size("x").cast("long").alias("n_tokens"), F.array_join(F.array_sort("x"), " ").alias("tokens"))
 
 
@@ -105,7 +123,7 @@ def fk_expand(t):
 def full_baseline(t):
     # The full context is the same for every question, so only its size is attached.
     size = t("documents").agg(F.count(F.lit(1))).scalar()
-    marked = gold(t).join(catalogue(t).select("entry", F.lit(1).alias("here")), "entry", "left")
+    marked = gold(t).join(entries(t).withColumn("here", F.lit(1)), "entry", "left")
     return marked.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("here").alias("n_found")).withColumn("n_context", size)
 
 
@@ -129,7 +147,7 @@ def miss_causes(t):
     plain = doc_name(F.col("entry"))
     named = gold(t).join(langs, "entry").select("question_id", F.when(F.col("lang") == "en", plain).otherwise(F.upper(plain)).alias("entry"))
     got = scoped_candidates(t).select("question_id", plain.alias("entry"))
-    return k.miss_causes(named, got, catalogue(t).select(plain.alias("entry")), allowed(t).select(plain.alias("entry")))
+    return k.miss_causes(named, got, entries(t).select(plain.alias("entry")), allowed(t).select(plain.alias("entry")))
 
 
 def grants(t):
@@ -147,7 +165,7 @@ SQL_GRANTS = """WITH g AS (SELECT DISTINCT user_id, CASE WHEN value > 200 THEN '
   SELECT user_id, CASE WHEN star THEN 'all' WHEN n > 0 THEN 'listed' ELSE 'none' END AS scope,
     CASE WHEN star THEN (SELECT COUNT(*) FROM documents) ELSE COALESCE(n, 0) END AS n_tables FROM u LEFT JOIN p USING (user_id)""")
 def grant_tables(t):
-    return k.grant_scope(t("events"), grants(t), catalogue(t).select(doc_name(F.col("entry")).alias("entry")))
+    return k.grant_scope(t("events"), grants(t), entries(t).select(doc_name(F.col("entry")).alias("entry")))
 
 
 @query("permitted_requests", SQL_GRANTS + """, r AS (SELECT event_id, user_id, 'doc_' || CAST(json_extract(props, '$.k') AS BIGINT) AS entry FROM events)
@@ -155,4 +173,4 @@ def grant_tables(t):
     AND (user_id IN (SELECT user_id FROM g WHERE entry = '*') OR (user_id, entry) IN (SELECT (user_id, entry) FROM g))""")
 def permitted_requests(t):
     asked = t("events").select("event_id", "user_id", doc_name(F.get_json_object("props", "$.k").cast("long")).alias("entry"))
-    return k.permitted(asked, grants(t), catalogue(t).select(doc_name(F.col("entry")).alias("entry"))).select("event_id", "user_id", "entry")
+    return k.permitted(asked, grants(t), entries(t).select(doc_name(F.col("entry")).alias("entry"))).select("event_id", "user_id", "entry")

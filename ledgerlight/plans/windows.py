@@ -11,6 +11,7 @@ from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.bindings import sql_round as r
 from ledgerlight.plans.registry import query
+from ledgerlight.session import durable
 
 S = f"WITH {b.SQL_SALES} "
 H = f"WITH {b.SQL_HEADS} "
@@ -41,7 +42,7 @@ def products(t):
     {r(q('100.0 * COUNT(*)', 'SUM(COUNT(*)) OVER (PARTITION BY year)'), 1)} AS pct FROM heads GROUP BY 1, 2""")
 def share_of_total(t):
     counts = b.heads(t).groupBy("year", "payment").agg(F.count(F.lit(1)).alias("orders"))
-    return w.share_of_total(counts, "orders", ["year"])
+    return w.share_of_total(durable(counts), "orders", ["year"])
 
 
 @query("rank_metric", S + f"""
@@ -49,7 +50,7 @@ def share_of_total(t):
   FROM sales GROUP BY 1 ORDER BY SUM(amount) DESC, nation LIMIT 10""")
 def rank_metric(t):
     by_nation = b.sales(t, "customer").groupBy("nation").agg(F.sum("amount").alias("x"))
-    top = w.ranked(by_nation, "x", name="position").orderBy(F.desc("x"), "nation").limit(10)
+    top = w.ranked(durable(by_nation), "x", name="position").orderBy(F.desc("x"), "nation").limit(10)
     return top.select("nation", money(F.col("x")).alias("revenue"), "position")
 
 
@@ -57,7 +58,7 @@ def rank_metric(t):
   SELECT tile::BIGINT AS tile, COUNT(*) AS customers, {m('SUM(spend)')} AS spend, {m('MIN(spend)')} AS lowest FROM (
     SELECT *, NTILE(5) OVER (ORDER BY spend DESC, customer_id) AS tile FROM v) GROUP BY 1""")
 def ntile_tiers(t):
-    return w.tiles(spend(t), "spend", "customer_id", 5).groupBy("tile").agg(
+    return w.tiles(durable(spend(t)), "spend", "customer_id", 5).groupBy("tile").agg(
         F.count(F.lit(1)).alias("customers"), money(F.sum("spend")).alias("spend"), money(F.min("spend")).alias("lowest")
     )
 
@@ -130,7 +131,7 @@ def ema(t):
   SELECT product_id, {m('revenue')} AS revenue, cumulative_pct,
     CASE WHEN cumulative_pct <= 80 THEN 'A' WHEN cumulative_pct <= 95 THEN 'B' ELSE 'C' END AS abc FROM c""")
 def pareto_abc(t):
-    out = w.abc_classes(products(t).select("product_id", "revenue"), "revenue", "product_id")
+    out = w.abc_classes(durable(products(t).select("product_id", "revenue")), "revenue", "product_id")
     return out.withColumn("revenue", money(F.col("revenue")))
 
 
@@ -139,7 +140,7 @@ def pareto_abc(t):
   SELECT COUNT(*) FILTER (WHERE {q('before', 'total')} * 100 < 80) AS n_entities, COUNT(*) AS n_all,
     {m(f"SUM(revenue) FILTER (WHERE {q('before', 'total')} * 100 < 80)")} AS covered FROM c""")
 def pareto_cover(t):
-    out = w.smallest_cover(products(t).select("product_id", "revenue"), "revenue", "product_id", 80.0)
+    out = w.smallest_cover(durable(products(t).select("product_id", "revenue")), "revenue", "product_id", 80.0)
     return out.withColumn("covered", money(F.col("covered")))
 
 
@@ -171,12 +172,12 @@ def falls_in_a_row(t):
   FROM s GROUP BY 1, 2""")
 def seasonal_index(t):
     months = region_months(t).withColumn("month", F.col("period") % 12 + 1)
-    return w.seasonal_index(months, ["region"], "month", "revenue")
+    return w.seasonal_index(durable(months), ["region"], "month", "revenue")
 
 
 @query("group_zscore", """WITH g AS (SELECT o_orderkey, o_orderpriority, (o_totalprice - AVG(o_totalprice) OVER p)
     / NULLIF(STDDEV_POP(o_totalprice) OVER p, 0) AS z FROM orders WINDOW p AS (PARTITION BY o_orderpriority)),
-  k AS (SELECT o_orderkey, o_orderpriority, CAST(ROUND(CAST(COALESCE(z, 0) AS DECIMAL(30,8)), 3) AS DOUBLE) AS z FROM g)
+  k AS (SELECT o_orderkey, o_orderpriority, ROUND(COALESCE(z, 0), 3) AS z FROM g)
   SELECT *, abs(z) > 1.7 AS is_outlier FROM k""")
 def group_zscore(t):
     df = t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
@@ -237,7 +238,7 @@ def standardise(t):
 @query("weighted_rank", PRODUCTS + f"""
   SELECT product_id, {r('0.4 * RANK() OVER (ORDER BY revenue DESC) + 0.6 * RANK() OVER (ORDER BY units DESC)', 4)} AS score FROM v""")
 def weighted_rank(t):
-    return w.weighted_rank(products(t), {"revenue": 0.4, "units": 0.6}).select("product_id", "score")
+    return w.weighted_rank(durable(products(t)), {"revenue": 0.4, "units": 0.6}).select("product_id", "score")
 
 
 @query("spread_in_group", STAFF + f"""
