@@ -87,15 +87,16 @@ def sweep(df: DataFrame, key: str, cols: Sequence[str], sigma_threshold: float =
     stats = scalars(df, **{
         f"{name}_{c}": fn(_number(df, c)) for c in cols for name, fn in (("m", F.avg), ("d", F.stddev_pop), ("n", F.count))
     })
-    checks = []
+    checks, any_hit = [], F.lit(False)
     for c in cols:
         x, m, d, n = _number(df, c), F.col(f"_s.m_{c}"), F.col(f"_s.d_{c}"), F.col(f"_s.n_{c}")
         hit = (n >= 2) & (d > 0) & (F.abs(x - m) / F.when(d > 0, d) >= sigma_threshold)
+        any_hit = any_hit | hit
         checks.append(F.when(hit, F.struct(
             F.lit(c).alias("column"), x.alias("value"), half_even(F.abs(x - m) / F.when(d > 0, d), 2).alias("sigma"),
             F.when(x > m, "positive_outlier").otherwise("negative_outlier").alias("direction"),
         )))
-    return df.withColumn("_s", stats).select(key, F.inline(F.array_compact(F.array(*checks))))
+    return df.withColumn("_s", stats).where(any_hit).select(key, F.inline(F.array_compact(F.array(*checks))))
 
 
 def compare_periods(

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from ledgerlight.session import durable
 
+# Groups with at most this many distinct values fit the exact percentile aggregate.
+MAP_VALUES = 250_000
 # A statistics frame above this many rows is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -139,13 +141,21 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     by: Sequence[str] = (),
+    map_values: int = MAP_VALUES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Values are counted, cumulative counts come from ``running`` and only the two
-    order statistics around each position are kept, so no task holds a group.
+    The built-in exact aggregate keeps every distinct value of a group in one map, so it
+    is used only where the largest group is known to be small. Beyond that the values
+    are counted, cumulative counts come from ``running`` and only the two order
+    statistics around each position are kept, so no task holds a group.
     """
     clean = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    widest = clean.groupBy(*by).agg(F.approx_count_distinct("_x").alias("_d")).agg(F.max("_d")).first()[0]
+    if (widest or 0) <= map_values:
+        points = F.array(*[F.lit(float(p)) for p in probs.values()])
+        q = clean.groupBy(*by).agg(F.count("_x").alias("n_values"), F.percentile("_x", points).alias("_q"))
+        return q.select(*by, "n_values", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     counts = clean.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
     upto = running(counts, [F.col("_x").asc()], {"_hi": F.col("_n")}, by)
     cum = group_total(upto, by, _rows=F.sum("_n"))

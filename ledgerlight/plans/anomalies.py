@@ -77,7 +77,7 @@ def two_years(t):
     def of(year):
         return F.sum(F.when(F.col("year") == year, F.col("amount")))
 
-    return durable(b.sales(t, "customer").where(span).groupBy("nation").agg(
+    return durable(b.order_sums(t, "customer").where(span).groupBy("nation").agg(
         of(2000).alias("rev_current"), of(1999).alias("rev_previous")
     ))
 
@@ -139,7 +139,7 @@ def baseline_multiple(t):
   SELECT region, month, {m('x')} AS revenue, {r('CAST(x AS DOUBLE) / baseline', 4)} AS multiple, CAST(x AS DOUBLE) / baseline >= 1.2 AS is_spike FROM k""")
 def spike_month(t):
     span = F.col("order_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
-    months = b.sales(t, "customer").where(span & (F.col("status") == "F")).groupBy("region", "month").agg(
+    months = b.order_sums(t, "customer").where(span & (F.col("status") == "F")).groupBy("region", "month").agg(
         F.sum("amount").alias("x")
     )
     return anomaly.against_rest(durable(months), "x", ["region"], 1.2).select(
@@ -250,14 +250,13 @@ def orphan_outbound(t):
         (F.col("movement_type") == "outbound") & (F.col("movement_date") >= F.lit("2000-10-01").cast("date"))
     )
     # Rows without a reference never reach the join; they would all meet on the null key.
-    known = t("orders").select(F.col("o_orderkey").alias("order_ref"))
-    unlinked = out.where(F.col("order_ref").isNull()).withColumn("dangling", F.lit(False))
-    dangling = out.join(known, "order_ref", "left_anti").where(F.col("order_ref").isNotNull()).withColumn("dangling", F.lit(True))
-    linked = out.join(known, "order_ref", "left_semi").withColumn("dangling", F.lit(None).cast("boolean"))
-    per_site = unlinked.unionByName(dangling).unionByName(linked).groupBy("site_id").agg(
-        F.count_if(~F.col("dangling")).alias("unlinked_rows"),
-        F.coalesce(F.sum(F.when(~F.col("dangling"), F.col("quantity"))), F.lit(0)).alias("unlinked_qty"),
-        F.count_if(F.col("dangling")).alias("dangling_rows"),
+    known = t("orders").select(F.col("o_orderkey").alias("order_ref"), F.lit("linked").alias("link"))
+    unlinked = out.where(F.col("order_ref").isNull()).withColumn("link", F.lit("none"))
+    referring = out.where(F.col("order_ref").isNotNull()).join(known, "order_ref", "left")
+    per_site = unlinked.unionByName(referring).groupBy("site_id").agg(
+        F.count_if(F.col("link") == "none").alias("unlinked_rows"),
+        F.coalesce(F.sum(F.when(F.col("link") == "none", F.col("quantity"))), F.lit(0)).alias("unlinked_qty"),
+        F.count_if(F.col("link").isNull()).alias("dangling_rows"),
     )
     return per_site.join(b.sites(t), "site_id").groupBy("region").agg(
         *[F.sum(c).alias(c) for c in ("unlinked_rows", "unlinked_qty", "dangling_rows")]
@@ -271,7 +270,7 @@ def orphan_outbound(t):
   FROM legs o JOIN legs i ON o.product_id = i.product_id AND o.a = i.z AND o.z = i.a
   WHERE date_diff('day', o.d, i.d) BETWEEN 0 AND 30""")
 def transfer_loop(t):
-    legs = (
+    legs = durable(
         b.sales(t, "customer")
         .select("product_id", "site_id", "quantity", "ship_date", F.col("nation").alias("to_nation"))
         .join(b.sites(t).select("site_id", F.col("nation").alias("from_nation")), "site_id")
@@ -328,7 +327,7 @@ def salary_inversion(t):
   k AS (SELECT *, (SUM(x) OVER g - x) / NULLIF(COUNT(x) OVER g - 1, 0) AS baseline FROM a WINDOW g AS (PARTITION BY department, year))
   SELECT department, year, month, {r('x', 1)} AS avg_overtime, {r('x / baseline', 4)} AS multiple FROM k""")
 def overtime_surge(t):
-    months = b.payroll(t).groupBy("department", "year", "month").agg(ratio(F.sum("overtime"), F.count("overtime")).alias("x"))
+    months = b.payroll_sums(t).groupBy("department", "year", "month").agg(ratio(F.sum("overtime"), F.sum("records")).alias("x"))
     return anomaly.against_rest(durable(months), "x", ["department", "year"]).select(
         "department", "year", "month", rounded(F.col("x"), 1).alias("avg_overtime"),
         rounded(F.col("multiple"), 4).alias("multiple"),
@@ -337,7 +336,7 @@ def overtime_surge(t):
 
 def dept_months(t):
     """Net pay and monthly budget per department and month."""
-    paid = b.payroll(t).groupBy("department", (F.col("year") * 12 + F.col("month") - 1).alias("period")).agg(
+    paid = b.payroll_sums(t).groupBy("department", (F.col("year") * 12 + F.col("month") - 1).alias("period")).agg(
         F.sum("net").alias("paid")
     )
     budget = b.staff(t).groupBy("department").agg((F.sum("salary") * F.lit(str(b.BUDGET_RATE)).cast("decimal(4,2)")).alias("budget"))
@@ -367,11 +366,11 @@ def budget_overrun(t):
   SELECT region, {r('CORR(rev, ot)', 6)} AS corr, arg_max(p, rev) AS revenue_peak, arg_max(p, ot) AS overtime_peak,
     arg_max(p, rev) = arg_max(p, ot) AS same_peak FROM a GROUP BY 1""")
 def cross_series(t):
-    revenue = b.sales(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
+    revenue = b.order_sums(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
         F.sum("amount").cast("double").alias("rev")
     )
-    overtime = b.payroll(t).groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
-        ratio(F.sum("overtime"), F.count("overtime")).alias("ot")
+    overtime = b.payroll_sums(t).groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
+        ratio(F.sum("overtime"), F.sum("records")).alias("ot")
     )
     peaks = revenue.join(overtime, ["region", "p"]).groupBy("region").agg(
         rounded(F.corr("rev", "ot"), 6).alias("corr"),

@@ -102,6 +102,20 @@ def heads(t: Tables) -> DataFrame:
     )
 
 
+def order_sums(t: Tables, *dims: str) -> DataFrame:
+    """Orders with the sums of their lines: amount, quantity, lines.
+
+    Rolling the lines up on the order key first means that the join to the orders needs
+    no further shuffle of them, and customers are joined to orders instead of lines.
+    """
+    lines = sales(t).groupBy("order_id").agg(
+        F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
+    )
+    df = lines.join(heads(t), "order_id")
+    return df.join(members(t), "customer_id") if "customer" in dims else df
+
+
 def movements(t: Tables) -> DataFrame:
     """Stock ledger: one row per shipped line, typed by its return flag."""
     kind = F.create_map(*[F.lit(x) for kv in MOVEMENTS.items() for x in kv])[F.col("l_returnflag")]
@@ -161,26 +175,33 @@ def staff(t: Tables, dates: bool = False) -> DataFrame:
     return df
 
 
+PAY_PARTS = ("base", "bonus", "deduction", "overtime")
+PAID = ["employee_id", "department", "region", "level", "year", "month", "order_date"]
+
+
+def _pay_parts() -> dict:
+    gross = F.col("gross")
+    parts = (exact(gross), exact(gross * F.col("tax")), exact(gross * F.col("discount")), F.col("quantity"))
+    return dict(zip(PAY_PARTS, parts))
+
+
+def _as_staff(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"customer_id": "employee_id", "nation": "department", "segment": "level"})
+
+
 def payroll(t: Tables) -> DataFrame:
     """Order lines read as pay records of the ordering customer."""
-    df = sales(t, "customer")
-    base = exact(F.col("gross"))
-    bonus = exact(F.col("gross") * F.col("tax"))
-    deduction = exact(F.col("gross") * F.col("discount"))
-    return df.select(
-        F.col("customer_id").alias("employee_id"),
-        F.col("nation").alias("department"),
-        "region",
-        F.col("segment").alias("level"),
-        "year",
-        "month",
-        "order_date",
-        base.alias("base"),
-        bonus.alias("bonus"),
-        deduction.alias("deduction"),
-        F.col("quantity").alias("overtime"),
-        (base + bonus - deduction).alias("net"),
+    df = _as_staff(sales(t, "customer").withColumns(_pay_parts()))
+    return df.select(*PAID, *PAY_PARTS, (F.col("base") + F.col("bonus") - F.col("deduction")).alias("net"))
+
+
+def payroll_sums(t: Tables) -> DataFrame:
+    """Pay records added up per order, with their number in ``records``, for sums and means."""
+    per_order = sales(t).withColumns(_pay_parts()).groupBy("order_id").agg(
+        *[F.sum(c).alias(c) for c in PAY_PARTS], F.count(F.lit(1)).alias("records")
     )
+    df = _as_staff(per_order.join(heads(t), "order_id").join(members(t), "customer_id"))
+    return df.select(*PAID, *PAY_PARTS, "records", (F.col("base") + F.col("bonus") - F.col("deduction")).alias("net"))
 
 
 def traces(t: Tables) -> DataFrame:

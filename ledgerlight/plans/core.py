@@ -301,7 +301,7 @@ def theta_self_join(t):
   SELECT region, {m('cur.x')} AS rev_current, {m('prev.x')} AS rev_previous FROM cur LEFT JOIN prev USING (region)""")
 def cte_join_using(t):
     def of(year, name):
-        return b.sales(t, "customer").where(F.col("year") == year).groupBy("region").agg(
+        return b.order_sums(t, "customer").where(F.col("year") == year).groupBy("region").agg(
             money(F.sum("amount")).alias(name)
         )
 
@@ -328,7 +328,7 @@ def interval_join(t):
     c AS (SELECT region, COUNT(*) AS n, SUM(capacity) AS cap FROM sites GROUP BY 1)
   SELECT region, {m('a.x')} AS revenue, c.n AS sites, CAST(c.cap AS DOUBLE) AS capacity FROM a JOIN c USING (region)""")
 def soft_region_join(t):
-    revenue = b.sales(t, "customer").groupBy("region").agg(money(F.sum("amount")).alias("revenue"))
+    revenue = b.order_sums(t, "customer").groupBy("region").agg(money(F.sum("amount")).alias("revenue"))
     hosts = b.sites(t).groupBy("region").agg(
         F.count(F.lit(1)).alias("sites"), F.sum("capacity").cast("double").alias("capacity")
     )
@@ -369,12 +369,12 @@ def coverage_join(t):
     CAST(MIN(amount) AS DOUBLE) AS min_amount, CAST(MAX(amount) AS DOUBLE) AS max_amount
   FROM sales WHERE status IN ('F', 'O') GROUP BY 1""")
 def group_agg(t):
-    return relational.revenue_only(b.sales(t, "customer"), b.REVENUE_STATUSES).groupBy("region").agg(
+    return relational.revenue_only(b.order_sums(t, "customer"), b.REVENUE_STATUSES).groupBy("region").agg(
         money(F.sum("amount")).alias("revenue"),
-        F.count(F.lit(1)).alias("lines"),
-        ratio(F.sum("amount"), F.count("amount")).alias("avg_amount"),
-        F.min("amount").cast("double").alias("min_amount"),
-        F.max("amount").cast("double").alias("max_amount"),
+        F.sum("lines").alias("lines"),
+        ratio(F.sum("amount"), F.sum("lines")).alias("avg_amount"),
+        F.min("min_amount").cast("double").alias("min_amount"),
+        F.max("max_amount").cast("double").alias("max_amount"),
     )
 
 
@@ -518,7 +518,7 @@ MONTHLY = """, monthly AS (SELECT region, year * 12 + month - 1 AS p, CAST(SUM(a
 
 def monthly(t):
     """Revenue per region and month index."""
-    return b.sales(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
+    return b.order_sums(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("p")).agg(
         F.sum("amount").cast("double").alias("x")
     )
 
@@ -580,7 +580,7 @@ def lorenz(t):
     f"CAST(ROUND(COALESCE(SUM(CASE WHEN quarter = {k} THEN amount END), 0), 2) AS DOUBLE) AS q{k}" for k in (1, 2, 3, 4)) + """
   FROM sales WHERE year = 1999 GROUP BY 1""")
 def pivot_fill(t):
-    df = b.sales(t, "customer").where("year = 1999").withColumn("q", F.concat(F.lit("q"), F.col("quarter")))
+    df = b.order_sums(t, "customer").where("year = 1999").withColumn("q", F.concat(F.lit("q"), F.col("quarter")))
     wide = aggregates.pivot_fill(df, ["region"], "q", ["q1", "q2", "q3", "q4"], F.sum("amount"))
     return wide.select("region", *[money(F.col(f"q{k}")).alias(f"q{k}") for k in (1, 2, 3, 4)])
 
@@ -600,7 +600,7 @@ def melt(t):
   SELECT region, arg_max(year * 100 + month, a)::BIGINT AS best_month, arg_min(year * 100 + month, a)::BIGINT AS worst_month,
     {m('MAX(a)')} AS best, {m('MIN(a)')} AS worst FROM x GROUP BY 1""")
 def arg_extreme(t):
-    df = b.sales(t, "customer").groupBy("region", (F.col("year") * 100 + F.col("month")).alias("ym")).agg(
+    df = b.order_sums(t, "customer").groupBy("region", (F.col("year") * 100 + F.col("month")).alias("ym")).agg(
         F.sum("amount").alias("a")
     )
     return df.groupBy("region").agg(
@@ -653,7 +653,7 @@ def multi_sort(t):
 @query("top1", S + f"""
   SELECT nation, {m('SUM(amount)')} AS revenue FROM sales GROUP BY 1 ORDER BY SUM(amount) DESC, nation LIMIT 1""")
 def top1(t):
-    by_nation = b.sales(t, "customer").groupBy("nation").agg(F.sum("amount").alias("x"))
+    by_nation = b.order_sums(t, "customer").groupBy("nation").agg(F.sum("amount").alias("x"))
     return by_nation.orderBy(F.desc("x"), "nation").limit(1).select("nation", money(F.col("x")).alias("revenue"))
 
 

@@ -258,7 +258,7 @@ def chart_grouped(t):
 
 @query("chart_series", S + f" SELECT region, year, month, {m('SUM(amount)')} AS revenue FROM sales GROUP BY 1, 2, 3 ORDER BY region, year, month")
 def chart_series(t):
-    points = b.sales(t, "customer").groupBy("region", "year", "month").agg(money(F.sum("amount")).alias("revenue"))
+    points = b.order_sums(t, "customer").groupBy("region", "year", "month").agg(money(F.sum("amount")).alias("revenue"))
     return charts.series(points, ["region", "year"], "month", "revenue")
 
 
@@ -278,5 +278,5 @@ def chart_pie(t):
 @query("chart_flagged", S + f""", v AS (SELECT nation, CAST(SUM(amount) AS DOUBLE) AS x FROM sales GROUP BY 1)
   SELECT nation, {r('x')} AS revenue, ABS(x - AVG(x) OVER ()) / STDDEV_POP(x) OVER () >= 1.5 AS is_anomaly FROM v""")
 def chart_flagged(t):
-    bars = b.sales(t, "customer").groupBy("nation").agg(F.sum("amount").cast("double").alias("revenue"))
+    bars = b.order_sums(t, "customer").groupBy("nation").agg(F.sum("amount").cast("double").alias("revenue"))
     return charts.flagged(durable(bars), "nation", "revenue", 1.5)

@@ -167,7 +167,7 @@ def growth_rank(t):
     {r('pow(CAST(arg_max(x, year) AS DOUBLE) / CAST(arg_min(x, year) AS DOUBLE), 1.0 / (MAX(year) - MIN(year))) - 1', 6)} AS cagr
   FROM v GROUP BY 1""")
 def cagr(t):
-    years = b.sales(t, "customer").where("year <= 2000").groupBy("region", "year").agg(F.sum("amount").alias("x"))
+    years = b.order_sums(t, "customer").where("year <= 2000").groupBy("region", "year").agg(F.sum("amount").alias("x"))
     return k.cagr(years, ["region"], "year", "x").withColumn("cagr", rounded(F.col("cagr"), 6))
 
 
@@ -402,7 +402,7 @@ def tenure(t):
     {r(q('SUM(deduction)', 'SUM(net)'), 6)} AS deduction_of_net FROM pay GROUP BY 1, 2""")
 def pay_ratios(t):
     base, net = F.sum("base"), F.sum("net")
-    return b.payroll(t).groupBy("department", "level").agg(
+    return b.payroll_sums(t).groupBy("department", "level").agg(
         rounded(ratio(F.sum("bonus"), base), 6).alias("bonus_ratio"),
         rounded(ratio(F.sum("deduction"), base), 6).alias("deduction_ratio"),
         rounded(ratio(F.sum("deduction"), net), 6).alias("deduction_of_net"),
@@ -414,8 +414,8 @@ def pay_ratios(t):
   SELECT region, {r(q('rev', 'heads'))} AS revenue_per_head, {r(q('net', 'rev'), 6)} AS payroll_to_revenue
   FROM a JOIN p USING (region) JOIN h USING (region)""")
 def revenue_per_head(t):
-    revenue = b.sales(t, "customer").groupBy("region").agg(F.sum("amount").alias("rev"))
-    pay = b.payroll(t).groupBy("region").agg(F.sum("net").alias("net"))
+    revenue = b.order_sums(t, "customer").groupBy("region").agg(F.sum("amount").alias("rev"))
+    pay = b.payroll_sums(t).groupBy("region").agg(F.sum("net").alias("net"))
     heads = b.staff(t).groupBy("region").agg(F.count(F.lit(1)).alias("heads"))
     return revenue.join(pay, "region").join(heads, "region").select(
         "region", rounded(ratio(F.col("rev"), F.col("heads"))).alias("revenue_per_head"),
@@ -501,10 +501,10 @@ def seasonal_shortage(t):
     s AS (SELECT region, COUNT(*) AS sites FROM sites GROUP BY 1)
   SELECT region, {m('rev')} AS revenue, units, {m('net')} AS payroll, heads, sites FROM h LEFT JOIN a USING (region) LEFT JOIN p USING (region) LEFT JOIN s USING (region)""")
 def board_summary(t):
-    revenue = b.sales(t, "customer").where(year_span(2000)).groupBy("region").agg(
+    revenue = b.order_sums(t, "customer").where(year_span(2000)).groupBy("region").agg(
         money(F.sum("amount")).alias("revenue"), F.sum("quantity").alias("units")
     )
-    pay = b.payroll(t).where(year_span(2000)).groupBy("region").agg(money(F.sum("net")).alias("payroll"))
+    pay = b.payroll_sums(t).where(year_span(2000)).groupBy("region").agg(money(F.sum("net")).alias("payroll"))
     heads = b.staff(t).groupBy("region").agg(F.count(F.lit(1)).alias("heads"))
     hosts = b.sites(t).groupBy("region").agg(F.count(F.lit(1)).alias("sites"))
     return heads.join(revenue, "region", "left").join(pay, "region", "left").join(hosts, "region", "left")

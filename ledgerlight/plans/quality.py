@@ -139,13 +139,23 @@ def turn_columns(t):
     )
 
 
-@query("schema_fingerprint", """WITH c AS (SELECT 'conv_' || conv_id AS table_name, 't' || turn AS column_name, role, turn, conv_id FROM conversations)
-  SELECT table_name, substring(sha256(table_name || '|' || string_agg(column_name || ':' || role || ':' || CASE WHEN role = 'system' THEN 'True' ELSE 'False' END, ',' ORDER BY column_name)
-    || '|' || COALESCE(string_agg(column_name, ',') FILTER (WHERE turn = 0), '') || '|' ||
-    COALESCE(string_agg(column_name || '->conv_' || (conv_id + 1), ',') FILTER (WHERE turn = 1), '')), 1, 16) AS fingerprint
-  FROM c GROUP BY 1""")
+def part_columns(t):
+    """Parts as tables of three columns, whose types are the part's attributes."""
+    link = F.concat(F.lit("kind_"), F.col("p_type"))
+    none = F.lit(None).cast("string")
+    cols = [("brand", F.col("p_brand"), False, True, none), ("kind", F.col("p_type"), False, False, link),
+            ("size", F.col("p_size").cast("string"), True, False, none)]
+    rows = F.array(*[
+        F.struct(F.lit(n).alias("column_name"), v.alias("data_type"), F.lit(g).alias("is_generated"), F.lit(k_).alias("is_key"), r_.alias("reference"))
+        for n, v, g, k_, r_ in cols
+    ])
+    return t("part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"), F.inline(rows))
+
+
+@query("schema_fingerprint", """SELECT 'part_' || p_partkey AS table_name, substring(sha256('part_' || p_partkey || '|brand:' || p_brand || ':False,kind:' || p_type
+    || ':False,size:' || p_size || ':True|brand|kind->kind_' || p_type), 1, 16) AS fingerprint FROM part""")
 def schema_fingerprint(t):
-    return k.table_lines(turn_columns(t)).select("table_name", k.fingerprint(F.col("line")).alias("fingerprint"))
+    return k.table_lines(part_columns(t)).select("table_name", k.fingerprint(F.col("line")).alias("fingerprint"))
 
 
 @query("schema_diff", """WITH a AS (SELECT conv_id, turn, role FROM conversations), z AS (SELECT conv_id, turn + 1 AS turn, role FROM conversations)

@@ -24,7 +24,7 @@ PRODUCTS = S + ", v AS (SELECT product_id, SUM(amount) AS revenue, SUM(quantity)
 
 
 def region_months(t):
-    return b.sales(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("period")).agg(
+    return b.order_sums(t, "customer").groupBy("region", (F.col("year") * 12 + F.col("month") - 1).alias("period")).agg(
         F.sum("amount").alias("revenue")
     )
 
@@ -49,7 +49,7 @@ def share_of_total(t):
   SELECT nation, {m('SUM(amount)')} AS revenue, RANK() OVER (ORDER BY SUM(amount) DESC) AS position
   FROM sales GROUP BY 1 ORDER BY SUM(amount) DESC, nation LIMIT 10""")
 def rank_metric(t):
-    by_nation = b.sales(t, "customer").groupBy("nation").agg(F.sum("amount").alias("x"))
+    by_nation = b.order_sums(t, "customer").groupBy("nation").agg(F.sum("amount").alias("x"))
     top = w.ranked(durable(by_nation), "x", name="position").orderBy(F.desc("x"), "nation").limit(10)
     return top.select("nation", money(F.col("x")).alias("revenue"), "position")
 

@@ -48,10 +48,11 @@ def test_ranked(df, by):
     assert np.allclose(out["p"], (out["rank"] - 1) / (n - 1))
 
 
+@pytest.mark.parametrize("map_values", [scale.MAP_VALUES, 0])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles(df, by):
+def test_quantiles(df, by, map_values):
     probs = {"a": 0.25, "b": 0.5, "c": 0.913, "lo": 0.0, "hi": 1.0}
-    out = scale.quantiles(df, "x", probs, by).toPandas()
+    out = scale.quantiles(df, "x", probs, by, map_values).toPandas()
     for _, row in out.iterrows():
         part = FRAME if not by else FRAME[FRAME["g"] == row["g"]]
         for name, p in probs.items():
