@@ -72,12 +72,10 @@ YEARS = S + """, p AS (SELECT nation, SUM(CASE WHEN year = 2000 THEN amount END)
 
 
 def two_years(t):
-    span = F.col("order_date").between(F.lit("1999-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
-
     def of(year):
         return F.sum(F.when(F.col("year") == year, F.col("amount")))
 
-    return durable(b.order_sums(t, "customer").where(span).groupBy("nation").agg(
+    return durable(b.order_sums(t, "customer", where=b.year_span(1999, 2000)).groupBy("nation").agg(
         of(2000).alias("rev_current"), of(1999).alias("rev_previous")
     ))
 
@@ -138,8 +136,8 @@ def baseline_multiple(t):
   k AS (SELECT *, {rest_sql('x', 'PARTITION BY region')} AS baseline FROM a)
   SELECT region, month, {m('x')} AS revenue, {r('CAST(x AS DOUBLE) / baseline', 4)} AS multiple, CAST(x AS DOUBLE) / baseline >= 1.2 AS is_spike FROM k""")
 def spike_month(t):
-    span = F.col("order_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
-    months = b.order_sums(t, "customer").where(span & (F.col("status") == "F")).groupBy("region", "month").agg(
+    done = b.year_span(1998) & (F.col("status") == "F")
+    months = b.order_sums(t, "customer", where=done).groupBy("region", "month").agg(
         F.sum("amount").alias("x")
     )
     return anomaly.against_rest(durable(months), "x", ["region"], 1.2).select(
@@ -176,8 +174,7 @@ def segment_churn(t):
     WHERE return_flag = 'R' AND year = 1999 GROUP BY 1, 2), k AS (SELECT *, {rest_sql('refunds', 'PARTITION BY category')} AS baseline FROM a)
   SELECT category, month, refunds, {r('refunds / baseline', 4)} AS multiple, refunds / baseline >= 1.5 AS is_spike FROM k""")
 def refund_surge(t):
-    span = F.col("order_date").between(F.lit("1999-01-01").cast("date"), F.lit("1999-12-31").cast("date"))
-    months = b.sales(t, "order", "product").where(span & (F.col("return_flag") == "R")).groupBy("category", "month").agg(
+    months = b.sales(t, "order", "product").where(b.year_span(1999) & (F.col("return_flag") == "R")).groupBy("category", "month").agg(
         F.count(F.lit(1)).alias("refunds")
     )
     return anomaly.against_rest(durable(months), "refunds", ["category"], 1.5).select(

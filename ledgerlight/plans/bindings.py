@@ -7,7 +7,7 @@ broadcast by size, large ones are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import exact
@@ -102,17 +102,28 @@ def heads(t: Tables) -> DataFrame:
     )
 
 
-def order_sums(t: Tables, *dims: str) -> DataFrame:
+def year_span(first: int, last: int | None = None) -> Column:
+    """Whole years as a date range, which reaches the Parquet scan; ``year = n`` would not."""
+    days = [F.lit(d).cast("date") for d in (f"{first}-01-01", f"{last or first}-12-31")]
+    return F.col("order_date").between(*days)
+
+
+def order_sums(t: Tables, *dims: str, where: Column | None = None) -> DataFrame:
     """Orders with the sums of their lines: amount, quantity, lines.
 
-    Rolling the lines up on the order key first means that the join to the orders needs
-    no further shuffle of them, and customers are joined to orders instead of lines.
+    Lines are rolled up on the order key, on which they are joined to the orders anyway,
+    and customers are joined to orders instead of lines. ``where`` restricts the orders;
+    the lines then meet the remaining orders before they are added up.
     """
-    lines = sales(t).groupBy("order_id").agg(
+    orders, lines = heads(t), sales(t)
+    if where is not None:
+        orders = orders.where(where)
+        lines = lines.join(orders.select("order_id"), "order_id")
+    sums = lines.groupBy("order_id").agg(
         F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
     )
-    df = lines.join(heads(t), "order_id")
+    df = sums.join(orders, "order_id")
     return df.join(members(t), "customer_id") if "customer" in dims else df
 
 

@@ -197,8 +197,7 @@ def round_amounts(t):
   WHERE total > 450000 AND year = 1998""")
 def rows_over(t):
     # The year test is on the date itself, so it reaches the Parquet scan.
-    span = F.col("order_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
-    return b.heads(t).where(span & (F.col("total") > 450000)).select(
+    return b.heads(t).where(b.year_span(1998) & (F.col("total") > 450000)).select(
         "order_id", "customer_id", "order_date", F.col("total").cast("double").alias("total")
     )
 
@@ -301,7 +300,7 @@ def theta_self_join(t):
   SELECT region, {m('cur.x')} AS rev_current, {m('prev.x')} AS rev_previous FROM cur LEFT JOIN prev USING (region)""")
 def cte_join_using(t):
     def of(year, name):
-        return b.order_sums(t, "customer").where(F.col("year") == year).groupBy("region").agg(
+        return b.order_sums(t, "customer", where=b.year_span(year)).groupBy("region").agg(
             money(F.sum("amount")).alias(name)
         )
 
@@ -580,7 +579,7 @@ def lorenz(t):
     f"CAST(ROUND(COALESCE(SUM(CASE WHEN quarter = {k} THEN amount END), 0), 2) AS DOUBLE) AS q{k}" for k in (1, 2, 3, 4)) + """
   FROM sales WHERE year = 1999 GROUP BY 1""")
 def pivot_fill(t):
-    df = b.order_sums(t, "customer").where("year = 1999").withColumn("q", F.concat(F.lit("q"), F.col("quarter")))
+    df = b.order_sums(t, "customer", where=b.year_span(1999)).withColumn("q", F.concat(F.lit("q"), F.col("quarter")))
     wide = aggregates.pivot_fill(df, ["region"], "q", ["q1", "q2", "q3", "q4"], F.sum("amount"))
     return wide.select("region", *[money(F.col(f"q{k}")).alias(f"q{k}") for k in (1, 2, 3, 4)])
 
@@ -702,4 +701,4 @@ def drop_duplicates(t):
   SELECT DISTINCT customer_id FROM heads WHERE year = 1999 AND customer_id NOT IN (
     SELECT customer_id FROM heads WHERE year = 2000)""")
 def period_overlap(t):
-    return relational.only_in_first(b.heads(t), "customer_id", F.col("year") == 1999, F.col("year") == 2000)
+    return relational.only_in_first(b.heads(t), "customer_id", b.year_span(1999), b.year_span(2000))

@@ -12,6 +12,7 @@ from ledgerlight.plans.anomalies import SQL_BUDGET, dept_months
 from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.bindings import sql_round as r
+from ledgerlight.plans.bindings import year_span
 from ledgerlight.plans.registry import query
 from ledgerlight.session import durable
 
@@ -27,11 +28,6 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
-def year_span(first: int, last: int | None = None):
-    """Whole years as a date range, which reaches the Parquet scan."""
-    return F.col("order_date").between(day(f"{first}-01-01"), day(f"{last or first}-12-31"))
-
-
 # --- customers ---------------------------------------------------------------
 @query("rfm", H + """
   SELECT customer_id, date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM heads))::BIGINT AS recency,
@@ -501,7 +497,7 @@ def seasonal_shortage(t):
     s AS (SELECT region, COUNT(*) AS sites FROM sites GROUP BY 1)
   SELECT region, {m('rev')} AS revenue, units, {m('net')} AS payroll, heads, sites FROM h LEFT JOIN a USING (region) LEFT JOIN p USING (region) LEFT JOIN s USING (region)""")
 def board_summary(t):
-    revenue = b.order_sums(t, "customer").where(year_span(2000)).groupBy("region").agg(
+    revenue = b.order_sums(t, "customer", where=year_span(2000)).groupBy("region").agg(
         money(F.sum("amount")).alias("revenue"), F.sum("quantity").alias("units")
     )
     pay = b.payroll_sums(t).where(year_span(2000)).groupBy("region").agg(money(F.sum("net")).alias("payroll"))
