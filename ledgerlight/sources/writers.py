@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.session import _ensure_checkpoint_dir
+from ledgerlight.session import ensure_checkpoint_dir
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the shared checkpoints, readable by every executor."""
-    _ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
