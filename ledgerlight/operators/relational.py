@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.operators.scale import running, scalars
+from ledgerlight.operators.scale import running
 
 
 def with_calendar(df: DataFrame, col: str) -> DataFrame:
@@ -66,8 +66,8 @@ def last_days(df: DataFrame, day: str, days: int, anchor: Column | None = None)
 def trailing_windows(df: DataFrame, day: str, windows: Sequence[int], **aggs: Column) -> DataFrame:
     """Aggregates over several trailing windows in one pass.
 
-    The longest window filters the scan; each row then counts for every window it
-    falls into, after the days have been reduced to one row each.
+    The longest window filters the scan; each row left counts for every window it falls
+    into, and the few windows are combined before the shuffle.
     """
     anchor = df.agg(F.max(day)).scalar()
     recent = last_days(df, day, max(windows), anchor).withColumn("_age", F.date_diff(anchor, F.col(day)))
@@ -147,8 +147,3 @@ def only_in_first(df: DataFrame, key: str, first: Column, second: Column) -> Dat
         .where(F.col("_a") & ~F.col("_b"))
         .select(key)
     )
-
-
-def ends(df: DataFrame, day: str) -> Column:
-    """First and last day of a frame as a struct."""
-    return scalars(df, first=F.min(day), last=F.max(day))

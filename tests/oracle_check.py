@@ -49,6 +49,15 @@ def rows_of(names, rows):
     return [names[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+         "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_differences(spark_df, con, sql):
+    want = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    return [(n, kind, want.get(n)) for n, kind in spark_df.dtypes if KINDS.get(kind) != want.get(n)]
+
+
 def compare(spark_df, con, sql):
     """None when both sides agree, else a short text."""
     got_names, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
@@ -56,6 +65,9 @@ def compare(spark_df, con, sql):
     want_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
+    kinds = type_differences(spark_df, con, sql)
+    if kinds:
+        return f"types differ: {kinds}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want) if g != w]

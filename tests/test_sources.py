@@ -44,6 +44,18 @@ def test_cap_reports_more(spark):
     assert readers.capped(df, [F.col("id")], 10).agg(F.bool_or("truncated")).first()[0] is False
 
 
+def test_accept_and_reject_cover_the_input(spark):
+    df = spark.createDataFrame([(1, None), (2, "bad"), (3, None)], "id long, reason string")
+    good, bad = readers.accept_reject(df)
+    assert sorted(r["id"] for r in good.collect()) == [1, 3] and [tuple(r) for r in bad.collect()] == [(2, "bad")]
+
+
+def test_large_cap_numbers_in_parallel(many_tasks, monkeypatch):
+    monkeypatch.setattr(readers, "TOP_K_ROWS", 3)
+    out = readers.capped(many_tasks.range(100).repartition(8), [F.col("id").asc()], 20).collect()
+    assert sorted(r["id"] for r in out) == list(range(20)) and all(r["truncated"] for r in out)
+
+
 def test_empty_result_keeps_columns(spark):
     out = readers.scan_sql(spark, "SELECT id, id * 2 AS twice FROM {x} WHERE id > :n", {"x": spark.range(3)}, n=10)
     assert out.columns == ["id", "twice"] and out.count() == 0
