@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import jaccard_join, packing, pseudonyms, quality_svm, suffix_shards
-from ledgerlight.llm.common import fold, table
+from ledgerlight.llm import (
+    bloom_lm,
+    crf_extract,
+    isolation_rules,
+    jaccard_join,
+    packing,
+    pseudonyms,
+    quality_svm,
+    reply_trees,
+    suffix_shards,
+    warc_merge,
+)
+from ledgerlight.llm.common import fold, stored, table
+from ledgerlight.operators import scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +65,21 @@ def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn answers the one before it, so each conversation is a tree with one branch."""
+    sample = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
+    turns = stored(turns.unionByName(spark.createDataFrame(sample, turns.schema)))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    numbered = stored(scale.numbered(turns.select("*", F.lit(None).cast("double").alias("score")), order, "node", ["conv_id"]))
+    answers = F.when(F.col("node") > 1, F.col("node") - 1).alias("parent")
+    segments = reply_trees.format_trees(numbered.select(F.col("conv_id").alias("tree"), "node", answers, "role", "text", "score"))
+    return reply_trees.read_back(segments).withColumnRenamed("tree", "conv_id").drop("leaf")
+
+
 @query
 def op3_window_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -63,6 +90,12 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), SAMPLE_KEY)
 
 
+@query
+def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = isolation_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *isolation_rules.COUNTS, "base_failed", "kept")
+
+
 @query
 def op6_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -81,6 +114,42 @@ def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_crf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return crf_extract.extract(pages, crf_extract.fit()).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op9_loser_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages hold no time of capture: one second a page
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", when.alias("captured"))
+    index = warc_merge.capture_history(pages, warc_merge.archive_folder(spark))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_loser_tree_merge"] = """
+    WITH p AS (
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+"""
+
+
+@query
+def op10_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 7) == 2
+    scored = bloom_lm.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.withColumn("held_out", held).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
