@@ -194,8 +194,12 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
-    hexed = all(c in HEX for c in text.lower())
-    return permuted(text, key, "secret", back, [HEX] * len(text) if hexed else None)
+    def hexed(s: str) -> bool:
+        return all(c in HEX for c in s.lower())
+
+    if hexed(text):
+        return permuted(text, key, "hex", back, [HEX] * len(text))
+    return permuted(text, key, "secret", back, valid=lambda s: not hexed(s))  # never reads as hex
 
 
 def _access_key(text: str, key: bytes, back: bool) -> str | None:
@@ -206,7 +210,7 @@ def _access_key(text: str, key: bytes, back: bool) -> str | None:
 # In order of precedence; a span taken by an earlier kind is not looked at again.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes, bool], str | None]], ...] = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"), _email),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{6,})"), _secret),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{5,63}[A-Za-z0-9+/_=-])"), _secret),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"), _access_key),
     ("secret", re.compile(r"(?<![A-Za-z0-9])((?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
@@ -214,7 +218,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes, bool], str | None]], .
     ("address", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.\w)"), _address),
     ("card", re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), _card),
     ("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _social),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?<![0-9][ -])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])(?! ?[0-9])"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])"), _phone),
 )
 NAMES = tuple(dict.fromkeys(k for k, _, _ in KINDS))

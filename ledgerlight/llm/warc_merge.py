@@ -36,23 +36,26 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
-def planned(pages: DataFrame, id_col: str, payload_col: str, smallest: int = SMALLEST) -> DataFrame:
-    """``pages`` with payload, its size and digest, and the record it repeats (null: none).
+def planned(
+    pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_col: str, smallest: int = SMALLEST
+) -> DataFrame:
+    """Id, URL, time, payload, its size and digest, and the record it repeats (null: none), one row a page.
 
     Digests are counted first; only those of several records are joined back, by
     broadcast after a count, else by shuffle, where Spark splits a hot digest.
     """
-    base = pages.withColumn("_payload", F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
-    base = base.withColumn("_bytes", F.octet_length("_payload").cast("long")).withColumn("_digest", F.sha2("_payload", 256))
+    base = pages.select(
+        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("time"),
+        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
+    )
+    base = base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     many = (
-        base.where(F.col("_bytes") >= smallest).groupBy(F.unhex("_digest").alias("_key"))
-        .agg(F.min(F.col(id_col).cast("long")).alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1 and _first is not null").select("_key", "_first")
+        base.where(F.col("bytes") >= smallest).groupBy(F.unhex("digest").alias("key"))
+        .agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("key", "first")
     )
     side = F.broadcast(many) if many.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else many
-    joined = base.join(side, (F.unhex("_digest") == F.col("_key")) & (F.col("_bytes") >= smallest), "left")
-    own = F.col(id_col).cast("long")
-    return joined.withColumn("_first", F.when(own.isNull() | (own != F.col("_first")), F.col("_first"))).drop("_key")
+    joined = base.join(side, (F.unhex("digest") == F.col("key")) & (F.col("bytes") >= smallest), "left")
+    return joined.withColumn("first", F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first"))).drop("key")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -63,21 +66,21 @@ def _one_line(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def record(id_col: str, url_col: str, time_col: str) -> Column:
-    """The text of one record without its closing separator."""
-    again = F.col("_first").isNotNull()
-    http = F.concat(F.lit(HTTP), F.col("_bytes").cast("string"), F.lit(NEWLINE * 2))
-    block = F.when(again, http).otherwise(F.concat(http, F.col("_payload")))
-    length = F.octet_length(http) + F.when(again, 0).otherwise(F.col("_bytes"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("long").cast("string"), F.lit("none")), F.lit(">"))
+def record() -> Column:
+    """The text of one record of ``planned`` without its closing separator."""
+    again = F.col("first").isNotNull()
+    http = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(NEWLINE * 2))
+    block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
+    length = F.octet_length(http) + F.when(again, 0).otherwise(F.col("bytes"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1" + NEWLINE),
         F.lit("WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")), F.lit(NEWLINE),
-        _header("WARC-Record-ID", urn(F.col(id_col))),
-        _header("WARC-Target-URI", _one_line(F.col(url_col).cast("string"))),
-        _header("WARC-Date", F.date_format(F.to_utc_timestamp(F.col(time_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
-        _header("WARC-Refers-To", F.when(again, urn(F.col("_first")))),
+        _header("WARC-Record-ID", urn(F.col("id"))),
+        _header("WARC-Target-URI", _one_line(F.col("url"))),
+        _header("WARC-Date", F.date_format(F.to_utc_timestamp(F.col("time"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        _header("WARC-Refers-To", F.when(again, urn(F.col("first")))),
         _header("WARC-Profile", F.when(again, F.lit(PROFILE))),
         F.lit("Content-Type: application/http;msgtype=response" + NEWLINE),
         F.lit("Content-Length: "), length.cast("string"), F.lit(NEWLINE * 2),
@@ -96,10 +99,10 @@ def write_archives(
     those with the smallest id are responses (repeated rows all of them) and the others
     revisit it. A payload above 1 GB does not fit a record. An empty table writes no record.
     """
-    ready = planned(pages, id_col, payload_col, smallest)
+    ready = planned(pages, id_col, url_col, payload_col, time_col, smallest)
     largest = pages.agg(F.max(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
     records = max(1, min(FILE_RECORDS, FILE_BYTES // (largest + 1024)))
-    ready.select(record(id_col, url_col, time_col)).write.option("lineSep", NEWLINE * 2).option(
+    ready.select(record()).write.option("lineSep", NEWLINE * 2).option(
         "maxRecordsPerFile", records
     ).text(path)
 
