@@ -13,7 +13,7 @@ steps, each of which loses no link:
    first, and every class chooses its own l by the estimated cost of its candidates.
 4. Min-hash stars link most of a group of near copies to one hub, each link verified on
    the whole sets. Then only pairs of different components are candidates, so a group
-   of copies never becomes all its pairs.
+   of copies never becomes all its pairs, and parity bits of the sets rule out most of them.
 5. Candidates with l shared prefix shingles are verified on the whole sets.
 
 Shingles are 64-bit hashes of word runs; sets are identified by 128 bits.
@@ -22,6 +22,7 @@ Shingles are 64-bit hashes of word runs; sets are identified by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import long_list, lowered, mapped, stored, utf8, window_hashes, word_hashes
+from ledgerlight.llm.common import long_list, lowered, mapped, mixed, stored, utf8, window_hashes, word_hashes
 from ledgerlight.llm.components import components
 
 LEVELS = 8  # the largest l
 STARS = 4  # min-hash hubs of a class
+MARKS = [f"bits_{k}" for k in range(8)]  # parity bits of a set, 64 in each
 BROADCAST_CLASSES = 500_000  # at most 4 MB of class keys go to every task
 
 
@@ -91,9 +93,29 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             ids, texts = batch.column(0), utf8(batch.column(1))
             for at in range(0, len(texts), 512):
                 sets = [shingle_set(t, size) for t in texts[at : at + 512]]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), long_list(sets)], names=["node", "shingles"])
+                bits = np.stack([_parity(s) for s in sets])
+                columns = [ids.slice(at, len(sets)), long_list(sets), *[pa.array(c) for c in bits.T]]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", *MARKS])
 
-    return mapped(docs, run, "node long, shingles array<long>")
+    return mapped(docs, run, "node long, shingles array<long>, " + ", ".join(f"{m} long" for m in MARKS))
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """64 * len(MARKS) bits; a bit is the parity of the shingles that fall on it."""
+    at = (mixed(shingles) >> np.uint64(40)).astype(np.int64) % (64 * len(MARKS))
+    odd = (np.bincount(at, minlength=64 * len(MARKS)) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(percent: int) -> Column:
+    """False only where the parity bits alone prove that a pair does not link.
+
+    Every differing bit stands for at least one shingle that only one side has, and a link
+    leaves room for n + m - 2 * overlap such shingles, with overlap at its least.
+    """
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS])
+    both = F.col("a_n") + F.col("b_n")
+    return (both - apart) * (100 + percent) >= 2 * percent * both
 
 
 def _similar(percent: int) -> Column:
@@ -110,12 +132,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _star_pairs(sets: DataFrame, stars: int) -> DataFrame:
     """Each class beside the smallest class that has the same min-hash, for several hashes."""
-    mins = sets.select(
-        "node",
-        F.posexplode(
-            F.array(*[F.array_min(F.transform("shingles", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(stars)])
-        ).alias("k", "mark"),
-    )
+    def mark(k: int) -> Column:
+        return F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(k))))
+
+    mins = sets.select("node", F.posexplode(F.array(*[mark(k) for k in range(stars)])).alias("k", "mark"))
     hubs = mins.groupBy("k", "mark").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1")
     return mins.join(hubs, ["k", "mark"]).where("node > v").select(F.col("node").alias("u"), "v").distinct()
 
@@ -159,11 +179,12 @@ def _prefixes(sets: DataFrame, percent: int, levels: int) -> DataFrame:
     )
 
 
-def _cross_candidates(posts: DataFrame, roots: DataFrame) -> DataFrame:
+def _cross_candidates(posts: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share enough prefix shingles.
 
     Per shingle only the classes outside its largest component probe, so a component
-    costs its rows, not its pairs; both sides of a pair use the l of the smaller one.
+    costs its rows, not its pairs; both sides of a pair use the l of the smaller one. The
+    parity bits of both sets drop most pairs inside the join.
     """
     own = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = stored(own)
@@ -171,18 +192,20 @@ def _cross_candidates(posts: DataFrame, roots: DataFrame) -> DataFrame:
     mode = per_root.groupBy("token").agg(
         F.max(F.struct("c", "root"))["root"].alias("mode"), F.count("*").alias("roots")
     ).where("roots > 1").select("token", "mode")
-    mixed_posts = own.join(mode, "token")
-    probe = mixed_posts.where("root <> mode").select(
-        "token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("level").alias("la"), F.col("ell").alias("ea")
-    )
-    index = mixed_posts.select(
-        "token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("level").alias("lb"), F.col("ell").alias("eb"),
-        (F.col("root") == F.col("mode")).alias("major"),
-    )
-    ell = F.when(F.col("a") < F.col("b"), F.col("ea")).otherwise(F.col("eb"))
+    marks = sets.select("node", F.size("shingles").cast("long").alias("n"), *MARKS)
+    shared = own.join(mode, "token").join(marks, "node")
+
+    def side(name: str) -> list[Column]:
+        keys = [F.col(c).alias(f"{name}{c[0]}") for c in ("root", "level", "ell")]
+        return [F.col("node").alias(name), *keys, *[F.col(c).alias(f"{name}_{c}") for c in ("n", *MARKS)]]
+
+    probe = shared.where("root <> mode").select("token", *side("a"))
+    index = shared.select("token", *side("b"), (F.col("root") == F.col("mode")).alias("major"))
+    ell = F.when(F.col("a") < F.col("b"), F.col("ae")).otherwise(F.col("be"))
     met = probe.join(index, "token").where(
-        (F.col("ra") != F.col("rb")) & (F.col("major") | (F.col("a") < F.col("b"))) & (F.greatest("la", "lb") <= ell)
-    )
+        (F.col("ar") != F.col("br")) & (F.col("major") | (F.col("a") < F.col("b"))) & (F.greatest("al", "bl") <= ell)
+        & _may_link(percent)
+    )
     return (
         met.groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .agg(F.count("*").alias("met"), F.max(ell).alias("ell"))
@@ -217,7 +240,7 @@ def jaccard_components(
 
     stars_found = stored(_verified(_star_pairs(sets, stars), sets, percent))
     first = components(stars_found)
-    rest = _verified(_cross_candidates(_prefixes(sets, percent, levels), first), sets, percent)
+    rest = _verified(_cross_candidates(_prefixes(sets, percent, levels), first, sets, percent), sets, percent)
     roots = components(stars_found.union(rest))
 
     named = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
