@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def rounded(col: Column, places: int = 2) -> Column:
     """Half-away-from-zero rounding as a double (the SQL rule).
 
-    Rounds in decimal, so 1.005 is a tie although its binary form lies below.
+    Rounds in decimal, so 1.005 is a tie although its binary form lies below. Numbers too
+    large for the decimal have no such digits left and are rounded as doubles.
     """
-    return F.round(col.cast("decimal(30,8)"), places).cast("double")
+    exact_form = F.round(col.try_cast("decimal(30,8)"), places).cast("double")
+    return F.coalesce(exact_form, F.round(col.cast("double"), places))
 
 
 def half_even(col: Column, places: int = 2) -> Column:
@@ -22,7 +24,8 @@ def half_even(col: Column, places: int = 2) -> Column:
 def exact(col: Column, places: int = 4) -> Column:
     """Decimal of a double that stands for a number of at most ``places`` decimals.
 
-    Goes through a whole number: a direct cast prints and parses the double.
+    Goes through a whole number: a direct cast prints and parses the double. Meant for the
+    amount of one row, below 9e14 with four places; sums of it widen by themselves.
     """
     unit = F.lit(f"{10 ** -places:.{places}f}").cast(f"decimal({places},{places})")
     whole = F.rint(col * 10**places).cast("long").cast("decimal(18,0)")

@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A letter, then every accented form of it that folds to that letter.
-FOLDED_LETTERS = {
-    "a": "àáâãäåāăąǎạảấầẩẫậắằẳẵặ",
-    "c": "çćĉċč",
-    "d": "đď",
-    "e": "èéêëēĕėęěẹẻẽếềểễệ",
-    "g": "ĝğġģ",
-    "i": "ìíîïĩīĭįỉị",
-    "n": "ñńņň",
-    "o": "òóôõöōŏőơọỏốồổỗộớờởỡợ",
-    "s": "śŝşš",
-    "u": "ùúûüũūŭůűųưụủứừửữự",
-    "y": "ýÿŷỳỵỷỹ",
-    "z": "źżž",
-}
-# Combining marks left over by decomposed input.
-COMBINING_MARKS = "̧̛̣̀́̂̃̆̈̉̌"
-
-_FROM = "".join(FOLDED_LETTERS.values())
-_TO = "".join(k * len(v) for k, v in FOLDED_LETTERS.items())
+def _letters() -> tuple[str, str]:
+    """Every small letter with marks whose Unicode decomposition starts with a-z, and that letter."""
+    found = {"đ": "d"}
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(point).lower())
+        if "a" <= base <= "z" and marks and all(unicodedata.category(m) == "Mn" for m in marks):
+            found[chr(point).lower()[0]] = base
+    found.pop("i", None)
+    return "".join(found), "".join(found.values())
+
 
+_FROM, _TO = _letters()
+# Fixed value: the fences that a model writes around code.
 FENCE = r"```(?:json|python|sql)?\s*|\s*```"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; đ becomes d. Plain ASCII text skips the letter map."""
+    """Lower case without accents, composed or not; đ becomes d. Plain ASCII text skips the letter map."""
     lower = F.lower(text)
     plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, lower).otherwise(F.translate(lower, _FROM + COMBINING_MARKS, _TO))
+    return F.when(plain, lower).otherwise(F.regexp_replace(F.translate(lower, _FROM, _TO), r"\p{M}+", ""))
 
 
 def tokens(text: Column) -> Column:

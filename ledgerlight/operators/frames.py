@@ -1,7 +1,7 @@
 """User code over pandas frames, run by Spark in parallel.
 
-A function never sees a whole table. It gets Arrow batches, partial results that Spark
-combines, or groups whose size has been checked.
+A function never sees a whole table or group. It gets Arrow batches, or partial results that Spark
+combines.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FrameFn = Callable[[pd.DataFrame], pd.DataFrame]
-MAX_GROUP_ROWS = 1_000_000
 
 
 def map_frames(df: DataFrame, fn: FrameFn, schema: str) -> DataFrame:
@@ -30,10 +29,3 @@ def fold_frames(df: DataFrame, partial: FrameFn, schema: str, by: Sequence[str],
     """Partial results per batch, combined per key by Spark aggregates; safe for hot keys."""
     return map_frames(df, partial, schema).groupBy(*by).agg(*[c.alias(n) for n, c in merge.items()])
 
-
-def per_group(df: DataFrame, by: Sequence[str], fn: FrameFn, schema: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Apply a function to each whole group, refused when a group is too large for one task."""
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > max_rows:
-        raise ValueError(f"a group holds {largest} rows, over {max_rows}; use fold_frames")
-    return df.groupBy(*by).applyInPandas(fn, schema)

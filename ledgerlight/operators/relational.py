@@ -69,7 +69,8 @@ def trailing_windows(df: DataFrame, day: str, windows: Sequence[int], **aggs: Co
     The longest window filters the scan; each row left counts for every window it falls
     into, and the few windows are combined before the shuffle.
     """
-    anchor = df.agg(F.max(day)).scalar()
+    latest = df.agg(F.max(day)).first()[0]  # as a value, so that the range reaches the scan
+    anchor = F.lit(latest).cast(df.schema[day].dataType)
     recent = last_days(df, day, max(windows), anchor).withColumn("_age", F.date_diff(anchor, F.col(day)))
     spread = recent.withColumn(
         "days",

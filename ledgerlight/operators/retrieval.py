@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import ratio, tokens
@@ -17,32 +19,46 @@ from ledgerlight.operators.windows import top_per_group
 WEIGHTS = {"name": 3.0, "description": 2.0, "columns": 1.0}
 ALL_TABLES = "*"
 GATE = 0.95
-# Up to this many questions are carried to the entries; more are joined by token.
-INLINE_QUESTIONS = 2_000
-# ... as long as questions times their words stays below this many table cells.
-INLINE_CELLS = 20_000_000
+# Questions are carried to the entries in blocks of at most this many table cells (words by questions).
+BLOCK_CELLS = 10_000_000
+BLOCK_QUESTIONS = 2_000
+# Passages are searched in blocks of at most this many characters.
+BLOCK_CHARS = 8_000_000
 
 
 def question_tokens(questions: DataFrame, question: str = "question_id", text: str = "text") -> DataFrame:
     return questions.select(F.col(question).alias("question_id"), tokens(F.col(text)).alias("tokens"))
 
 
+def _blocks(rows: Iterable, weight: Callable[[Row], int], full: Callable[[int, int], bool]) -> Iterator[list]:
+    """Lists of rows, each closed once its number and summed weight make it full; the last may be empty."""
+    block, total = [], 0
+    for row in rows:
+        block.append(row)
+        total += weight(row)
+        if full(len(block), total):
+            yield block
+            block, total = [], 0
+    yield block
+
+
 def lexical_topk(
     questions: DataFrame, catalogue: DataFrame, k: int = 8, candidates: DataFrame | None = None,
-    inline_limit: int = INLINE_QUESTIONS,
+    block_cells: int = BLOCK_CELLS, block_questions: int = BLOCK_QUESTIONS,
 ) -> DataFrame:
     """Best ``k`` entries per question by weighted token overlap.
 
     questions: question_id, text. catalogue: entry, position, name, description, columns.
     ``candidates`` (entry) restricts the catalogue before ranking, so an entry that may
-    not be used never displaces one that may. Ties keep catalogue order.
+    not be used never displaces one that may. Ties keep catalogue order. The questions
+    come in blocks of bounded size, each of which takes one pass over the catalogue.
     """
-    asked = question_tokens(questions)
     if candidates is not None:
         catalogue = catalogue.join(candidates.select("entry"), "entry", "left_semi")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).first()
-    few = size["n"] <= inline_limit and size["n"] * size["words"] <= INLINE_CELLS
-    scored = _score_in_place(asked.collect(), catalogue, k) if few else _score_by_token(asked, catalogue)
+
+    asked = question_tokens(questions).toLocalIterator()
+    blocks = _blocks(asked, lambda r: len(r["tokens"]), lambda n, words: n >= block_questions or n * words >= block_cells)
+    scored = reduce(DataFrame.unionAll, [_score_in_place(part, catalogue, k) for part in blocks])
     return top_per_group(scored, ["question_id"], [F.desc("score"), F.col("position")], k, "place").select(
         "question_id", "entry", "score", F.col("place").cast("long").alias("place")
     )
@@ -51,7 +67,7 @@ def lexical_topk(
 def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
     """Score entries against a few questions where they lie and keep the best of each batch.
 
-    The weight table (token by question) is small and checked by the caller. Each Arrow
+    The weight table (token by question) is bounded by the caller's blocks. Each Arrow
     batch sends on at most ``k`` rows per question, so what is shuffled does not grow
     with the entries of a batch.
     """
@@ -62,7 +78,7 @@ def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
     table = np.zeros((len(vocabulary) + 1, len(asked)), dtype=np.float32)
     for i, row in enumerate(asked):
         table[[vocabulary[w] for w in row["tokens"]], i] = 1.0
-    shared = catalogue.sparkSession.sparkContext.broadcast((vocabulary, table, np.array([r["question_id"] for r in asked])))
+    shared = catalogue.sparkSession.sparkContext.broadcast((vocabulary, table, np.array([r["question_id"] for r in asked], dtype=np.int64)))
     parts = list(WEIGHTS.items())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,22 +108,49 @@ def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
     return worded.mapInPandas(score, schema)
 
 
-def _score_by_token(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Score through an inverted index; no pair without a shared token is formed."""
-    postings = None
-    for part, weight in WEIGHTS.items():
-        one = catalogue.select(
-            "entry", "position", F.explode(tokens(F.col(part))).alias("token"), F.lit(weight).alias("weight")
-        )
-        postings = one if postings is None else postings.unionByName(one)
-    words = asked.select("question_id", F.explode("tokens").alias("token"))
-    return postings.join(words, "token").groupBy("question_id", "entry", "position").agg(F.sum("weight").alias("score"))
+def passages_in(docs: DataFrame, passages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(question_id, entry)`` for every entry whose text holds the passage verbatim.
+
+    docs: entry, text. passages: question_id, passage. All passages of a block are found
+    in one reading of a text, whatever their length; an empty passage is in every text,
+    a missing one in none. Each block takes one pass over the texts.
+    """
+    kinds = dict(passages.dtypes), dict(docs.dtypes)
+    schema = f"question_id {kinds[0]['question_id']}, entry {kinds[1]['entry']}"
+    rows = passages.where("passage is not null").select("question_id", "passage").toLocalIterator()
+    blocks = _blocks(rows, lambda r: len(r["passage"]) + 1, lambda _, chars: chars >= block_chars)
+    parts = [_search(docs, part, schema) for part in blocks]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _search(docs: DataFrame, block: list, schema: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([(r["question_id"], r["passage"]) for r in block])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_text: dict[str, list] = {}
+        for question, passage in shared.value:
+            by_text.setdefault(passage, []).append(question)
+        everywhere = by_text.pop("", [])
+        finder = ahocorasick.Automaton()
+        for passage in by_text:
+            finder.add_word(passage, passage)
+        finder.make_automaton()
+        for batch in batches:
+            found = []
+            for entry, text in zip(batch["entry"], batch["text"]):
+                if text is not None:
+                    met = {p for _, p in finder.iter(text)} if by_text else ()
+                    found += [(q, entry) for q in everywhere] + [(q, entry) for p in met for q in by_text[p]]
+            yield pd.DataFrame(found, columns=["question_id", "entry"])
+
+    return docs.select("entry", "text").mapInPandas(run, schema)
 
 
 def fk_expand(hits: DataFrame, edges: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Hits plus their neighbours one link away, in both directions.
 
-    hits: question_id, entry. edges: entry, reference. ``within`` (entry) intersects the result.
+    hits: question_id, entry. edges: entry, reference. ``within`` (entry), the catalogue or
+    what of it may be used, drops every other name.
     """
     base = hits.select("question_id", "entry").distinct()
     forward = base.join(edges, "entry").select("question_id", F.col("reference").alias("entry"))
@@ -115,7 +158,7 @@ def fk_expand(hits: DataFrame, edges: DataFrame, within: DataFrame | None = None
         "question_id", edges.entry.alias("entry")
     )
     out = base.unionByName(forward).unionByName(back).distinct()
-    return out if within is None else out.join(within.select("entry"), "entry", "left_semi")
+    return out if within is None else out.join(within.select("entry"), "entry", "left_semi").select("question_id", "entry")
 
 
 def full_cover_recall(gold: DataFrame, got: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ from ledgerlight.session import durable
 
 # Groups with at most this many distinct values fit the exact percentile aggregate.
 MAP_VALUES = 250_000
-# A statistics frame above this many rows is joined by shuffle instead of broadcast.
+# A statistics frame above this many rows or bytes is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def scalars(df: DataFrame, **aggs: Column) -> Column:
@@ -36,11 +37,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise ``df`` and mark it for broadcast only when its row count is small."""
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise ``df`` and mark it for broadcast only when its rows and bytes are proven small.
+
+    Texts count by their length, all other values by eight bytes. The join gives the same
+    rows either way.
+    """
     kept = durable(df)
-    fits = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if fits else kept
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum(texts, F.lit(8 * len(df.columns)))
+    nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(kept) if n <= max_rows and size <= max_bytes and not nested else kept
 
 
 def attach(facts: DataFrame, stats: DataFrame, by: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -146,8 +154,8 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per group.
 
     The built-in exact aggregate keeps every distinct value of a group in one map, so it
-    is used only where the largest group is known to be small. Beyond that the values
-    are counted, cumulative counts come from ``running`` and only the two order
+    is used only where the largest group is known to be small. Beyond that the same
+    formula works on order statistics: the values are counted, cumulative counts come from ``running`` and only the two order
     statistics around each position are kept, so no task holds a group.
     """
     clean = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
@@ -165,13 +173,16 @@ def quantiles(
         for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             here = (at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_n"))
             picks.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}_{name}"))
+        # the same weights as in the built-in aggregate, so that both ways agree to the last bit
         picks.append(F.max(pos - F.floor(pos)).alias(f"_f_{name}"))
+        picks.append(F.max(F.ceil(pos) - pos).alias(f"_c_{name}"))
     agg = cum.groupBy(*by).agg(F.max("_rows").alias("n_values"), *picks)
     return agg.select(
         *by,
         "n_values",
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+            F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}"))
+            .otherwise(F.col(f"_c_{n}") * F.col(f"_lo_{n}") + F.col(f"_f_{n}") * F.col(f"_hi_{n}")).alias(n)
             for n in probs
         ],
     )

@@ -7,6 +7,7 @@ there are calendar periods.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,27 +53,20 @@ def trailing_mean(df: DataFrame, by: Sequence[str], period: str, value: str, n:
     return df.withColumn(name, ratio(F.sum(value).over(w), F.count(value).over(w)))
 
 
-def ema(df: DataFrame, by: Sequence[str], period: str, value: str, span: int = 3, max_periods: int = 20_000) -> DataFrame:
+def ema(df: DataFrame, by: Sequence[str], period: str, value: str, span: int = 3) -> DataFrame:
     """Exponential moving average with alpha 2 / (span + 1), seeded by the first value.
 
-    Each series is folded in order over its periods. A series is one row per period;
-    one with more than ``max_periods`` rows is not a calendar series and is refused.
+    The weight of a row fades by (1 - alpha) a step, so a row depends on a bounded number
+    of rows before it: each is folded from the rows whose weight still counts in a double.
+    At the start of a series these reach back to its first value. No series is gathered.
     """
     alpha = 2.0 / (span + 1)
+    reach = 0 if alpha >= 1 else math.ceil(60 * math.log(2) / -math.log(1 - alpha))
     x = F.col(value).cast("double")
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), x.alias("x")))).alias("s"))
-    series = series.withColumn(
-        "s", F.when(F.size("s") <= max_periods, F.col("s")).otherwise(F.raise_error(F.lit("series too long for ema")))
-    )
-    kind = "array<struct<p:%s,x:double,ema:double>>" % dict(df.dtypes)[period]
-
-    def step(acc: Column, v: Column) -> Column:
-        before = F.try_element_at(acc, F.lit(-1))
-        now = F.when(F.size(acc) == 0, v["x"]).otherwise(alpha * v["x"] + (1 - alpha) * before["ema"])
-        return F.concat(acc, F.array(F.struct(v["p"].alias("p"), v["x"].alias("x"), now.alias("ema"))))
-
-    folded = series.select(*by, F.aggregate("s", F.array().cast(kind), step).alias("s"))
-    return folded.select(*by, F.inline("s")).withColumnsRenamed({"p": period, "x": value})
+    recent = F.collect_list(F.struct(x.alias("x"))).over(_series(by, period).rowsBetween(-reach, 0))
+    rest = F.slice("_recent", F.lit(2), F.greatest(F.size("_recent") - 1, F.lit(0)))
+    folded = F.aggregate(rest, F.col("_recent")[0]["x"], lambda before, v: alpha * v["x"] + (1 - alpha) * before)
+    return df.select(*by, period, x.alias(value), recent.alias("_recent")).withColumn("ema", folded).drop("_recent")
 
 
 def abc_classes(

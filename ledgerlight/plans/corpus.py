@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import strip_fences
 from ledgerlight.operators import corpus as k
 from ledgerlight.plans.registry import query
+from ledgerlight.sources import readers, writers
 
 TURN_SKILLS = {2: "text-to-sql", 3: "data-analysis", 4: "supervisor-routing", 5: "insight-generation", 6: "error-reflection"}
 
@@ -79,23 +80,61 @@ def fences(t):
 STARTS = {"en": "SELECT ", "fr": "with x ", "de": "DROP TABLE ", "es": "select 1; delete "}
 
 
-@query("forbidden_words", rf"""WITH s AS (SELECT doc_id, {sql_by_lang(STARTS)} || text AS x FROM documents)
-  SELECT doc_id, CASE WHEN NOT regexp_matches(x, '^(with|select)\b', 'i') THEN 'sql must start with SELECT or WITH'
-    WHEN regexp_matches(x, '\b(insert|update|delete|drop|alter|truncate|grant|revoke|create)\b', 'i') THEN 'sql contains forbidden mutation statement' END AS reason FROM s""")
+SQL_FAULTS = r"""NULLIF(concat_ws('; ', CASE WHEN trim({0}) = '' THEN 'no statement' END,
+    CASE WHEN trim({0}) <> '' AND NOT regexp_matches({0}, '^(with|select)\b', 'i') THEN 'not a query' END,
+    CASE WHEN regexp_matches({0}, '\b(insert|update|delete|drop|alter|truncate|grant|revoke|create)\b', 'i') THEN 'changes data or structure' END), '')"""
+
+
+@query("forbidden_words", f"WITH s AS (SELECT doc_id, {sql_by_lang(STARTS)} || text AS x FROM documents) SELECT doc_id, {SQL_FAULTS.format('x')} AS reason FROM s")
 def forbidden_words(t):
-    return t.spread("documents", "doc_id").select("doc_id", k.sql_reason(F.concat(by_lang(STARTS), F.col("text"))).alias("reason"))
+    faults = k.sql_faults(F.concat(by_lang(STARTS), F.col("text")))
+    return t.spread("documents", "doc_id").select("doc_id", F.nullif(F.array_join(faults, "; "), F.lit("")).alias("reason"))
 
 
 CODES = {"en": "import pandas as pd\ndf = pd.DataFrame()\n# ", "fr": "df = pd.DataFrame()\n# ", "de": "x = 1\n# ", "es": "import numpy as np\ndf['a'] = np.log(df.b)\n# "}
 
 
-@query("import_contract", rf"""WITH s AS (SELECT doc_id, {sql_by_lang(CODES)} || text AS x FROM documents)
-  SELECT doc_id, CASE WHEN NOT contains(x, 'df') THEN 'no df reference'
-    WHEN regexp_matches(x, '\bpd\.') AND NOT regexp_matches(x, '\bimport\s+pandas\s+as\s+pd\b') THEN 'uses ''pd'' without import'
-    WHEN regexp_matches(x, '\bnp\.') AND NOT regexp_matches(x, '\bimport\s+numpy\s+as\s+np\b') THEN 'uses ''np'' without import'
-    WHEN regexp_matches(x, '\bstats\.') AND NOT regexp_matches(x, '\bfrom\s+scipy\s+import\s+stats\b') THEN 'uses ''stats'' without import' END AS reason FROM s""")
+SQL_CODE = r"""NULLIF(concat_ws('; ', CASE WHEN {0} = '' THEN 'no code' END, CASE WHEN NOT contains({0}, 'df') THEN 'df not used' END,
+    CASE WHEN regexp_matches({0}, '\bpd\.') AND NOT regexp_matches({0}, '\bimport\s+pandas\s+as\s+pd\b') THEN 'pd not imported' END,
+    CASE WHEN regexp_matches({0}, '\bnp\.') AND NOT regexp_matches({0}, '\bimport\s+numpy\s+as\s+np\b') THEN 'np not imported' END,
+    CASE WHEN regexp_matches({0}, '\bstats\.') AND NOT regexp_matches({0}, '\bfrom\s+scipy\s+import\s+stats\b') THEN 'stats not imported' END), '')"""
+
+
+@query("import_contract", f"WITH s AS (SELECT doc_id, {sql_by_lang(CODES)} || text AS x FROM documents) SELECT doc_id, {SQL_CODE.format('x')} AS reason FROM s")
 def import_contract(t):
-    return t.spread("documents", "doc_id").select("doc_id", k.import_reason(F.concat(by_lang(CODES), F.col("text"))).alias("reason"))
+    faults = k.code_faults(F.concat(by_lang(CODES), F.col("text")))
+    return t.spread("documents", "doc_id").select("doc_id", F.nullif(F.array_join(faults, "; "), F.lit("")).alias("reason"))
+
+
+# Every conversation is checked under a skill given by its number, so each rule meets real texts.
+SQL_CHECKED = SQL_RECORDS + f""", five AS (SELECT * REPLACE (CASE conv_id % 5 WHEN 0 THEN 'text-to-sql' WHEN 1 THEN 'data-analysis' WHEN 2 THEN 'supervisor-routing'
+      WHEN 3 THEN 'insight-generation' ELSE 'error-reflection' END AS skill_type, CASE WHEN reason = 'unknown skill_type: other' THEN 'messages must hold exactly 3 items'
+      ELSE reason END AS reason) FROM chk),
+  judged AS (SELECT conv_id, skill_type, c1, c2, COALESCE(reason, CASE skill_type WHEN 'text-to-sql' THEN {SQL_FAULTS.format('c2')}
+      WHEN 'data-analysis' THEN {SQL_CODE.format('c2')} WHEN 'supervisor-routing' THEN CASE WHEN NOT json_valid(c2) THEN 'not a plan' END
+      WHEN 'insight-generation' THEN CASE WHEN NOT json_valid(c2) THEN 'not an insight' END ELSE CASE WHEN NOT json_valid(c2) THEN 'invalid json' END END) AS reason FROM five)"""
+
+
+def checked_records(t):
+    skill = F.element_at(F.array(*[F.lit(x) for x in k.SKILLS]), (F.col("conv_id") % 5 + 1).cast("int"))
+    return records(t).withColumn("skill_type", skill).withColumn("reason", k.record_reason(F.col("skill_type")))
+
+
+@query("record_check", SQL_CHECKED + " SELECT conv_id, skill_type, reason FROM judged")
+def record_check(t):
+    return checked_records(t).select("conv_id", "skill_type", "reason")
+
+
+@query("accept_reject_sets", SQL_CHECKED + """ SELECT 'accepted' AS part, conv_id, NULL AS reason, octet_length(encode(c2))::BIGINT AS n_bytes FROM judged WHERE reason IS NULL
+  UNION ALL SELECT 'rejected', conv_id, reason, octet_length(encode(c2))::BIGINT FROM judged WHERE reason IS NOT NULL""")
+def accept_reject_sets(t):
+    """Both sets are written as JSON lines, the refused ones with their reason, and read back."""
+    path = writers.scratch_folder(t.spark, "records")
+    rows = checked_records(t).select("conv_id", "skill_type", "reason", F.col("content2").alias("text"))
+    for part, df in zip(("accepted", "rejected"), readers.accept_reject(rows)):
+        df.write.json(f"{path}/part={part}")
+    back = t.spark.read.schema("conv_id long, skill_type string, reason string, text string, part string").json(path)
+    return back.select("part", "conv_id", "reason", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 def plan_documents(t):

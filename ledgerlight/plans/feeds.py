@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import money, rounded, tokens
 from ledgerlight.operators import charts, corpus, frames
+from ledgerlight.operators.scale import quantiles
 from ledgerlight.plans import bindings as b
 from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
@@ -41,9 +42,9 @@ def random_sample(t):
     return readers.random_rows(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
 
 
-@query("capped_result", """SELECT o_orderkey, o_custkey, (SELECT COUNT(*) FROM orders) > 50000 AS truncated FROM orders ORDER BY o_orderkey LIMIT 50000""")
+@query("capped_result", """SELECT o_orderkey, o_custkey, (SELECT COUNT(*) FROM orders) > 1200 AS truncated FROM orders ORDER BY o_orderkey LIMIT 1200""")
 def capped_result(t):
-    return readers.capped(t("orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")])
+    return readers.capped(t("orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], 1_200)
 
 
 def json_lines(t):
@@ -224,11 +225,9 @@ def user_fold_fn(t):
 
 @query("user_group_fn", f"SELECT l_suppkey, {r('MEDIAN(l_extendedprice)', 4)} AS median_price FROM lineitem GROUP BY 1")
 def user_group_fn(t):
-    def fn(pdf):
-        return pdf[["l_suppkey"]].head(1).assign(median_price=pdf["l_extendedprice"].median())
-
-    out = frames.per_group(t("lineitem").select("l_suppkey", "l_extendedprice"), ["l_suppkey"], fn, "l_suppkey long, median_price double")
-    return out.withColumn("median_price", rounded(F.col("median_price"), 4))
+    """A user statistic of whole groups, the median, by distributed order statistics."""
+    middle = quantiles(t("lineitem").select("l_suppkey", "l_extendedprice"), "l_extendedprice", {"median_price": 0.5}, ["l_suppkey"])
+    return middle.select("l_suppkey", rounded(F.col("median_price"), 4).alias("median_price"))
 
 
 # --- charts ------------------------------------------------------------------

@@ -12,8 +12,6 @@ from ledgerlight.plans.quality import SQL_TOKENS
 from ledgerlight.plans.registry import query
 
 TOP = 8
-# Words of a passage used to find the documents that may hold it.
-ANCHOR = 5
 
 
 def catalogue(t):
@@ -40,39 +38,10 @@ def edges(t):
     return attach(docs, firsts, ["key"]).where("reference < entry").select("entry", "reference")
 
 
-def words_of(text):
-    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
-
-
-def gold(t, few=2_000):
-    """Documents that hold the passage of the question verbatim.
-
-    A few passages are carried to the documents. Beyond that, passage and document meet
-    on five consecutive words, the second to the sixth of the passage, and the text
-    itself decides.
-    """
-    asked = questions(t).select("question_id", F.col("text").alias("passage"))
+def gold(t):
+    """Documents that hold the passage of the question verbatim."""
     docs = t.spread("documents", "doc_id").select(F.col("doc_id").alias("entry"), "text")
-    if asked.limit(few + 1).count() <= few:
-        packed = asked.agg(F.collect_list(F.struct("question_id", "passage"))).scalar()
-        held = F.filter("_p", lambda p: F.contains(F.col("text"), p["passage"]))
-        return docs.withColumn("_p", packed).select(
-            "entry", F.explode(F.transform(held, lambda p: p["question_id"])).alias("question_id")
-        )
-    return gold_by_words(asked, docs)
-
-
-def gold_by_words(asked, docs):
-    """Verbatim passages through a join on word runs; passages need seven words or more."""
-    w = F.col("w")
-    anchored = asked.withColumn("w", words_of(F.col("passage"))).select(
-        "question_id", "passage", F.array_join(F.slice("w", 2, ANCHOR), " ").alias("anchor")
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1)))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, ANCHOR), " ")))
-    spots = docs.withColumn("w", words_of(F.col("text"))).select("entry", F.explode(runs).alias("anchor"))
-    near = spots.join(anchored, "anchor").select("question_id", "entry", "passage")
-    return near.join(docs, "entry").where(F.contains("text", "passage")).select("question_id", "entry")
+    return k.passages_in(docs, questions(t).select("question_id", F.col("text").alias("passage")))
 
 
 def allowed(t):
@@ -115,7 +84,15 @@ def scoped_candidates(t):
 
 @query("fk_expand", SQL_TOP + " SELECT * FROM ex")
 def fk_expand(t):
-    return k.fk_expand(lexical_topk(t), edges(t))
+    return k.fk_expand(lexical_topk(t), edges(t), within=entries(t))
+
+
+@query("scoped_expand", SQL_TOP + """, se AS (SELECT question_id, entry FROM stop UNION SELECT question_id, reference FROM stop JOIN edge USING (entry)
+    UNION SELECT question_id, edge.entry FROM stop JOIN edge ON stop.entry = edge.reference)
+  SELECT question_id, entry FROM se WHERE entry IN (SELECT doc_id FROM labels)""")
+def scoped_expand(t):
+    """Restrict, rank, expand by links and intersect with what may be used."""
+    return k.fk_expand(scoped_candidates(t), edges(t), within=allowed(t))
 
 
 @query("full_baseline", SQL_TOP + """ SELECT question_id, (SELECT COUNT(*) FROM documents) AS n_context, COUNT(*) AS n_gold, COUNT(*) AS n_found

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerlight", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the operators expect; the cluster's own settings win."""
+    """Session with the settings the operators expect; the cluster's own settings win over the
+    defaults, ``conf`` over both."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,7 +20,9 @@ def build_session(app: str = "ledgerlight", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
-    for key, value in {**defaults, **conf}.items():
+    given = SparkConf()  # what the cluster's own files and the command line set
+    chosen = {k: v for k, v in defaults.items() if not given.contains(k)} | conf
+    for key, value in chosen.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators.scale import numbered
 
-MAX_ROWS = 50_000
-TOP_K_ROWS = 10_000
-
 # Upper-case parts of a declared type, tried in this order, and the type they give.
 DECLARED_TYPES = (
     (("DATETIME", "TIMESTAMP"), "timestamp"),
@@ -49,17 +46,13 @@ def random_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(mixed, key).limit(n)
 
 
-def capped(df: DataFrame, order: Sequence[Column], max_rows: int = MAX_ROWS) -> DataFrame:
+def capped(df: DataFrame, order: Sequence[Column], max_rows: int) -> DataFrame:
     """At most ``max_rows`` rows and whether more existed; ``order`` must be unique.
 
-    A small cap is a top-k, which gathers the best rows of every task in one. A large
-    cap numbers the rows in parallel instead.
+    The rows are numbered in parallel, so a large cap needs no task that holds them all.
     """
     more = df.agg(F.count(F.lit(1)) > max_rows).scalar()
-    if max_rows <= TOP_K_ROWS:
-        first = df.orderBy(*order).limit(max_rows)
-    else:
-        first = numbered(df, order, "_at").where(F.col("_at") <= max_rows).drop("_at")
+    first = numbered(df, order, "_at").where(F.col("_at") <= max_rows).drop("_at")
     return first.withColumn("truncated", more)
 
 

@@ -1,10 +1,10 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import tokens
 from ledgerlight.operators import quality, retrieval
-from ledgerlight.plans import retrieval as plans
-from ledgerlight.sources.tables import Tables
 
 
 def test_folding(spark):
@@ -12,6 +12,17 @@ def test_folding(spark):
     assert sorted(df.select(tokens(F.col("t"))).first()[0]) == ["bang", "base", "don", "luong", "nhan", "salary2", "vien"]
 
 
+def test_every_latin_letter_with_marks_folds(spark):
+    points = [c for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if "a" <= unicodedata.normalize("NFD", chr(c).lower())[0] <= "z"]
+    letters = [chr(c) for c in points if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    rows = [(f"x{form(c)}y", f"x{unicodedata.normalize('NFD', c.lower())[0]}y") for c in letters for form in (lambda c: c, lambda c: unicodedata.normalize("NFD", c))]
+    df = spark.createDataFrame(rows, "t string, w string")
+    wrong = [(r["t"], r["f"]) for r in df.select("t", "w", F.array_join(tokens(F.col("t")), " ").alias("f")).collect() if r["f"] != r["w"]]
+    assert len(letters) > 300 and not wrong
+    text = spark.createDataFrame([("Dvořák Ťažký țară ľudia",)], "t string")
+    assert sorted(text.select(tokens(F.col("t"))).first()[0]) == ["dvorak", "ludia", "tara", "tazky"]
+
+
 @pytest.fixture
 def catalogue(spark):
     rows = [("orders", 0, "orders", "sales of goods", "id amount region"), ("customers", 1, "customers", "people who buy goods", "id name segment"),
@@ -24,9 +35,9 @@ def asked(spark):
     return spark.createDataFrame([(1, "orders of customers"), (2, "goods by segment"), (3, "zzz"), (4, "")], "question_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_weights_ties_and_both_ways(catalogue, asked, limit):
-    out = retrieval.lexical_topk(asked, catalogue, 2, inline_limit=limit).orderBy("question_id", "place").collect()
+@pytest.mark.parametrize("options", [{}, {"block_questions": 1}, {"block_cells": 4}])
+def test_weights_and_ties_in_any_blocks(catalogue, asked, options):
+    out = retrieval.lexical_topk(asked, catalogue, 2, **options).orderBy("question_id", "place").collect()
     assert [(r["question_id"], r["entry"], r["score"], r["place"]) for r in out] == [
         (1, "orders", 5.0, 1), (1, "customers", 3.0, 2), (2, "customers", 3.0, 1), (2, "orders", 2.0, 2)]
 
@@ -51,11 +62,24 @@ def test_recall_needs_all_gold(spark):
     assert (r["total"], r["full_hits"], r["recall"], r["mean_context"]) == (2, 1, 0.5, 1.5)
 
 
-def test_gold_is_found_either_way(spark):
-    t = Tables(spark, "/root/testdata/sf0.01")
-    few = {tuple(r) for r in plans.gold(t).select("question_id", "entry").collect()}
-    many = {tuple(r) for r in plans.gold(t, few=0).select("question_id", "entry").collect()}
-    assert few and few == many
+PASSAGES = ["gamma", "beta gamma", "beta gamma delta", "alpha beta gamma delta", "a b c d e", "a b c d e f", "mma de", "", None, "nowhere", "É.\nx", "gamma"]
+TEXTS = ["alpha beta gamma delta", "xbeta gamma deltax", "0 a b c d e f 1", "", None, "É.\nx É.\nx"]
+
+
+@pytest.mark.parametrize("chars", [1, 12, 10**6])
+def test_passages_of_any_length_are_found(spark, chars):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "entry long, text string")
+    asked = spark.createDataFrame(list(enumerate(PASSAGES)), "question_id long, passage string")
+    got = sorted(tuple(r) for r in retrieval.passages_in(docs, asked, block_chars=chars).collect())
+    want = [(q, e) for q, p in enumerate(PASSAGES) for e, t in enumerate(TEXTS) if p is not None and t is not None and p in t]
+    assert got == want
+
+
+def test_expansion_stays_within_the_catalogue(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "gone"), ("c", "a")], "entry string, reference string")
+    hits = spark.createDataFrame([(1, "a"), (2, "gone")], "question_id long, entry string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "entry string")
+    assert {tuple(r) for r in retrieval.fk_expand(hits, edges, within=known).collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "a")}
 
 
 @pytest.mark.parametrize("name,want", [("A2", True), ("col3", True), ("f1", True), ("B365D", True), ("CPK", True), ("x", True), ("name", False), ("cust_id", False), ("year2", False), ("", False)])

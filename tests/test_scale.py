@@ -85,7 +85,30 @@ def test_ema_matches_pandas(spark):
     assert np.allclose(out["ema"].to_numpy(), want.to_numpy())
 
 
-def test_ema_refuses_endless_series(spark):
-    df = spark.range(30).select(F.lit("a").alias("k"), F.col("id").alias("p"), F.col("id").alias("x"))
-    with pytest.raises(Exception, match="too long"):
-        windows.ema(df, ["k"], "p", "x", max_periods=10).collect()
+@pytest.mark.parametrize("span", [1, 2, 3, 20])
+def test_ema_of_a_long_series(spark, span):
+    pdf = pd.DataFrame({"k": "a", "p": np.arange(20_000), "x": rng.normal(size=20_000) * 1e6})
+    out = windows.ema(spark.createDataFrame(pdf), ["k"], "p", "x", span=span).toPandas().sort_values("p")
+    want = pdf["x"].ewm(span=span, adjust=False).mean()
+    assert np.allclose(out["ema"].to_numpy(), want.to_numpy(), rtol=1e-12, atol=1e-6)
+
+
+def test_quantiles_agree_to_the_last_bit_on_both_ways(many_tasks):
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 3_000), "x": rng.normal(size=3_000).round(2) * 1.1})
+    df, probs = many_tasks.createDataFrame(pdf), {f"q{k}": k / 37 for k in range(38)}
+    ways = [sorted(map(tuple, scale.quantiles(df, "x", probs, ["g"], map_values=m).collect())) for m in (0, 10**9)]
+    assert ways[0] == ways[1]
+
+
+@pytest.mark.parametrize("value,want", [(1.005, 1.01), (-2.345, -2.35), (4e22, 4e22), (-1e300, -1e300), (float("inf"), float("inf")), (None, None), (2.0**70, 2.0**70)])
+def test_rounding_never_overflows(spark, value, want):
+    from ledgerlight.functions import rounded
+
+    assert spark.createDataFrame([(value,)], "v double").select(rounded(F.col("v"))).first()[0] == want
+
+
+def test_statistics_are_broadcast_by_bytes(spark):
+    small, wide = spark.range(10), spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(scale.broadcast_if_small(small)) and not hinted(scale.broadcast_if_small(wide, max_bytes=5_000))
+    assert not hinted(scale.broadcast_if_small(small, max_rows=9))

@@ -50,10 +50,10 @@ def test_accept_and_reject_cover_the_input(spark):
     assert sorted(r["id"] for r in good.collect()) == [1, 3] and [tuple(r) for r in bad.collect()] == [(2, "bad")]
 
 
-def test_large_cap_numbers_in_parallel(many_tasks, monkeypatch):
-    monkeypatch.setattr(readers, "TOP_K_ROWS", 3)
-    out = readers.capped(many_tasks.range(100).repartition(8), [F.col("id").asc()], 20).collect()
-    assert sorted(r["id"] for r in out) == list(range(20)) and all(r["truncated"] for r in out)
+@pytest.mark.parametrize("cap", [0, 1, 20, 100, 500])
+def test_cap_at_any_size(many_tasks, cap):
+    out = readers.capped(many_tasks.range(100).repartition(8), [F.col("id").asc()], cap).collect()
+    assert sorted(r["id"] for r in out) == list(range(min(cap, 100))) and all(r["truncated"] is (cap < 100) for r in out)
 
 
 def test_empty_result_keeps_columns(spark):
@@ -70,12 +70,6 @@ def test_existing_table_is_refused(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
-def test_group_limit(spark):
-    df = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
-    with pytest.raises(ValueError, match="fold_frames"):
-        frames.per_group(df, ["k"], lambda p: p.head(1), "k long, id long", max_rows=10)
-
-
 @pytest.mark.parametrize("n,name,text,want", [(3, "status", "a", "pie"), (9, "order_date", "a", "line"), (9, "label", "a label that is long ", "hbar"), (9, "label", "a", "bar"), (40, "label", "a", "bar")])
 def test_chart_choice(spark, n, name, text, want):
     df = spark.range(n).select(F.concat(F.lit(text), F.col("id").cast("string")).alias(name), F.col("id").alias("y"))
