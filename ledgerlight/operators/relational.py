@@ -106,21 +106,31 @@ def round_trips(
 ) -> DataFrame:
     """Days with movements out followed within ``within`` days by movements back on the same keys.
 
-    Both sides are first reduced to one row per key and day. The join runs on the key
-    and a window of ``within`` + 1 days, so each day meets at most ``within`` + 1 return
-    days however many movements a key has.
+    Both sides are first reduced to one row per key and day.
+    """
+    def daily(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"), F.sum(quantity).alias("_qty"))
+
+    return met_days(daily(outs), daily(backs), keys=keys, day=day, count="_n", quantity="_qty", within=within)
+
+
+def met_days(
+    outs: DataFrame, backs: DataFrame, *, keys: Sequence[str], day: str, count: str, quantity: str, within: int
+) -> DataFrame:
+    """The same over frames that already hold one row per key and day.
+
+    The join runs on the key and a window of ``within`` + 1 days, so each day meets at
+    most ``within`` + 1 return days however many movements a key has.
     """
     width = within + 1
 
-    def daily(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(*keys, F.col(day).alias(f"{side}_date")).agg(
-            F.count(F.lit(1)).alias(f"n_{side}"), F.sum(quantity).alias(f"qty_{side}")
-        )
+    def side(df: DataFrame, name: str) -> DataFrame:
+        values = ((day, f"{name}_date"), (count, f"n_{name}"), (quantity, f"qty_{name}"))
+        return df.select(*keys, *[F.col(c).alias(n) for c, n in values])
 
-    bucket = F.floor(F.unix_date("out_date") / width)
-    left = daily(outs, "out").withColumn("_bucket", bucket)
+    left = side(outs, "out").withColumn("_bucket", F.floor(F.unix_date("out_date") / width))
     own = F.floor(F.unix_date("back_date") / width)
-    right = daily(backs, "back").withColumn("_bucket", F.explode(F.array(own, own - 1)))
+    right = side(backs, "back").withColumn("_bucket", F.explode(F.array(own, own - 1)))
     gap = F.date_diff("back_date", "out_date")
     return (
         left.join(right, [*keys, "_bucket"])

@@ -209,17 +209,10 @@ def below_threshold(t):
   SELECT product_id, last_outbound, held FROM h JOIN l USING (product_id), a
   WHERE inbound > 0 AND (last_outbound IS NULL OR last_outbound < today - 180)""")
 def dead_stock(t):
-    moves = b.movements(t)
-    today = moves.agg(F.max("movement_date")).scalar()
-    ledger = moves.groupBy("product_id").agg(
-        F.max(F.when(F.col("movement_type") == "outbound", F.col("movement_date"))).alias("last_outbound"),
-        F.count_if(F.col("movement_type") == "inbound").alias("inbound"),
-    )
+    per = b.ledger(t, "product_id")
+    today = per.agg(F.max("last_day")).scalar()
     idle = F.col("last_outbound").isNull() | (F.col("last_outbound") < F.date_sub(today, 180))
-    held = b.stock(t).groupBy("product_id").agg(F.sum("quantity").alias("held"))
-    return held.join(ledger.where((F.col("inbound") > 0) & idle).drop("inbound"), "product_id").select(
-        "product_id", "last_outbound", "held"
-    )
+    return b.known_products(t, per.where((F.col("inbound") > 0) & idle)).select("product_id", "last_outbound", "held")
 
 
 @query("writeoff_spike", f"""WITH {b.SQL_MOVES}, {b.SQL_SITES}, a AS (SELECT region, year(movement_date)::BIGINT AS yr,
@@ -267,17 +260,20 @@ def orphan_outbound(t):
   FROM legs o JOIN legs i ON o.product_id = i.product_id AND o.a = i.z AND o.z = i.a
   WHERE date_diff('day', o.d, i.d) BETWEEN 0 AND 30""")
 def transfer_loop(t):
-    legs = durable(
+    # Daily rows are made once; the way back is the same frame with the two ends swapped.
+    legs = (
         b.sales(t, "customer")
         .select("product_id", "site_id", "quantity", "ship_date", F.col("nation").alias("to_nation"))
         .join(b.sites(t).select("site_id", F.col("nation").alias("from_nation")), "site_id")
         .where(F.col("from_nation") != F.col("to_nation"))
+        .groupBy("product_id", "from_nation", "to_nation", "ship_date")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("qty"))
     )
     swapped = legs.select(
-        "product_id", "quantity", "ship_date", F.col("to_nation").alias("from_nation"), F.col("from_nation").alias("to_nation")
+        "product_id", "ship_date", "n", "qty", F.col("to_nation").alias("from_nation"), F.col("from_nation").alias("to_nation")
     )
-    return relational.round_trips(
-        legs, swapped, keys=["product_id", "from_nation", "to_nation"], day="ship_date", quantity="quantity", within=30
+    return relational.met_days(
+        legs, swapped, keys=["product_id", "from_nation", "to_nation"], day="ship_date", count="n", quantity="qty", within=30
     )
 
 

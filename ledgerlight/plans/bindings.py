@@ -127,6 +127,37 @@ def order_sums(t: Tables, *dims: str, where: Column | None = None) -> DataFrame:
     return df.join(members(t), "customer_id") if "customer" in dims else df
 
 
+def order_rollup(t: Tables, *dims: str, **aggs: Column) -> DataFrame:
+    """Orders with the given aggregates of their lines, joined to order and customer columns.
+
+    The one shuffle of the lines is by order, on which they meet the orders anyway.
+    ``product`` in ``dims`` gives the lines their product columns first.
+    """
+    lines = sales(t, *[d for d in dims if d == "product"])
+    sums = lines.groupBy("order_id").agg(*[c.alias(n) for n, c in aggs.items()])
+    return sums.join(heads(t), "order_id").join(members(t), "customer_id")
+
+
+def ledger(t: Tables, *keys: str) -> DataFrame:
+    """Snapshot and movements of each key from one pass over the ledger.
+
+    The snapshot is the sum of all movements of a key, so nothing is joined to get it.
+    """
+    def of(kind: str) -> Column:
+        return F.col("movement_type") == kind
+
+    return movements(t).groupBy(*keys).agg(
+        F.sum("quantity").alias("held"), F.sum(F.when(of("outbound"), F.col("quantity"))).alias("outbound"),
+        F.max(F.when(of("outbound"), F.col("movement_date"))).alias("last_outbound"), F.count_if(of("inbound")).alias("inbound"),
+        F.min("movement_date").alias("first_day"), F.max("movement_date").alias("last_day"),
+    )
+
+
+def known_products(t: Tables, df: DataFrame) -> DataFrame:
+    """Rows whose product is listed, as the snapshot has them."""
+    return df.join(items(t).select("product_id"), "product_id", "left_semi")
+
+
 def movements(t: Tables) -> DataFrame:
     """Stock ledger: one row per shipped line, typed by its return flag."""
     kind = F.create_map(*[F.lit(x) for kv in MOVEMENTS.items() for x in kv])[F.col("l_returnflag")]

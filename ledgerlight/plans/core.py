@@ -338,12 +338,8 @@ def soft_region_join(t):
   LEFT JOIN (SELECT product_id, MAX(movement_date) AS last_outbound FROM moves WHERE movement_type = 'outbound' GROUP BY 1)
   USING (product_id)""")
 def fanout_safe_join(t):
-    # Both sides are brought to product grain first, so no snapshot row is multiplied by its movements.
-    held = b.stock(t).groupBy("product_id").agg(F.sum("quantity").alias("held"))
-    last = b.movements(t).where("movement_type = 'outbound'").groupBy("product_id").agg(
-        F.max("movement_date").alias("last_outbound")
-    )
-    return held.join(last, "product_id", "left")
+    # Snapshot and movements are brought to product grain together, so no row is multiplied.
+    return b.known_products(t, b.ledger(t, "product_id")).select("product_id", "held", "last_outbound")
 
 
 @query("coverage_join", S + f""", {b.SQL_STOCK}, top AS (
@@ -392,10 +388,10 @@ def filtered_agg(t):
     def of(year):
         return money(F.coalesce(F.sum(F.when(F.col("year") == year, F.col("amount"))), F.lit(0)))
 
-    return b.sales(t, "customer").groupBy("region").agg(
-        F.count_if(F.col("return_flag") == "R").alias("refunded"),
-        F.count_if(F.col("return_flag") == "N").alias("kept"),
-        of(1999).alias("rev_1999"), of(2000).alias("rev_2000"),
+    flag = F.col("return_flag")
+    orders = b.order_rollup(t, amount=F.sum("amount"), r=F.count_if(flag == "R"), n=F.count_if(flag == "N"))
+    return orders.groupBy("region").agg(
+        F.sum("r").alias("refunded"), F.sum("n").alias("kept"), of(1999).alias("rev_1999"), of(2000).alias("rev_2000"),
     )
 
 
@@ -448,12 +444,10 @@ def expr_agg(t):
   FROM sales GROUP BY 1""")
 def ratio_of_aggs(t):
     # Roll up to orders, then to customers, then to regions: the counts need no distinct.
-    quarter = F.when((F.col("year") == 2000) & (F.col("quarter") == 4), F.col("amount"))
-    orders = b.sales(t, "customer", "product").groupBy("region", "customer_id", "order_id").agg(
-        F.sum("amount").alias("a"), F.sum("cost").alias("c"), F.sum(quarter).alias("q")
-    )
+    quarter = F.when((F.col("year") == 2000) & (F.col("quarter") == 4), F.col("a"))
+    orders = b.order_rollup(t, "product", a=F.sum("amount"), c=F.sum("cost"))
     buyers = orders.groupBy("region", "customer_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c"), F.sum("q").alias("q")
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("c").alias("c"), F.sum(quarter).alias("q")
     )
     return buyers.groupBy("region").agg(
         ratio(F.sum("a"), F.sum("n")).alias("avg_order_value"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import money, ratio, rounded
 from ledgerlight.operators import metrics as k
 from ledgerlight.operators import windows as w
+from ledgerlight.operators.scale import scalars
 from ledgerlight.plans import bindings as b
 from ledgerlight.plans.anomalies import SQL_BUDGET, dept_months
 from ledgerlight.plans.bindings import sql_money as m
@@ -220,10 +221,10 @@ def net_of_refunds(t):
   SELECT region, {r(q("100.0 * COUNT(*) FILTER (WHERE status = 'F')", 'COUNT(*)') + ' - ' + q("100.0 * COUNT(*) FILTER (WHERE return_flag = 'R')", 'COUNT(*)'))} AS gap_pct
   FROM sales GROUP BY 1""")
 def completion_minus_refund(t):
-    n = F.count(F.lit(1))
-    done = 100.0 * ratio(F.count_if(F.col("status") == "F"), n)
-    back = 100.0 * ratio(F.count_if(F.col("return_flag") == "R"), n)
-    return b.sales(t, "customer").groupBy("region").agg(rounded(done - back).alias("gap_pct"))
+    orders = b.order_rollup(t, n=F.count(F.lit(1)), r=F.count_if(F.col("return_flag") == "R"))
+    done = 100.0 * ratio(F.sum(F.when(F.col("status") == "F", F.col("n")).otherwise(0)), F.sum("n"))
+    back = 100.0 * ratio(F.sum("r"), F.sum("n"))
+    return orders.groupBy("region").agg(rounded(done - back).alias("gap_pct"))
 
 
 # --- inventory ---------------------------------------------------------------
@@ -241,14 +242,15 @@ def held_by_product(t):
   SELECT product_id, held, {r('per_day', 6)} AS per_day, {r('held / per_day', 4)} AS days_on_hand, {r('held / per_day / 7', 4)} AS weeks_of_cover,
     held / per_day < 14 AS is_short, today + CAST(FLOOR(held / per_day) AS INTEGER) AS stockout_date FROM held JOIN dem USING (product_id), span""")
 def days_on_hand(t):
-    moves = b.movements(t)
-    today = moves.agg(F.max("movement_date")).scalar()
-    cover = held_by_product(t).join(k.demand_per_day(moves, ["product_id"]), "product_id")
+    per = b.ledger(t, "product_id")
+    span = scalars(per, days=F.date_diff(F.max("last_day"), F.min("first_day")) + 1, today=F.max("last_day"))
+    cover = b.known_products(t, per.where("outbound IS NOT NULL")).withColumn("_span", span)
+    cover = cover.withColumn("per_day", ratio(F.col("outbound"), F.col("_span.days")))
     days = ratio(F.col("held"), F.col("per_day"))
     return cover.select(
         "product_id", "held", rounded(F.col("per_day"), 6).alias("per_day"), rounded(days, 4).alias("days_on_hand"),
         rounded(days / 7, 4).alias("weeks_of_cover"), (days < 14).alias("is_short"),
-        F.date_add(today, F.floor(days).cast("int")).alias("stockout_date"),
+        F.date_add(F.col("_span.today"), F.floor(days).cast("int")).alias("stockout_date"),
     )
 
 
@@ -272,9 +274,8 @@ def safety_stock_days(t):
   SELECT category, {q('SUM(COALESCE(sold, 0) * unit_cost)', 'SUM(held * unit_cost)')} AS turnover, COALESCE(SUM(sold), 0)::BIGINT AS sold
   FROM h LEFT JOIN c USING (product_id) GROUP BY 1""")
 def turnover(t):
-    sold = b.movements(t).where("movement_type = 'outbound'").groupBy("product_id").agg(F.sum("quantity").alias("sold"))
-    held = b.stock(t).groupBy("product_id", "category", "unit_cost").agg(F.sum("quantity").alias("held"))
-    both = held.join(sold, "product_id", "left").withColumn("sold", F.coalesce("sold", F.lit(0)))
+    priced = b.items(t).withColumn("unit_cost", (F.lit(b.COST_RATE) * F.col("list_price")).cast("decimal(18,4)"))
+    both = b.ledger(t, "product_id").join(priced, "product_id").withColumn("sold", F.coalesce("outbound", F.lit(0)))
     value = {c: F.sum(F.col(c).cast("decimal(18,0)") * F.col("unit_cost")) for c in ("sold", "held")}
     return both.groupBy("category").agg(ratio(value["sold"], value["held"]).alias("turnover"), F.sum("sold").alias("sold"))
 
@@ -312,11 +313,11 @@ def inout_ratio(t):
   SELECT site_id, site, held, CAST(capacity AS DOUBLE) AS capacity, {q('held', 'capacity')} AS utilisation, {q('out_qty', 'capacity')} AS outbound_use,
     COALESCE({q('held', 'capacity')} > 0.9, FALSE) AS is_full FROM sites JOIN h USING (site_id) LEFT JOIN o USING (site_id)""")
 def utilisation(t):
-    held = b.stock(t).groupBy("site_id").agg(F.sum("quantity").alias("held"))
-    out = b.movements(t).where("movement_type = 'outbound'").groupBy("site_id").agg(F.sum("quantity").alias("out_qty"))
-    both = b.sites(t).join(held, "site_id").join(out, "site_id", "left")
+    per = b.known_products(t, b.ledger(t, "product_id", "site_id")).groupBy("site_id").agg(
+        F.sum("held").alias("held"), F.sum("outbound").alias("out_qty")
+    )
     use = ratio(F.col("held"), F.col("capacity"))
-    return both.select(
+    return b.sites(t).join(per, "site_id").select(
         "site_id", "site", "held", F.col("capacity").cast("double").alias("capacity"), use.alias("utilisation"),
         ratio(F.col("out_qty"), F.col("capacity")).alias("outbound_use"), F.coalesce(use > 0.9, F.lit(False)).alias("is_full"),
     )
