@@ -130,14 +130,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(_similar(percent)).select("u", "v")
 
 
-def _star_pairs(sets: DataFrame, stars: int) -> DataFrame:
-    """Each class beside the smallest class that has the same min-hash, for several hashes."""
+def _star_pairs(sets: DataFrame, stars: int, percent: int) -> DataFrame:
+    """Each class beside the smallest class that has the same min-hash, for several hashes.
+
+    Pairs that the parity bits rule out are left out before any set is read.
+    """
     def mark(k: int) -> Column:
         return F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(k))))
 
     mins = sets.select("node", F.posexplode(F.array(*[mark(k) for k in range(stars)])).alias("k", "mark"))
     hubs = mins.groupBy("k", "mark").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1")
-    return mins.join(hubs, ["k", "mark"]).where("node > v").select(F.col("node").alias("u"), "v").distinct()
+    pairs = mins.join(hubs, ["k", "mark"]).where("node > v").select(F.col("node").alias("u"), "v").distinct()
+    marks = sets.select("node", F.size("shingles").cast("long").alias("n"), *MARKS)
+    for side, end in (("a", "u"), ("b", "v")):
+        own = marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *MARKS)])
+        pairs = pairs.join(own, end)
+    return pairs.where(_may_link(percent)).select("u", "v")
 
 
 def _prefixes(sets: DataFrame, percent: int, levels: int) -> DataFrame:
@@ -238,7 +246,7 @@ def jaccard_components(
     chosen = source.join(keep, source["doc_id"] == keep["node"], "left_semi")
     sets = stored(_sets(chosen, size).dropDuplicates(["node"]))
 
-    stars_found = stored(_verified(_star_pairs(sets, stars), sets, percent))
+    stars_found = stored(_verified(_star_pairs(sets, stars, percent), sets, percent))
     first = components(stars_found)
     rest = _verified(_cross_candidates(_prefixes(sets, percent, levels), first, sets, percent), sets, percent)
     roots = components(stars_found.union(rest))

@@ -12,6 +12,7 @@ from ledgerlight.llm import (
     crf_extract,
     isolation_rules,
     jaccard_join,
+    oracles,
     packing,
     pseudonyms,
     quality_svm,
@@ -129,18 +130,6 @@ def op9_loser_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL["op9_loser_tree_merge"] = """
-    WITH p AS (
-        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
-        FROM pages
-    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
-    SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-    FROM f
-"""
-
-
 @query
 def op10_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold(F.col("doc_id"), 7) == 2
@@ -155,3 +144,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+SQL.update({
+    "op2_reply_trees": oracles.REPLY_TREES,
+    "op6_adaptive_jaccard": oracles.JACCARD,
+    "op7_suffix_arrays": oracles.SUFFIXES,
+    "op9_loser_tree_merge": oracles.ARCHIVES,
+})
