@@ -156,23 +156,29 @@ class Model:
 
     def steps(self, keys: np.ndarray) -> np.ndarray:
         """Steps of the quantised count of each key, by repeated probes."""
-        unique, back = np.unique(keys, return_inverse=True)
-        found = np.zeros(len(unique), dtype=np.int64)
-        live, step = np.arange(len(unique)), 0
-        base = _segment(unique) * (self.size // 8)
+        found = np.zeros(len(keys), dtype=np.int64)
+        live, step = np.arange(len(keys)), 0
+        base = _segment(keys) * (self.size // 8)
         while len(live) and step < len(SCALE):
             there = np.ones(len(live), dtype=bool)
-            for at in _bits(unique[live], step, self.size):
+            for at in _bits(keys[live], step, self.size):
                 there &= (self.bits[base[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
             live = live[there]
             found[live] += 1
             step += 1
-        return found[back]
-
-    def log_probabilities(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P(token | token before): mixed pair and add-one word probabilities."""
-        word = SEEN[self.steps(_keyed(tokens, 0))]
-        context = SEEN[self.steps(_keyed(before, 0))]
+        return found
+
+    def log_probabilities(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 P(token | token before): mixed pair and add-one word probabilities.
+
+        ``begins`` are the places where texts begin, and the end of the last one.
+        """
+        words, back = np.unique(_keyed(tokens, 0), return_inverse=True)
+        word = SEEN[self.steps(words)][back]
+        before, context = np.empty_like(tokens), np.empty_like(word)
+        before[1:], context[1:] = tokens[:-1], word[:-1]
+        # an end mark stands before the first token, as it does behind the last one
+        before[begins[:-1]], context[begins[:-1]] = tokens[begins[1] - 1], word[begins[1] - 1]
         pair = SEEN[self.steps(_keyed(pair_hashes(before, tokens), 1))]
         single = (word + 1) / (self.total + self.distinct + 1)
         weight = np.where(context > 0, self.mix, 0.0)
@@ -240,7 +246,7 @@ def _scored(docs: DataFrame, model) -> DataFrame:
                 count, rare = m.exact(tokens)
                 starts = begins[:-1]
                 base = np.where(rare, 0.0, np.log10(count + 1.0) - norm)
-                logs = m.log_probabilities(tokens, _contexts(tokens, begins))
+                logs = m.log_probabilities(tokens, begins)
                 kept = _keyed(tokens, 0)
                 rest = [kept[a:b][rare[a:b]].view(np.int64) for a, b in zip(starts, begins[1:])]
                 n = len(starts)
