@@ -70,24 +70,26 @@ def running(
     order: Sequence[Column],
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
+    spans: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` along ``order`` inside each ``by`` group.
 
     Rows are range-partitioned on (by, order), so a hot group spreads over many
     tasks. Each span sums locally and is shifted by the total of the spans before
     it; only one row per span and group is gathered for the shift. ``order`` must
-    end in a unique key, else tied rows get an arbitrary relative position.
+    end in a unique key, else tied rows get an arbitrary relative position. ``spans`` is
+    their number (about one for 200 MB of rows); by default that of shuffle partitions.
     """
     staged = df.select("*", *[c.alias(f"_v_{n}") for n, c in totals.items()])
-    spans = durable(
-        staged.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_span", F.spark_partition_id())
-    )
+    keyed = [*[F.col(b) for b in by], *order]
+    dealt = staged.repartitionByRange(*([spans] if spans else []), *keyed)
+    cut = durable(dealt.withColumn("_span", F.spark_partition_id()))
     keys = ["_span", *by]
-    per_span = spans.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    per_span = cut.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     shift = per_span.select(*keys, *[F.sum(f"_s_{n}").over(before).alias(f"_b_{n}") for n in totals])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = spans.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in totals])
+    local = cut.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in totals])
     joined = join_null_safe(local, shift, keys, "inner")
     types = dict((f.name, f.dataType) for f in joined.schema)
     out = [
@@ -104,9 +106,11 @@ def _zero(dtype: T.DataType) -> T.DataType:
     return T.DecimalType(36, dtype.scale) if isinstance(dtype, T.DecimalType) else dtype
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str = "position", by: Sequence[str] = ()) -> DataFrame:
+def numbered(
+    df: DataFrame, order: Sequence[Column], name: str = "position", by: Sequence[str] = (), spans: int | None = None
+) -> DataFrame:
     """Row number along ``order`` (which must be unique) without a single-task window."""
-    return running(df, order, {name: F.lit(1).cast("long")}, by)
+    return running(df, order, {name: F.lit(1).cast("long")}, by, spans)
 
 
 def group_total(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:

@@ -224,12 +224,13 @@ def spread(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def spread_flags(df: DataFrame, value: str, by: Sequence[str], k: float = 2.0) -> DataFrame:
-    """Rows above ``k`` times the group's smallest value or mean."""
+def spread_flags(
+    df: DataFrame, value: str, by: Sequence[str], over_mean: Mapping[str, float] = {"over_mean": 2.0}, k: float = 2.0
+) -> DataFrame:
+    """Rows above ``k`` times the group's smallest value, and above each named multiple of its mean."""
     stats = df.groupBy(*by).agg(
         F.min(value).cast("double").alias("_lo"), ratio(F.sum(value), F.count(value)).alias("_mean")
     )
     x = F.col(value).cast("double")
-    return attach(df, stats, by).withColumns({
-        "over_lowest": x > k * F.col("_lo"), "over_mean": x > k * F.col("_mean")
-    }).drop("_lo", "_mean")
+    flags = {name: x > factor * F.col("_mean") for name, factor in over_mean.items()}
+    return attach(df, stats, by).withColumns({"over_lowest": x > k * F.col("_lo"), **flags}).drop("_lo", "_mean")

@@ -152,6 +152,15 @@ def part_columns(t):
     return t("part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"), F.inline(rows))
 
 
+@query("catalogue_hash", """WITH line AS (SELECT p_brand, 'part_' || p_partkey AS table_name, 'part_' || p_partkey || '|brand:' || p_brand || ':False,kind:' || p_type
+    || ':False,size:' || p_size || ':True|brand|kind->kind_' || p_type AS line FROM part)
+  SELECT p_brand AS database, substring(sha256(string_agg(line, chr(10) ORDER BY table_name)), 1, 16) AS fingerprint FROM line GROUP BY 1""")
+def catalogue_hash(t):
+    """One hash for all tables of a brand, read as a database."""
+    brands = t("part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"), F.col("p_brand").alias("database"))
+    return k.catalogue_fingerprint(part_columns(t).join(brands, "table_name"), "database")
+
+
 @query("schema_fingerprint", """SELECT 'part_' || p_partkey AS table_name, substring(sha256('part_' || p_partkey || '|brand:' || p_brand || ':False,kind:' || p_type
     || ':False,size:' || p_size || ':True|brand|kind->kind_' || p_type), 1, 16) AS fingerprint FROM part""")
 def schema_fingerprint(t):

@@ -256,6 +256,4 @@ def spread_in_group(t):
   FROM p WINDOW g AS (PARTITION BY level)""")
 def spread_flags(t):
     df = b.staff(t).where("salary > 0").select("employee_id", "level", "salary")
-    wide = w.spread_flags(df, "salary", ["level"])
-    near = w.spread_flags(df, "salary", ["level"], 1.5).select("employee_id", F.col("over_mean").alias("over_mean_150"))
-    return wide.drop("salary").join(near, "employee_id")
+    return w.spread_flags(df, "salary", ["level"], {"over_mean_150": 1.5, "over_mean": 2.0}).drop("salary")
