@@ -63,6 +63,28 @@ def jsonl_intake(t):
     return readers.parse_lines(json_lines(t), "line", "k long", ["k"]).select("event_id", "reason", F.col("record.k").alias("k"))
 
 
+@query("jsonl_file_intake", """WITH x AS (SELECT event_id, event_type AS e, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'view')
+  SELECT CASE e WHEN 'error' THEN 'invalid json line' WHEN 'click' THEN 'not an object' WHEN 'signup' THEN 'missing field k' ELSE 'accepted' END AS part,
+    COUNT(*) AS n_lines, (SUM(k) FILTER (WHERE e = 'purchase'))::BIGINT AS k_sum, TRUE AS in_place FROM x GROUP BY 1""")
+def jsonl_file_intake(t):
+    """Lines are written to files in event order and read back with file and line number.
+
+    Accepted lines hold their event's number, so in each file number and line number must
+    keep one distance, blank and broken lines included.
+    """
+    kind, path = F.col("event_type"), writers.scratch_folder(t.spark, "lines")
+    whole = F.to_json(F.struct(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k")))
+    lines = json_lines(t).join(t("events").select("event_id", "event_type", whole.alias("whole")), "event_id")
+    lines = lines.withColumn("line", F.when(kind == "purchase", F.col("whole")).otherwise(F.col("line")))
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id").select("line").write.text(path)
+    rows = durable(readers.parse_lines(readers.read_lines(t.spark, path), "line", "id long, k long", ["k"]))
+    gap = F.col("record.id") - F.col("line_no")
+    apart = rows.where("reason IS NULL").groupBy("file").agg((F.min(gap) != F.max(gap)).alias("apart"))
+    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("record.k").alias("k_sum")
+    ).withColumn("in_place", F.coalesce(apart.agg(~F.bool_or("apart")).scalar(), F.lit(True)))
+
+
 @query("split_sink", f"WITH pool AS (SELECT * FROM documents), {SQL_SPLIT} SELECT split, COUNT(*) AS n, SUM(doc_id)::BIGINT AS ids FROM split GROUP BY 1")
 def split_sink(t):
     path = writers.scratch_folder(t.spark, "splits")
