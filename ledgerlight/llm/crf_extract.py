@@ -80,6 +80,7 @@ class Leaf:
     text: str
     tags: list[str]
     groups: set[str]
+    near: frozenset[str]  # groups of the innermost element that names any
     linked: int  # characters inside links
 
 
@@ -107,7 +108,8 @@ class _Reader:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 groups = set().union(*(g for _, g in self.above)) if self.above else set()
-                self.leaves.append(Leaf(text, [t for t, _ in self.above if t not in INLINE], groups, self.linked))
+                near = next((g for _, g in reversed(self.above) if g), frozenset())
+                self.leaves.append(Leaf(text, [t for t, _ in self.above if t not in INLINE], groups, near, self.linked))
         self.parts, self.above, self.linked = [], [], 0
 
     def pop(self) -> None:
@@ -180,7 +182,7 @@ def leaves(page: str | None) -> list[Leaf]:
 
 
 NAMES = (
-    [f"above={t}" for t in BLOCK_TAGS] + [f"parent={t}" for t in BLOCK_TAGS] + [f"group={g}" for g in GROUPS]
+    [f"above={t}" for t in BLOCK_TAGS] + [f"parent={t}" for t in BLOCK_TAGS] + [f"group={g}" for g in GROUPS] + [f"near={g}" for g in GROUPS]
     + [f"size={s}" for s in SIZES] + ["links=0", "links=some", "links=most", "end=stop", "comma", "sign=copyright",
        "first", "last", "bias"]
 )
@@ -188,6 +190,7 @@ INDEX = {n: k for k, n in enumerate(NAMES)}
 _ABOVE = {t: INDEX[f"above={t}"] for t in BLOCK_TAGS}
 _PARENT = {t: INDEX[f"parent={t}"] for t in BLOCK_TAGS}
 _GROUP = {g: INDEX[f"group={g}"] for g in GROUPS}
+_NEAR = {g: INDEX[f"near={g}"] for g in GROUPS}
 _SIZE = [INDEX[f"size={s}"] for s in SIZES]
 
 
@@ -197,6 +200,7 @@ def active(leaf: Leaf, first: bool, last: bool) -> list[int]:
     if leaf.tags and leaf.tags[-1] in _PARENT:
         out.append(_PARENT[leaf.tags[-1]])
     out += [_GROUP[g] for g in leaf.groups]
+    out += [_NEAR[g] for g in leaf.near]
     text = leaf.text
     count = text.count(" ") + 1
     out += [i for i, s in zip(_SIZE, SIZES) if count >= s]
@@ -224,7 +228,7 @@ class Field:
     step: np.ndarray
 
 
-def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 300, penalty: float = 0.02, rate: float = 0.1) -> Field:
+def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 300, penalty: float = 0.003, rate: float = 0.1) -> Field:
     """Maximum-likelihood field with a quadratic penalty, by adaptive gradient steps.
 
     ``pages`` hold the active features and the label of every leaf; pages without leaves
@@ -310,6 +314,9 @@ _BOILERPLATE = (
     '<div class="related"><h4>{few}</h4><ul>{links}</ul></div>', '<div class="share">{links}</div>',
 )
 _ENDS = (
+    '<div class="comments"><article class="comment">{long}</article><article class="comment">{sentence}</article></div>',
+    '<div id="respond"><p>{short}</p><form><label>{few}</label></form></div>', '<div id="secondary" class="widget-area"><p>{long}</p></div>',
+    "<div>© {short}</div>",
     '<section class="comments"><h2>{few}</h2><article class="comment"><p>{long}</p></article></section>',
     '<div id="comments"><div class="comment"><p>{long}</p><p>{sentence}</p></div><p>{sentence}</p></div>',
     '<ol class="comment-list"><li><p>{long}</p></li><li><p>{sentence}</p></li></ol>',
@@ -319,7 +326,8 @@ _ENDS = (
 _HOLDERS = (
     ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
     ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post">', "</div></div>"),
-    ('<section class="entry-content">', "</section>"), ('<div class="article-body">', "</div>"), ('<div class="story">', "</div>"),
+    ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", ""), ('<div id="page"><div class="entry">', "</div></div>"),
+    ("<article class='post'>", "</article>"), ('<section class="entry-content">', "</section>"), ('<div class="article-body">', "</div>"), ('<div class="story">', "</div>"),
 )
 _CONTENT = (
     "<p>{long}</p>", "<p>{long}", "<p>{sentence}</p>", "<p>{short}", "<h2>{short}</h2>", "<p><b>{sentence}<br>",
@@ -352,7 +360,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
         start, stop = rng.choice(_HOLDERS)
         inner = [fill("<h1>{short}</h1>", MARK)] if rng.random() < 0.8 else []
         inner += [fill(rng.choice(_CONTENT), MARK) for _ in range(rng.randint(1, 9))]
-        if rng.random() < 0.35:
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):  # adverts and the like between the paragraphs
             inner.insert(rng.randint(1, len(inner)), fill(rng.choice(_BOILERPLATE[5:]), ""))
         before = [fill(f, "") for f in rng.sample(_BOILERPLATE, rng.randint(0, 4))]
         after = [fill(f, "") for f in rng.sample(_BOILERPLATE[5:], rng.randint(0, 2)) + rng.sample(_ENDS, rng.randint(0, 3))]

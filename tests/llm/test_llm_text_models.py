@@ -120,14 +120,30 @@ def test_judge_keeps_good_and_drops_odd(spark):
 
 
 def test_forest_scores_follow_path_lengths():
-    x = np.concatenate([np.random.default_rng(0).normal(size=(400, 7)), np.full((1, 7), 30.0)])
-    forest = isolation_rules.grow([x[k::4] for k in range(4)] * 5)
-    scores = forest.scores(x)
-    assert scores.argmax() == 400 and scores[:400].mean() < 0.6 < scores[400]
+    x = np.random.default_rng(0).uniform(0.4, 0.6, size=(400, 7))
+    forest = isolation_rules.grow([x[k::4] for k in range(4)] * 5, np.zeros(7), np.ones(7))
+    odd = np.full((1, 7), 0.5)
+    odd[0, 3] = 0.97
+    scores = forest.scores(np.concatenate([x, odd]))
+    assert scores[400] > np.quantile(scores[:400], 0.99)
+
+    def path(tree, row):
+        node = depth = 0
+        while forest.feature[tree, node] >= 0:
+            node = forest.child[tree, node] + (row[forest.feature[tree, node]] >= forest.value[tree, node])
+            depth += 1
+        return forest.length[tree, node], depth
+
+    for row, got in zip(x[:20], scores):
+        lengths = [path(t, row)[0] for t in range(len(forest.feature))]
+        assert got == pytest.approx(2 ** (-np.mean(lengths) / forest.expected))
+
+
+FIELD = crf_extract.fit()
 
 
 def test_crf_on_unseen_layouts():
-    field = crf_extract.fit()
+    field = FIELD
     right = total = 0
     for page, labels in crf_extract.labelled_pages(80, seed=77):
         got = crf_extract.decode(field, crf_extract.featured(crf_extract.leaves(page)))
@@ -136,6 +152,25 @@ def test_crf_on_unseen_layouts():
     assert right / total > 0.98
 
 
+LONG = "The river ran past the mill, and the people of the town walked along its banks every evening to talk."
+LAYOUTS = [
+    (f"<h1>@Title</h1><p>@{LONG}</p><p>@{LONG}</p><p>@Short one.</p>"),
+    (f"<div><div><a href=a>Home</a> <a href=b>News</a></div><div><h1>@Title</h1><div>@{LONG}</div><div>@{LONG}</div></div><div>© 2024</div></div>"),
+    (f"<div id='cookie-banner'>We use cookies. <button>OK</button></div><header class='site'><h1>Daily</h1><nav><a>Home</a></nav></header><main><article>"
+     f"<header><h1>@Title</h1></header><p>@{LONG}</p><aside class='related'><ul><li><a>Other story</a></li></ul></aside><p>@{LONG}</p></article><section id='comments'>"
+     f"<div class='comment'><p>{LONG}</p></div></section></main><aside class='sidebar'><p>{LONG}</p></aside><footer><p>{LONG}</p></footer>"),
+    (f"<nav><ul><li><a>x</a></ul></nav><div class='notice'>{LONG}</div><article><h1>@T</h1><p>@{LONG}<p>@{LONG}<div class='ad'>{LONG}</div><p>@{LONG}</article>"
+     f"<div class='comments'><article class='comment'>{LONG}</article></div><form><p>{LONG}</p></form><footer>{LONG}</footer>"),
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_crf_on_written_pages(layout):
+    want = [x.text.startswith("@") for x in crf_extract.leaves(layout)]
+    found = crf_extract.leaves(layout.replace("@", ""))
+    assert crf_extract.decode(FIELD, crf_extract.featured(found)) == [int(w) for w in want]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     field = crf_extract.Field(rng.normal(size=(len(crf_extract.NAMES), 2)), rng.normal(size=(2, 2)))
@@ -168,14 +203,14 @@ PAGE = (
 def test_extract(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 5), (3, "u", "", 5), (1, "u", PAGE, 5), (4, "u", "<", 5), (5, "u", "<div " + "a" * 100_000, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT int")
-    got = crf_extract.extract(pages, crf_extract.fit())
+    got = crf_extract.extract(pages, FIELD)
     assert got.columns == ["page_id", "url", "text"]
     want = "A & B First line here, with bold text and more words to read. second Café A is open today, come in."
     texts = collections.defaultdict(list)
     for r in got.collect():
         texts[r["page_id"]].append(r["text"])
     assert texts[1] == [want, want] and texts[2] == texts[3] == [""] and len(texts) == 5
-    assert crf_extract.extract(pages.limit(0), crf_extract.fit()).count() == 0
+    assert crf_extract.extract(pages.limit(0), FIELD).count() == 0
 
 
 def test_language_model_base_score_is_exact(spark, monkeypatch):
