@@ -305,7 +305,8 @@ def featured(found: list[Leaf]) -> list[list[int]]:
 MARK = "\ue000"  # a private character in front of every content text while labels are read off
 _BOILERPLATE = (
     "<nav><ul>{links}</ul></nav>", '<div class="menu">{links}</div>', '<div id="top-nav"><ul>{links}</ul></div>',
-    "<header><div>{few}</div></header>", '<header class="site-header"><a href="/">{few}</a><p>{short}</p></header>',
+    "<header><div>{few}</div></header>", "<header><h1>{few}</h1><nav>{links}</nav></header>", '<header class="top"><h1>{short}</h1></header>',
+    '<header class="site-header"><a href="/">{few}</a><p>{short}</p></header>',
     '<div class="ad">{sentence}</div>', '<div class="advert"><p>{sentence}</p></div>', '<div class="sponsored">{long}</div>',
     '<aside><h3>{few}</h3><p>{sentence}</p></aside>', '<div class="sidebar"><h2>{few}</h2><ul>{links}</ul><p>{long}</p></div>',
     '<div class="cookie-notice"><p>{sentence}</p><button>{few}</button></div>', '<div role="alert">{sentence}</div>',
@@ -358,12 +359,13 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[str, list[int]
     pages = []
     for _ in range(count):
         start, stop = rng.choice(_HOLDERS)
-        inner = [fill("<h1>{short}</h1>", MARK)] if rng.random() < 0.8 else []
+        title = rng.choice(("<h1>{short}</h1>",) * 4 + ("<header><h1>{short}</h1></header>", ""))
+        inner = [fill(title, MARK)] if title else []
         inner += [fill(rng.choice(_CONTENT), MARK) for _ in range(rng.randint(1, 9))]
         for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):  # adverts and the like between the paragraphs
-            inner.insert(rng.randint(1, len(inner)), fill(rng.choice(_BOILERPLATE[5:]), ""))
+            inner.insert(rng.randint(min(1, len(inner)), len(inner)), fill(rng.choice(_BOILERPLATE[7:]), ""))
         before = [fill(f, "") for f in rng.sample(_BOILERPLATE, rng.randint(0, 4))]
-        after = [fill(f, "") for f in rng.sample(_BOILERPLATE[5:], rng.randint(0, 2)) + rng.sample(_ENDS, rng.randint(0, 3))]
+        after = [fill(f, "") for f in rng.sample(_BOILERPLATE[7:], rng.randint(0, 2)) + rng.sample(_ENDS, rng.randint(0, 3))]
         page = f"<html><body>{''.join(before)}{start}{''.join(inner)}{stop}{''.join(after)}</body></html>"
         found = leaves(page)
         pages.append((page.replace(MARK, ""), [int(x.text.startswith(MARK)) for x in found]))
