@@ -2,7 +2,7 @@
 
 Messages point at the message they answer. Self-joins that double the distance in each
 round find root, depth and summed score of every message, and keep the table of
-ancestors 1, 2, 4, ... steps above. Leaves are ranked within their tree by the score of
+ancestors 1, 2, 4, ... steps above; messages that have met their root leave the rounds. Leaves are ranked within their tree by the score of
 their branch; the jump tables, from the longest to the shortest, then enumerate the
 messages of the chosen branches. Only keys and scores take part in the joins. Each
 message becomes one formatted segment; the segments of a path in order are its text, so
@@ -72,29 +72,23 @@ def jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             "score", F.col("node").alias("root"),
         )
     )
-    tables, waiting = [], None
-    while True:
-        left = state.where("above is not null").count()
-        if not left or left == waiting:
-            break
-        waiting = left
-        tables.append(state.where("above is not null").select("tree", "node", "above"))
-        step = 1 << (len(tables) - 1)
-        up = state.select(
+    settled, live = state.where("above is null"), state.where("above is not null")
+    tables, left, before = [], live.count(), None
+    while left and left != before:  # only messages below a cycle stay as many as they were
+        tables.append(live.select("tree", "node", "above"))
+        up = settled.unionByName(live).select(
             "tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("up_depth"),
             F.col("score").alias("up_score"), F.col("root").alias("up_root"),
         )
-        moved = state.join(up, ["tree", "above"], "left")
-        live = F.col("above").isNotNull()
-        state = stored(
-            moved.select(
-                "tree", "node", F.col("next").alias("above"),
-                F.when(live, step + F.col("up_depth")).otherwise(F.col("depth")).alias("depth"),
-                F.when(live, F.col("score") + F.col("up_score")).otherwise(F.col("score")).alias("score"),
-                F.when(live, F.col("up_root")).otherwise(F.col("root")).alias("root"),
+        moved = stored(
+            live.join(up, ["tree", "above"]).select(
+                "tree", "node", F.col("next").alias("above"), (F.lit(1 << (len(tables) - 1)) + F.col("up_depth")).alias("depth"),
+                (F.col("score") + F.col("up_score")).alias("score"), F.col("up_root").alias("root"),
             )
         )
-    return state.where("above is null").select("tree", "node", "root", "depth", "score"), tables
+        settled, live = settled.unionByName(moved.where("above is null")), moved.where("above is not null")
+        left, before = live.count(), left
+    return settled.select("tree", "node", "root", "depth", "score"), tables
 
 
 def best_branches(reached: DataFrame, messages: DataFrame, per_tree: int = 1) -> DataFrame:
