@@ -2,9 +2,12 @@
 
 Each text gives exact counts. Documents that fail a base rule go; the others are judged
 by the length of their paths through a forest of random splits: odd documents are cut
-off early. Every tree sees ``tree_rows`` rows, as the method asks; the rows come from a
-hash over all documents. The threshold comes from all labelled rows: their scores are
-counted by label in bins, and it is the lowest one that keeps ``keep_good`` of the good.
+off early. Every tree sees ``tree_rows`` rows, as the method asks, chosen by a hash among
+the documents labelled good (all documents, where none is). Splits fall at random into
+the box that a node has of the range of all documents, not of the rows it holds: rows
+that are odd in one statistic are common here (a tenth of the corpus), and splits inside
+the sampled range hide them behind each other. The threshold comes from all labelled
+rows, whose scores are counted by label in bins.
 """
 
 from __future__ import annotations
@@ -16,15 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import mapped
+from ledgerlight.llm.common import mapped, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_upper", "n_distinct", "n_runs")
+FEATURES = tuple(f"share_{k}" for k in range(7))
 BINS = 2_000
 
 
@@ -70,14 +74,18 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return mapped(source, run, ", ".join(f"{n} long" for n in names))
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Shares that do not depend on length; columns as in ``COUNTS`` and ``EXTRA``."""
-    n, chars, symbols, lines, repeated, upper, distinct, runs = counts.astype(np.float64).T
-    words = np.maximum(n, 1)
-    return np.stack(
-        [chars / words, symbols / words, lines / words, repeated / words, upper / words, runs / words,
-         np.log1p(distinct) / np.log1p(words)], axis=1,
+def with_features(counts: DataFrame) -> DataFrame:
+    """Adds the columns ``FEATURES``: shares on scales on which small ones still differ."""
+    words = F.greatest(F.col("n_words"), F.lit(1))
+
+    def root(name: str) -> Column:
+        return F.sqrt(F.col(name) / words)
+
+    values = (
+        F.log1p(F.col("word_chars") / words), root("n_symbols"), root("n_dup_lines"), F.col("n_repeat_words") / words,
+        root("n_upper"), root("n_runs"), F.log1p("n_distinct") / F.log1p(words),
     )
+    return counts.withColumns(dict(zip(FEATURES, values)))
 
 
 @dataclass(frozen=True)
@@ -112,27 +120,26 @@ def _harmonic_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def grow(samples: list[np.ndarray], seed: int = 11) -> Forest:
-    """One tree for each sample of rows."""
+def grow(samples: list[np.ndarray], low: np.ndarray, high: np.ndarray, limit: int = 16, seed: int = 11) -> Forest:
+    """One tree for each sample of rows; cuts are uniform in a node's box of (``low``, ``high``)."""
     rng = np.random.default_rng(seed)
+    wide = np.flatnonzero(high > low)
     trees = []
     for x in samples:
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
         feature, value, child, length = [-1], [0.0], [0], [0.0]
-        open_ = [(0, x, 0)]
+        open_ = [(0, x, 0, low, high)]
         while open_:
-            node, rows, depth = open_.pop()
-            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
-            if depth >= limit or len(rows) <= 1 or not len(spread):
+            node, rows, depth, start, stop = open_.pop()
+            if depth >= limit or len(rows) <= 1 or not len(wide):
                 length[node] = depth + _harmonic_path(len(rows))
                 continue
-            f = int(rng.choice(spread))
-            low, high = rows[:, f].min(), rows[:, f].max()
-            cut = rng.uniform(low, high)
-            cut = high if cut <= low else cut
+            f = int(rng.choice(wide))
+            cut = rng.uniform(start[f], stop[f])
             feature[node], value[node], child[node] = f, cut, len(feature)
-            for part in (rows[rows[:, f] < cut], rows[rows[:, f] >= cut]):
-                open_.append((len(feature), part, depth + 1))
+            for right in (False, True):
+                ends = (start.copy(), stop.copy())
+                ends[0 if right else 1][f] = cut
+                open_.append((len(feature), rows[(rows[:, f] >= cut) == right], depth + 1, *ends))
                 feature.append(-1)
                 value.append(0.0)
                 child.append(0)
@@ -147,70 +154,82 @@ def grow(samples: list[np.ndarray], seed: int = 11) -> Forest:
     return Forest(*arrays, max(_harmonic_path(size), 1.0))
 
 
-def train(counts: DataFrame, trees: int = 100, tree_rows: int = 256) -> Forest:
-    """Forest over ``counts``; its ``trees * tree_rows`` rows are those with the smallest hashes.
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    columns = (table.column(n).to_pandas() for n in FEATURES)
+    return np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1)
+
 
-    Spark keeps the smallest of each task, so no more than these rows travel.
+def train(rows: DataFrame, good: DataFrame, trees: int = 100, tree_rows: int = 256) -> Forest:
+    """Forest of ``good`` rows, or of ``rows`` where there are none, over the range of ``rows``.
+
+    Its ``trees * tree_rows`` rows are those with the smallest hashes. Spark keeps the
+    smallest of each task, so no more than these rows travel.
     """
-    names = [*COUNTS, *EXTRA]
-    taken = counts.select(*names, F.xxhash64("doc_id", *names).alias("h")).orderBy("h", *names).limit(trees * tree_rows)
-    got = taken.select(*names).toArrow()
-    x = features(np.stack([got.column(n).to_numpy() for n in names], axis=1)) if got.num_rows else np.zeros((0, 7))
+    def smallest(df: DataFrame) -> pa.Table:
+        names = [*COUNTS, *EXTRA]
+        hashed = df.select(*FEATURES, F.xxhash64("doc_id", *names).alias("h"))
+        return hashed.orderBy("h", *FEATURES).limit(trees * tree_rows).select(*FEATURES).toArrow()
+
+    ends = rows.agg(*[f(n).alias(f"{k}{n}") for k, f in (("a", F.min), ("z", F.max)) for n in FEATURES]).first()
+    if ends[0] is None:
+        return grow([], np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
+    got = smallest(good)
+    x = _matrix(got if got.num_rows else smallest(rows))
     deal = np.random.default_rng(5).permutation(len(x))
     samples = [x[deal[k::trees]] for k in range(trees) if len(deal[k::trees])]
-    return grow(samples)
+    return grow(samples, np.array(ends[: len(FEATURES)]), np.array(ends[len(FEATURES) :]))
 
 
-def scored(counts: DataFrame, forest: Forest) -> DataFrame:
-    shared = counts.sparkSession.sparkContext.broadcast(forest)
-    names = [*COUNTS, *EXTRA]
-    schema = counts.withColumn("oddness", F.lit(0.0)).schema
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    schema = rows.withColumn("oddness", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x))], names=schema.names)
+            odd = shared.value.scores(_matrix(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.float64())], names=schema.names)
 
-    return mapped(counts, run, schema)
+    return mapped(rows, run, schema)
 
 
-def threshold(judged: DataFrame, labels: DataFrame, label: str = "quality", keep_good: float = 0.998) -> float:
-    """Oddness beyond which a document goes, from the labelled rows.
+def threshold(judged: DataFrame, keep_good: float = 0.99) -> float:
+    """Oddness beyond which a document goes, from all rows of ``judged`` with a label ``y``.
 
-    Scores are counted by label in ``BINS`` bins over all labelled rows. Among the cuts
-    that keep at least ``keep_good`` of the good rows, the lowest with the most bad rows
-    beyond it is taken; without good rows nothing goes.
+    Among the cuts that keep at least ``keep_good`` of the good rows, the one with the
+    largest share of bad rows beyond it less five times that of good ones; of equals the
+    highest. Without good rows nothing goes.
     """
-    own = labels.where(f"{label} in (0, 1)").select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
     bins = F.least(F.floor(F.col("oddness") * BINS), F.lit(BINS - 1)).alias("bin")
-    rows = judged.join(own.distinct(), F.col("doc_id") == F.col("_id")).groupBy("y", bins).count().collect()
+    rows = judged.where("y is not null").groupBy("y", bins).count().collect()
     table = np.zeros((2, BINS))
     for y, b, n in rows:
         table[y, int(b)] += n
-    if not table[1].sum():
-        return 1.0
     beyond = table[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows in this bin or above
-    fine = np.flatnonzero(beyond[1] <= (1 - keep_good) * table[1].sum())
-    if not len(fine):
+    share = beyond / np.maximum(table.sum(axis=1, keepdims=True), 1)
+    fine = np.flatnonzero(share[1] <= 1 - keep_good)
+    if not table[1].sum() or not len(fine):
         return 1.0
-    return float(fine[np.argmax(beyond[0][fine])]) / BINS
+    gain = (share[0] - 5 * share[1])[fine]
+    best = fine[np.flatnonzero(gain >= gain.max() - 1e-12)[-1]]
+    return float(best) / BINS if share[0][best] > 0 else 1.0
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int = 256, keep_good: float = 0.998,
+    docs: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int = 256, keep_good: float = 0.99,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Counts, ``base_failed``, ``oddness`` and ``kept`` for every row of ``docs``.
 
     A null or empty text has no words and fails the base rules. Repeated rows get equal
-    verdicts; a row without id takes part in all but the calibration. Empty tables give
+    verdicts; a document labelled both ways counts as bad; a row without id has no label. Empty tables give
     no rows. Other columns are ignored.
     """
-    from ledgerlight.llm.common import stored
-
     counts = stored(counted(docs, id_col, text_col))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = scored(counts, train(counts.where(~failed), trees, tree_rows)).withColumn("base_failed", failed)
-    judged = stored(judged)
-    cut = threshold(judged.where(~failed), labels, keep_good=keep_good)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("oddness") < cut))
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("y"))
+    rows = with_features(counts).withColumn("base_failed", failed)
+    rows = stored(rows.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"))
+    passed = rows.where(~F.col("base_failed"))
+    judged = stored(scored(rows, train(passed, passed.where("y = 1"), trees, tree_rows)))
+    cut = threshold(judged.where(~F.col("base_failed")), keep_good)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("oddness") < cut)).drop("y", *FEATURES)
