@@ -29,7 +29,7 @@ from ledgerlight.llm.common import LONG_MASK, STEPS, lowered, mapped, mixed, sto
 END = b"\n"  # no word can hold it
 SEGMENTS = 1024
 PROBES = 3
-FLUSH = 2_000_000  # tokens counted together in a task
+FLUSH = 1_000_000  # tokens counted together in a task
 FREQUENT = 200_000  # words whose exact counts are broadcast: 16 bytes each
 # Least counts of the steps: 1, 2, 3, 4, 6, 8, 12, 16, ...
 SCALE = np.array(sorted({1, *(2**k for k in range(1, 48)), *(3 * 2**k for k in range(47))}), dtype=np.int64)
