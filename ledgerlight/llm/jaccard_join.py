@@ -35,6 +35,7 @@ from ledgerlight.llm.components import components
 
 LEVELS = 8  # the largest l
 STARS = 4  # min-hash hubs of a class
+STEPS_A_DOUBLING = 64  # of the frequencies by which shingles are ordered
 MARKS = [f"bits_{k}" for k in range(8)]  # parity bits of a set, 64 in each
 BROADCAST_CLASSES = 500_000  # at most 4 MB of class keys go to every task
 
@@ -155,21 +156,27 @@ def _prefixes(sets: DataFrame, percent: int, levels: int) -> DataFrame:
     class chooses: the one with the least postings to read plus candidates to verify,
     where at most ``(postings read) / l`` candidates share l of them.
     """
-    posts = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+    posts = sets.select("node", F.explode("shingles").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posts.join(common, "token").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")
-    )
+    # One number holds the rank of a shingle: frequency step, then 48 bits of its hash. Where
+    # two shingles share a number a pair meets once more than it should, and is verified.
+    rank = F.shiftleft(F.floor(F.log2("df") * STEPS_A_DOUBLING), 48).bitwiseOR(F.shiftrightunsigned("token", 16))
+    ranked = posts.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(rank)).alias("shared"))
+    sizes = sets.select("node", F.size("shingles").cast("long").alias("n"))
     free = F.col("n") - F.size("shared")  # shingles of no other class come first
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    reach = ranked.select("node", "n", "shared", free.alias("free"), base.alias("base"))
+    reach = ranked.join(sizes, "node").select("node", "n", "shared", free.alias("free"), base.alias("base"))
+
+    def frequency(key: Column) -> Column:
+        return F.pow(F.lit(2.0), F.shiftrightunsigned(key, 48) / STEPS_A_DOUBLING)
+
     cost = F.transform(
         F.sequence(F.lit(1), F.lit(levels)),
         lambda lv: F.struct(
             F.aggregate(
                 F.slice("shared", F.lit(1), F.greatest(F.lit(0), (F.col("base") + lv - F.col("free")).cast("int"))),
-                F.lit(0).cast("long"),
-                lambda total, s: total + s["df"],
+                F.lit(0.0),
+                lambda total, key: total + frequency(key),
             ).alias("read"),
             lv.alias("ell"),
         ),
@@ -181,8 +188,8 @@ def _prefixes(sets: DataFrame, percent: int, levels: int) -> DataFrame:
     picked = reach.withColumn("ell", F.least(chosen, F.col("n")))
     level = F.greatest(F.lit(1), F.col("free") + F.col("at") - F.col("base") + 1)
     return (
-        picked.select("node", "free", "base", "ell", F.posexplode("shared").alias("at", "s"))
-        .select("node", F.col("s.token").alias("token"), level.cast("int").alias("level"), "ell")
+        picked.select("node", "free", "base", "ell", F.posexplode("shared").alias("at", "token"))
+        .select("node", "token", level.cast("int").alias("level"), "ell")
         .where(F.col("level") <= levels)
     )
 
