@@ -3,7 +3,9 @@
 A value is found by pattern, checked by its own rule (Luhn and mod-97 digits, octet
 ranges, the calendar, number plans) and replaced by a keyed permutation of the values of
 its format: a Feistel network over mixed-radix positions, walked along its cycle until
-the rule holds again. Equal values get equal pseudonyms in every document and spelling
+the rule holds again. Values longer than a block are permuted block by block, chained in
+both directions, so length costs time in proportion and every block depends on all others.
+Equal values get equal pseudonyms in every document and spelling
 (separators and letter case are kept, not permuted); without the key nothing is
 reversible, with it ``reveal`` gives the text back.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from ledgerlight.llm.common import fresh, mapped
 
 ROUNDS = 10
+BLOCK = 128  # positions permuted together
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # up to the end of 2099
 
@@ -34,8 +38,13 @@ class Feistel:
         self.key, self.tweak, self.size = hashlib.blake2b(key).digest(), tweak.encode(), size
         self.left = max(1, _root(size))
         self.right = -(-size // self.left)
+        # bytes of a round: 64, or as many as a half of more than 448 bits needs
+        self.width = max(64, self.right.bit_length() // 8 + 9) if self.right.bit_length() > 448 else 64
 
     def _round(self, k: int, value: int) -> int:
+        if self.width > 64:
+            data = b"".join(n.to_bytes(2 * self.width, "big") for n in (k, self.size, value)) + self.tweak
+            return int.from_bytes(hashlib.shake_256(self.key + data).digest(self.width), "big")
         data = b"%d|%d|%d|" % (k, self.size, value) + self.tweak
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=64).digest(), "big")
 
@@ -80,13 +89,15 @@ def permuted(
 ) -> str:
     """``text`` with each position permuted inside its alphabet, letter case kept."""
     sets = alphabets or _alphabets(text)
-    low = text.lower()
+    low = [c.lower() for c in text]
     places = [(k, s) for k, s in enumerate(sets) if len(s) > 1 and low[k] in s]
+    if not places:
+        return text
+    if len(places) > BLOCK:
+        return _chained(text, key, kind, back, places, valid)
     size, x = 1, 0
     for k, s in places:
         size, x = size * len(s), x * len(s) + s.index(low[k])
-    if size == 1:
-        return text
 
     def spelled(value: int) -> str:
         out = list(text)
@@ -99,6 +110,47 @@ def permuted(
     return spelled(_feistel(key, tweak, size).apply(x, back, lambda v: valid(spelled(v))))
 
 
+def _chained(
+    text: str, key: bytes, kind: str, back: bool, places: list[tuple[int, str]], valid: Callable[[str], bool]
+) -> str:
+    """``permuted`` for more than BLOCK positions: one pass over the blocks and one in reverse.
+
+    The tweak of a block holds a digest of all blocks done before it in the same pass.
+    """
+    count = -(-len(places) // BLOCK)
+    cuts = [len(places) * k // count for k in range(count + 1)]
+    blocks = [[len(s) for _, s in places[a:b]] for a, b in zip(cuts, cuts[1:])]
+    sizes = [math.prod(b) for b in blocks]
+    values = []
+    for a, b in zip(cuts, cuts[1:]):
+        x = 0
+        for k, s in places[a:b]:
+            x = x * len(s) + s.index(text[k].lower())
+        values.append(x)
+
+    def run(values: list[int], turn: int) -> list[int]:
+        """Both ways the chain runs over the permuted side, in the order of the forward pass."""
+        out = list(values)
+        state = hashlib.blake2b(f"{kind}|{turn}|{blocks}".encode()).hexdigest()
+        for k in range(count) if turn == 0 else reversed(range(count)):
+            out[k] = Feistel(key, f"{kind}:{state}", sizes[k]).apply(values[k], back)
+            known = values[k] if back else out[k]
+            state = hashlib.blake2b(f"{state}|{known:x}".encode()).hexdigest()
+        return out
+
+    while True:
+        for turn in (1, 0) if back else (0, 1):
+            values = run(values, turn)
+        out = list(text)
+        for x, a, b in zip(values, cuts, cuts[1:]):
+            for k, s in reversed(places[a:b]):
+                x, at = divmod(x, len(s))
+                out[k] = s[at].upper() if text[k].isupper() else s[at]
+        done = "".join(out)
+        if valid(done):
+            return done
+
+
 def luhn_digit(payload: str) -> str:
     total = 0
     for k, c in enumerate(reversed(payload)):

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -147,6 +148,33 @@ def test_pseudonymise_rows(spark):
     assert pseudonyms.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
+def letters_and_digits(size, seed=3, letters=string.ascii_letters + string.digits):
+    return "".join(random.Random(seed).choices(letters, k=size))
+
+
+def kept_places(a, b):
+    return sum(x == y for x, y in zip(a, b)) / len(a)
+
+
+@pytest.mark.parametrize("size", [32, 128, 256, 257, 512, 3_572, 20_000])
+def test_hex_runs_of_any_length_change_everywhere(size):
+    run = letters_and_digits(size, letters="0123456789abcdef")
+    got, counts = pseudonyms.replace(f"dump {run} end", KEY)
+    assert counts == {"secret": 1} and pseudonyms.replace(got, KEY, back=True)[0] == f"dump {run} end"
+    new = got[5:-4]
+    assert all(kept_places(new[k : k + 32], run[k : k + 32]) < 0.5 for k in range(0, size - 31, 32))
+    other = pseudonyms.replace(f"dump {run[:-1]}{'0' if run[-1] != '0' else '1'} end", KEY)[0][5:-4]
+    assert kept_places(new[:32], other[:32]) < 0.5  # the last digit counts for the first block
+
+
+@pytest.mark.parametrize("digits", [256, 512, 4_000])
+def test_feistel_of_wide_values(digits):
+    f = pseudonyms.Feistel(KEY, "t", 16**digits)
+    x = 16**digits // 3
+    y = f.apply(x)
+    assert f.apply(y, back=True) == x and kept_places(f"{x:0{digits}x}", f"{y:0{digits}x}") < 0.2
+
+
 # --- reply trees -----------------------------------------------------------
 
 PIECES = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<\\s>", "<", "<|end|>", "<|turn|>", "|>", "\n", "a", "é🙂", "[\\/INST]", "<<SYS>>", "$1"]
