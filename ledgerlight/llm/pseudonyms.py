@@ -261,8 +261,8 @@ def _access_key(text: str, key: bytes, back: bool) -> str | None:
 
 # In order of precedence; a span taken by an earlier kind is not looked at again.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes, bool], str | None]], ...] = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"), _email),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{5,63}[A-Za-z0-9+/_=-])"), _secret),
+    ("email", re.compile(r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"), _email),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{5,}[A-Za-z0-9+/_=-])"), _secret),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"), _access_key),
     ("secret", re.compile(r"(?<![A-Za-z0-9])((?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
@@ -273,6 +273,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes, bool], str | None]], .
     ("phone", re.compile(r"(?<![\w.+-])(?<![0-9][ -])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])(?! ?[0-9])"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])"), _phone),
 )
+LABELLED = KINDS[1][1]
 NAMES = tuple(dict.fromkeys(k for k, _, _ in KINDS))
 DIGIT = re.compile("[0-9]")
 LABELS = ("password", "passwd", "secret", "token", "api")
@@ -294,7 +295,14 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
         for m in pattern.finditer(text) if possible else ():
             group = 1 if kind == "secret" else 0
             start, stop = m.span(group)
-            if any(start < b and a < stop for a, b, _ in taken):
+            met = sorted((a, b) for a, b, _ in taken if start < b and a < stop)
+            if met and pattern is LABELLED:
+                # the rest of a labelled run beside an address found in it stays no clear text
+                edges = [start, *[max(start, min(e, stop)) for span in met for e in span], stop]
+                rest = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+                taken += [(a, b, _secret(text[a:b], key, back)) for a, b in rest]
+                counts[kind] = counts.get(kind, 0) + bool(rest)
+            if met:
                 continue
             new = change(m.group(group), key, back)
             if new is not None:

@@ -156,6 +156,23 @@ def kept_places(a, b):
     return sum(x == y for x, y in zip(a, b)) / len(a)
 
 
+@pytest.mark.parametrize("size", [64, 65, 128, 129, 200, 5_000])
+def test_long_labelled_secrets_and_names_are_replaced_whole(size):
+    body = letters_and_digits(size)
+    key = letters_and_digits(size, letters="0123456789abcdef")
+    for text, value in [
+        (f"token={body}. Next", body), (f"api_key: '{body}/+{body}=='", f"{body}/+{body}=="), (f"secret={key} x", key),
+        (f"write to {body}@example.org now", body), (f"token={body}/{body}@example.org", f"{body}/{body}"),
+    ]:
+        got, counts = pseudonyms.replace(text, KEY)
+        at = text.index(value)
+        assert len(got) == len(text) and got[:at] == text[:at] and got[at + len(value) :] == text[at + len(value) :]
+        new = got[at : at + len(value)]
+        for k in range(0, len(value), 50):
+            assert len(value[k : k + 50]) < 20 or kept_places(new[k : k + 50], value[k : k + 50]) < 0.5
+        assert pseudonyms.replace(got, KEY, back=True)[0] == text and counts
+
+
 @pytest.mark.parametrize("size", [32, 128, 256, 257, 512, 3_572, 20_000])
 def test_hex_runs_of_any_length_change_everywhere(size):
     run = letters_and_digits(size, letters="0123456789abcdef")
