@@ -4,10 +4,12 @@ Word and word-pair counts of all training texts are added up by Spark. A count i
 quantised to a step of a geometric scale; the filter holds, for every n-gram, its steps
 from the first to its own. A count comes back by probing step after step until one is
 missing, so errors only ever raise it. Every n-gram hashes into one segment of the
-filter, which one task builds; the segments together are broadcast to the workers.
+filter, which one task builds. Runs of segments of at most ``PART`` bytes are broadcast
+each for itself; a worker gathers many tokens and probes them part after part, holding
+one part at a time.
 
-The filter has a bit for every ``bytes_a_bit`` bytes of training text, up to ``max_bits``;
-beyond that no n-gram is left out, only the rate of false steps grows. Pair and word
+The filter has at least a bit for every ``bytes_a_bit`` bytes of training text, whatever
+their number, so the rate of false steps does not grow with it. Pair and word
 probabilities are mixed with fixed weights (Jelinek-Mercer smoothing).
 
 The unigram base score uses exact counts: those of the most frequent words (a bounded
@@ -21,15 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import LONG_MASK, STEPS, lowered, mapped, mixed, stored, utf8, word_hashes
+from ledgerlight.llm.common import LONG_MASK, STEPS, long_list, lowered, mapped, mixed, stored, utf8, word_hashes
 
 END = b"\n"  # no word can hold it
-SEGMENTS = 1024
+SEGMENTS = 1024  # at least; more when one would have over SEGMENT_BITS
+SEGMENT_BITS = 1 << 24
+PART = 1 << 26  # bytes of the filter in one broadcast
+BUILT = 1 << 27  # bytes of the filter that one task builds, about
 PROBES = 3
 FLUSH = 1_000_000  # tokens counted together in a task
+PROBED = 4_000_000  # tokens probed together in a task when there are several parts
 FREQUENT = 200_000  # words whose exact counts are broadcast: 16 bytes each
 # Least counts of the steps: 1, 2, 3, 4, 6, 8, 12, 16, ...
 SCALE = np.array(sorted({1, *(2**k for k in range(1, 48)), *(3 * 2**k for k in range(47))}), dtype=np.int64)
@@ -49,8 +56,16 @@ def _keyed(grams: np.ndarray, order: int) -> np.ndarray:
     return (grams & ~np.uint64(1)) | np.uint64(order)
 
 
-def _segment(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys ^ STEPS[7]) >> np.uint64(54)).astype(np.int64)
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Segment of each key; ``segments`` is a power of two."""
+    return (mixed(keys ^ STEPS[7]) >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+
+
+def layout(volume: int, bytes_a_bit: float) -> tuple[int, int]:
+    """Number of segments and bits of each, both powers of two, for so many bytes of text."""
+    bits = 1 << int(np.ceil(np.log2(max(volume / bytes_a_bit, SEGMENTS * 64))))
+    segments = max(SEGMENTS, bits // SEGMENT_BITS)
+    return segments, bits // segments
 
 
 def _bits(keys: np.ndarray, step: int, size: int) -> Iterator[np.ndarray]:
@@ -80,7 +95,7 @@ def _contexts(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return before
 
 
-def ngram_counts(train: DataFrame, text_col: str) -> DataFrame:
+def ngram_counts(train: DataFrame, text_col: str, segments: int = SEGMENTS) -> DataFrame:
     """``(segment, gram, n)``: partial counts, several rows an n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +106,7 @@ def ngram_counts(train: DataFrame, text_col: str) -> DataFrame:
             for at in range(0, len(keys), 500_000):
                 part = keys[at : at + 500_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_segment(part).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 500_000])],
+                    [pa.array(_segment(part, segments).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + 500_000])],
                     names=["segment", "gram", "n"],
                 )
 
@@ -110,9 +125,13 @@ def ngram_counts(train: DataFrame, text_col: str) -> DataFrame:
     return mapped(train.select(text_col), run, "segment int, gram long, n long")
 
 
-def build(counts: DataFrame, size: int) -> DataFrame:
+def build(counts: DataFrame, size: int, segments: int = SEGMENTS) -> DataFrame:
     """Finished segments ``(segment, bits)`` beside the word counts ``(gram, n)``, in one stored table."""
-    total = counts.repartition("segment").groupBy("segment", "gram").agg(F.sum("n").alias("n"))
+    tasks = segments * (size // 8) // BUILT
+    usual = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # past the usual number of tasks their number follows the filter, and each holds a bounded part of it
+    dealt = counts.repartition(tasks, "segment") if tasks > usual else counts.repartition("segment")
+    total = dealt.groupBy("segment", "gram").agg(F.sum("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: dict[int, np.ndarray] = {}
@@ -130,9 +149,8 @@ def build(counts: DataFrame, size: int) -> DataFrame:
             words = (keys & np.uint64(1)) == 0
             count = int(words.sum())
             yield _row_batch([None] * count, keys[words].view(np.int64), n[words], [None] * count)
-        if segments:
-            rows = list(segments)
-            yield _row_batch(rows, [None] * len(rows), [None] * len(rows), [segments[s].tobytes() for s in rows])
+        for s in list(segments):
+            yield _row_batch([s], [None], [None], [segments.pop(s).tobytes()])
 
     return stored(mapped(total, run, "segment int, gram long, n long, bits binary"))
 
@@ -145,28 +163,51 @@ def _row_batch(segment, gram, n, bits) -> pa.RecordBatch:
 
 
 @dataclass(frozen=True)
-class Model:
-    bits: np.ndarray  # bytes of all segments
+class Parts:
+    """The filter in broadcasts: each holds the bytes of ``run`` segments that follow each other."""
+
+    values: tuple[Broadcast, ...]
+    segments: int
+    run: int
     size: int  # bits of a segment
-    total: int  # training tokens
-    distinct: int
-    frequent: np.ndarray  # sorted keys of the most frequent words
-    counts: np.ndarray  # their exact counts
-    mix: float = 0.3  # weight of the pair, at contexts that were seen
 
     def steps(self, keys: np.ndarray) -> np.ndarray:
-        """Steps of the quantised count of each key, by repeated probes."""
-        found = np.zeros(len(keys), dtype=np.int64)
-        live, step = np.arange(len(keys)), 0
-        base = _segment(keys) * (self.size // 8)
+        """Steps of the quantised count of each key, by repeated probes, part after part."""
+        found = np.zeros(len(keys), dtype=np.uint8)
+        if len(self.values) == 1:
+            self._probe(self.values[0].value, keys, np.arange(len(keys)), 0, found)
+            return found
+        part = _segment(keys, self.segments) // self.run
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(len(self.values) + 1))
+        for k, value in enumerate(self.values):
+            if cuts[k] < cuts[k + 1]:
+                self._probe(value.value, keys, order[cuts[k] : cuts[k + 1]], k * self.run, found)
+                vars(value).pop("_value", None)  # read again from the local file when needed
+        return found
+
+    def _probe(self, bits: np.ndarray, keys: np.ndarray, live: np.ndarray, first: int, found: np.ndarray) -> None:
+        base, step = (_segment(keys[live], self.segments) - first) * (self.size // 8), 0
         while len(live) and step < len(SCALE):
             there = np.ones(len(live), dtype=bool)
             for at in _bits(keys[live], step, self.size):
-                there &= (self.bits[base[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-            live = live[there]
+                there &= (bits[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+            live, base = live[there], base[there]
             found[live] += 1
             step += 1
-        return found
+
+
+@dataclass(frozen=True)
+class Model:
+    parts: Parts
+    total: int  # training tokens
+    distinct: int
+    frequent: np.ndarray  # sorted keys of the most frequent words
+    counts: np.ndarray  # their exact counts
+    mix: float = 0.3  # weight of the pair, at contexts that were seen
+
+    def steps(self, keys: np.ndarray) -> np.ndarray:
+        return self.parts.steps(keys)
 
     def log_probabilities(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """log10 P(token | token before): mixed pair and add-one word probabilities.
@@ -174,12 +215,16 @@ class Model:
         ``begins`` are the places where texts begin, and the end of the last one.
         """
         words, back = np.unique(_keyed(tokens, 0), return_inverse=True)
-        word = SEEN[self.steps(words)][back]
-        before, context = np.empty_like(tokens), np.empty_like(word)
-        before[1:], context[1:] = tokens[:-1], word[:-1]
+        before, last = np.empty_like(tokens), begins[1] - 1
+        before[1:] = tokens[:-1]
         # an end mark stands before the first token, as it does behind the last one
-        before[begins[:-1]], context[begins[:-1]] = tokens[begins[1] - 1], word[begins[1] - 1]
-        pair = SEEN[self.steps(_keyed(pair_hashes(before, tokens), 1))]
+        before[begins[:-1]] = tokens[last]
+        keys = np.concatenate([words, _keyed(pair_hashes(before, tokens), 1)])
+        found = self.steps(keys)
+        word, pair = SEEN[found[: len(words)]][back], SEEN[found[len(words) :]]
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[begins[:-1]] = word[last]
         single = (word + 1) / (self.total + self.distinct + 1)
         weight = np.where(context > 0, self.mix, 0.0)
         follow = np.minimum(np.where(context > 0, pair / np.maximum(context, 1), 0.0), 1.0)
@@ -195,15 +240,30 @@ class Model:
         return np.where(known, self.counts[at], 0), ~known
 
 
-def fit(train: DataFrame, text_col: str = "text", bytes_a_bit: float = 2.0, max_bits: int = 1 << 31) -> tuple[Model, DataFrame]:
+def _parts(table: DataFrame, segments: int, size: int) -> Parts:
+    """Broadcasts of the filter; the driver gathers one of them at a time."""
+    wide = size // 8
+    run = min(segments, max(1, PART // wide))
+    values = []
+    for first in range(0, segments, run):
+        bits = np.zeros(run * wide, dtype=np.uint8)
+        inside = F.col("segment").between(first, first + run - 1) & F.col("bits").isNotNull()
+        done = table.where(inside).select("segment", "bits").toArrow()
+        for k, data in zip(done.column("segment").to_pylist(), done.column("bits")):
+            bits[(k - first) * wide : (k - first + 1) * wide] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
+        del done
+        values.append(table.sparkSession.sparkContext.broadcast(bits))
+    return Parts(tuple(values), segments, run, size)
+
+
+def fit(train: DataFrame, text_col: str = "text", bytes_a_bit: float = 2.0) -> tuple[Model, DataFrame]:
     """Model of all ``train`` texts, and the exact word counts ``(gram, n)``.
 
     Null and empty texts are one end mark. Without rows all counts are 0.
     """
     volume = train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    want = min(max(volume / bytes_a_bit, SEGMENTS * 64), max_bits)
-    size = 1 << int(np.ceil(np.log2(want / SEGMENTS)))
-    table = build(ngram_counts(train, text_col), size)
+    segments, size = layout(volume, bytes_a_bit)
+    table = build(ngram_counts(train, text_col, segments), size, segments)
     words = table.where("gram is not null").select("gram", "n")
     bins = words.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()
     total, distinct = sum(r["s"] for r in bins), sum(r["c"] for r in bins)
@@ -212,17 +272,13 @@ def fit(train: DataFrame, text_col: str = "text", bytes_a_bit: float = 2.0, max_
         if r["c"] > room:
             break
         room, least = room - r["c"], r["b"]
-    bits = np.zeros(SEGMENTS * (size // 8), dtype=np.uint8)
-    done = table.where("bits is not null").select("segment", "bits").toArrow()
-    for k, data in zip(done.column("segment").to_pylist(), done.column("bits")):
-        bits[k * (size // 8) : (k + 1) * (size // 8)] = np.frombuffer(data.as_py(), dtype=np.uint8)
     keys, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     if least is not None:
         top = words.where(F.floor(F.log2("n") * 16) >= least).toArrow()
         keys, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-    return Model(bits, size, total, distinct, keys, n), words
+    return Model(_parts(table, segments, size), total, distinct, keys, n), words
 
 
 SCORED = (
@@ -230,39 +286,55 @@ SCORED = (
 )
 
 
-def _scored(docs: DataFrame, model) -> DataFrame:
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    several = len(model.parts.values) > 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from ledgerlight.llm.common import long_list
-
-        m: Model = model.value
         row = TaskContext.get().partitionId() << 33
-        norm = np.log10(float(m.total + m.distinct + 1))
+        held, size = [], 0
         for batch in batches:
             ids, texts = batch.column(0), utf8(batch.column(1))
             for at in range(0, len(texts), 512):
                 tokens, begins = _joined(texts[at : at + 512])
-                count, rare = m.exact(tokens)
-                starts = begins[:-1]
-                base = np.where(rare, 0.0, np.log10(count + 1.0) - norm)
-                logs = m.log_probabilities(tokens, begins)
-                kept = _keyed(tokens, 0)
-                rest = [kept[a:b][rare[a:b]].view(np.int64) for a, b in zip(starts, begins[1:])]
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)), ids.slice(at, n), pa.array(np.diff(begins)),
-                        pa.array(np.add.reduceat((~rare).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(logs, starts)), long_list(rest),
-                    ],
-                    names=[c.split()[0] for c in SCORED.split(", ")],
-                )
-                row += n
+                held.append((ids.slice(at, len(begins) - 1), tokens, begins))
+                size += len(tokens)
+                if not several or size >= PROBED:
+                    for done in _score_rows(held, model, row):
+                        yield done
+                        row += done.num_rows
+                    held, size = [], 0
+        if held:
+            yield from _score_rows(held, model, row)
 
     return mapped(docs, run, SCORED)
 
 
+def _score_rows(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], m: Model, row: int) -> Iterator[pa.RecordBatch]:
+    """Scored rows of the texts ``(ids, tokens, begins)``, which are probed together."""
+    sizes = [len(tokens) for _, tokens, _ in held]
+    shifts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    joined = np.concatenate([begins[:-1] + shift for (_, _, begins), shift in zip(held, shifts)] + [shifts[-1:]])
+    every = m.log_probabilities(np.concatenate([tokens for _, tokens, _ in held]), joined)
+    norm = np.log10(float(m.total + m.distinct + 1))
+    for (ids, tokens, begins), shift in zip(held, shifts):
+        count, rare = m.exact(tokens)
+        starts, n = begins[:-1], len(begins) - 1
+        base = np.where(rare, 0.0, np.log10(count + 1.0) - norm)
+        kept = _keyed(tokens, 0)
+        rest = [kept[a:b][rare[a:b]].view(np.int64) for a, b in zip(starts, begins[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(row, row + n)), ids, pa.array(np.diff(begins)),
+                pa.array(np.add.reduceat((~rare).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
+                pa.array(np.add.reduceat(every[shift : shift + len(tokens)], starts)), long_list(rest),
+            ],
+            names=[c.split()[0] for c in SCORED.split(", ")],
+        )
+        row += n
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Scores of all rows of ``docs`` by a model of those where ``training`` holds.
 
@@ -272,8 +344,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """
     text = F.col(text_col).cast("string").alias("text")
     model, words = fit(docs.where(training).select(text), "text", **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = stored(_scored(docs.select(F.col(id_col).cast("long"), text), shared))
+    rows = stored(_scored(docs.select(F.col(id_col).cast("long"), text), model))
     rare = rows.select("row", F.explode("rare").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("tf"))
     norm = float(np.log10(float(model.total + model.distinct + 1)))
     n = F.coalesce(F.col("n"), F.lit(0))

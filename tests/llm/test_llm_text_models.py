@@ -254,3 +254,36 @@ def test_filter_counts_never_fall_short(spark):
     assert (steps >= exact).all() and (steps == exact).mean() > 0.9
     missing = bloom_lm._keyed(bloom_lm.word_hashes([b"none%d" % k for k in range(2_000)]), 0)
     assert (model.steps(missing) == 0).mean() > 0.9
+
+
+def test_filter_grows_with_the_text():
+    for volume in (0, 10**6, 10**9, 2**33, 30 * 10**9, 10**13):
+        segments, size = bloom_lm.layout(volume, 2.0)
+        assert segments * size >= volume / 2 and size // 8 <= bloom_lm.PART
+        assert segments & (segments - 1) == 0 and size & (size - 1) == 0
+    keys = bloom_lm.word_hashes([b"w%d" % k for k in range(5_000)])
+    found = bloom_lm._segment(keys, 4096)
+    assert 0 <= found.min() and 4000 < found.max() < 4096
+    assert (bloom_lm._segment(keys, 1024) == found >> 2).all()
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 1 << 5])  # the usual number of segments, and more of them
+def test_parts_of_the_filter_give_the_same_scores(spark, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, int(rng.integers(1, 60))) % 3_000)) for k in range(2_000)]
+    docs = spark.createDataFrame([*rows, (9_000, None), (9_001, "")], "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 5 == 0
+    monkeypatch.setattr(bloom_lm, "SEGMENT_BITS", bits)
+    want = {r["doc_id"]: tuple(r) for r in bloom_lm.score(docs, ~held).collect()}
+    monkeypatch.setattr(bloom_lm, "PART", 1_000)
+    monkeypatch.setattr(bloom_lm, "PROBED", 3_000)
+    model, _ = bloom_lm.fit(docs.where(~held))
+    parts = model.parts
+    assert len(parts.values) > 4 and all(v.value.nbytes <= 1_000 for v in parts.values)
+    assert parts.segments * parts.size >= sum(len(t) for k, t in rows if k % 5) / 2
+    got = {r["doc_id"]: tuple(r) for r in bloom_lm.score(docs, ~held).collect()}
+    assert got.keys() == want.keys()
+    for k, row in got.items():
+        assert row == pytest.approx(want[k])
