@@ -33,6 +33,7 @@ INLINE = frozenset(
 HIDDEN = frozenset(
     "head title script style noscript template textarea select option iframe object svg math canvas audio video".split()
 )
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -95,6 +96,8 @@ class _Reader:
     linked: int = 0
 
     def text(self, raw: str) -> None:
+        if self.hidden and not raw.isspace():
+            self.leave_head()
         if self.hidden or not raw:
             return
         if not self.parts or not self.above:
@@ -117,7 +120,18 @@ class _Reader:
         self.hidden -= tag in HIDDEN
         self.links -= tag == "a"
 
+    def leave_head(self) -> None:
+        """Close an open head, as text and all that may not stand in one do; not from inside its templates."""
+        names = [name for name, _ in self.stack]
+        if "head" in names:
+            k = names.index("head")
+            if "template" not in names[k:] and "noframes" not in names[k:]:
+                while len(self.stack) > k:
+                    self.pop()
+
     def open(self, tag: str, attributes: str) -> None:
+        if self.hidden and tag not in HEAD_PARTS:
+            self.leave_head()
         if tag not in INLINE:
             self.flush()
             if tag not in HIDDEN:

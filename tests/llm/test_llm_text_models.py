@@ -213,6 +213,20 @@ def test_extract(spark):
     assert crf_extract.extract(pages.limit(0), FIELD).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<body>", "", "<div>", "<p>", "<span>", "<img src=a>", "<svg></svg>", "<body><head>"])
+def test_a_head_without_its_end_tag_hides_no_text(start):
+    page = f"<!doctype html><html><head><title>No text</title><meta charset=utf-8><style>p {{}}</style>\n{start}First words here.<p>More words.</p>"
+    assert [x.text for x in crf_extract.leaves(page)] == ["First words here.", "More words."]
+    late = page.replace("More", "</head>More")
+    assert [x.text for x in crf_extract.leaves(late)][-1] == "More words."
+
+
+@pytest.mark.parametrize("part", ["<template><p>no</p></template>", "<script>'<p>no'</script>", "<noframes><p>no</p></noframes>", " \n "])
+def test_parts_of_a_head_stay_hidden(part):
+    page = f"<head>{part}<title>no</title></head><body><p>Words.</p>"
+    assert [x.text for x in crf_extract.leaves(page)] == ["Words."]
+
+
 def test_language_model_base_score_is_exact(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "FREQUENT", 3)
     rows = [(k, f"the cat sat on mat {k % 5} The Ünder dog{k}") for k in range(40)] + [(50, None), (51, ""), (None, "the cat"), (3, "again the")]
