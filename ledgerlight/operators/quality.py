@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,12 +163,54 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+CHUNK = 1 << 20  # characters of neighbouring lines that travel as one value
+
+
 def catalogue_fingerprint(columns: DataFrame, database: str) -> DataFrame:
-    """Structural hash of each database, independent of row order."""
-    lines = table_lines(columns, (database, "table_name"))
-    ordered = F.array_sort(F.collect_list(F.struct("table_name", "line")))
-    text = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n")
-    return lines.groupBy(database).agg(fingerprint(text).alias("fingerprint"))
+    """Structural hash of each database, independent of row order.
+
+    Lines are sorted over all tasks and joined to chunks of about CHUNK characters; the
+    chunks of a database stream in order through one running hash, which has one order.
+    """
+    lines = table_lines(columns, (database, "table_name")).select(database, "table_name", "line")
+    parts = T.StructType([lines.schema[database], lines.schema["table_name"], T.StructField("line", T.StringType())])
+    done = T.StructType([lines.schema[database], T.StructField("fingerprint", T.StringType())])
+
+    def batch(rows: list[tuple], like: pa.RecordBatch, names: Sequence[str]) -> pa.RecordBatch:
+        types = [*[f.type for f in like.schema][: len(names) - 1], pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = None, [], 0
+        for rows in batches:
+            for key, name, line in zip(*(c.to_pylist() for c in rows.columns)):
+                if held and (key != first[0] or size >= CHUNK):
+                    yield batch([(*first, "\n".join(held))], rows, parts.names)
+                    held, size = [], 0
+                if not held:
+                    first = key, name
+                held.append(line)
+                size += len(line)
+        if held:
+            yield batch([(*first, "\n".join(held))], rows, parts.names)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for rows in batches:
+            for own, _, text in zip(*(c.to_pylist() for c in rows.columns)):
+                if state is not None and own == key:
+                    state.update(b"\n")
+                else:
+                    if state is not None:
+                        yield batch([(key, state.hexdigest()[:16])], rows, done.names)
+                    key, state = own, hashlib.sha256()
+                state.update(text.encode())
+        if state is not None:
+            yield batch([(key, state.hexdigest()[:16])], rows, done.names)
+
+    order = (database, "table_name")
+    chunks = lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(chunked, parts)
+    return chunks.repartition(database).sortWithinPartitions(*order).mapInArrow(hashed, done)
 
 
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import unicodedata
 
 import pytest
@@ -106,6 +107,23 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert base != of([(*rows[0][:3], True, True, None), *rows[1:]]) and base != of([rows[0], (*rows[1][:5], None), rows[2]])
 
 
+def test_catalogue_fingerprint_streams_its_lines(spark, monkeypatch, many_tasks):
+    monkeypatch.setattr(quality, "CHUNK", 100)
+    rows = [(d, f"t{k}é", "id", "int", False, True, None) for d, n in [("a", 1), ("b", 500), (None, 40)] for k in range(n)]
+    frame = spark.createDataFrame(rows, "db string, " + COLS).repartition(5)
+    out = quality.catalogue_fingerprint(frame, "db")
+    got = {r["db"]: r["fingerprint"] for r in out.collect()}
+    want = {}
+    for d in ("a", "b", None):
+        lines = sorted((r[1].encode(), f"{r[1]}|id:int:False|id|".encode()) for r in rows if r[0] == d)
+        want[d] = hashlib.sha256(b"\n".join(line for _, line in lines)).hexdigest()[:16]
+    assert got == want
+    # lists hold the columns of a table, never the tables of a database
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(table_name" not in plan
+    assert quality.catalogue_fingerprint(frame.limit(0), "db").count() == 0
+
+
 def test_fk_targets(spark):
     cols = spark.createDataFrame([("c", "id"), ("c", "name"), ("c", "Code"), ("c", "CODE"), ("o", "cid")], "table_name string, column_name string")
     keys = spark.createDataFrame([("c", "id")], "table_name string, column_name string")
