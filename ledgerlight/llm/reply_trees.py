@@ -57,6 +57,13 @@ def unescape_role(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m.group(1) == "n" else m.group(1), unescape(text))
 
 
+def _joined(left: DataFrame, right: DataFrame, node: str, how: str = "inner") -> DataFrame:
+    """Equi join on ``tree``, where null is a tree like any other, and ``node``; keeps the left keys."""
+    other = right.withColumnsRenamed({"tree": "_tree", node: "_node"})
+    same = left["tree"].eqNullSafe(other["_tree"]) & (left[node] == other["_node"])
+    return left.join(other, same, how).drop("_tree", "_node")
+
+
 def jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Root, depth and branch score of the messages ``(tree, node, parent, score)``, and the jump tables.
 
@@ -67,7 +74,7 @@ def jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     base = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     state = stored(
-        base.join(known, ["tree", "parent"], "left").select(
+        _joined(base, known, "parent", "left").select(
             "tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), F.lit(0).cast("long").alias("depth"),
             "score", F.col("node").alias("root"),
         )
@@ -81,7 +88,7 @@ def jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             F.col("score").alias("up_score"), F.col("root").alias("up_root"),
         )
         moved = stored(
-            live.join(up, ["tree", "above"]).select(
+            _joined(live, up, "above").select(
                 "tree", "node", F.col("next").alias("above"), (F.lit(1 << (len(tables) - 1)) + F.col("up_depth")).alias("depth"),
                 (F.col("score") + F.col("up_score")).alias("score"), F.col("up_root").alias("root"),
             )
@@ -98,7 +105,7 @@ def best_branches(reached: DataFrame, messages: DataFrame, per_tree: int = 1) ->
     Spark keeps the best of each task before the exchange.
     """
     parents = messages.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = reached.join(parents, ["tree", "node"], "left_anti")
+    leaves = _joined(reached, parents, "node", "left_anti")
     order = F.struct((-F.col("score")).alias("s"), (-F.col("depth")).alias("d"), F.col("node").alias("leaf"))
     if per_tree == 1:
         best = leaves.groupBy("tree").agg(F.min(order).alias("o"))
@@ -114,7 +121,7 @@ def paths(branches: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """Every message of the chosen branches: ``(tree, leaf, rank, node, turn)``, turn 0 at the root."""
     found = stored(branches.select("tree", "leaf", "rank", F.col("depth").alias("turn"), F.col("leaf").alias("node")))
     for k in reversed(range(len(tables))):
-        far = found.join(tables[k], ["tree", "node"]).select(
+        far = _joined(found, tables[k], "node").select(
             "tree", "leaf", "rank", (F.col("turn") - (1 << k)).alias("turn"), F.col("above").alias("node")
         )
         found = stored(found.unionByName(far))
@@ -127,7 +134,8 @@ def format_trees(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     Rows ``(tree, leaf, rank, turn, segment, loss_start, loss_chars)``: the segment of one
     turn, and where in it the loss mask lies (assistant texts; else null and 0). The
     segments of (tree, leaf) by turn, joined without anything between, are the text of
-    the conversation. ``(tree, node)`` is unique; null roles and texts are empty, a null
+    the conversation. ``(tree, node)`` is unique, and a null tree is one
+    tree; null roles and texts are empty, a null
     score is 0. A tree without messages that reach a root gives nothing, as does an empty
     table; extra columns are ignored.
     """
@@ -137,7 +145,7 @@ def format_trees(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     loss = F.col("role") == "assistant"
-    return chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select(
+    return _joined(chosen, messages.select("tree", "node", "role", "text"), "node").select(
         "tree", "leaf", "rank", "turn", F.concat(head, body, F.lit(CLOSE + "\n")).alias("segment"),
         F.when(loss, F.length(head).cast("long")).alias("loss_start"),
         F.when(loss, F.length(body)).otherwise(0).cast("long").alias("loss_chars"),

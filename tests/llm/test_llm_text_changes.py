@@ -87,6 +87,15 @@ def test_pack(spark):
     assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_messages_without_a_tree_make_one(spark):
+    rows = [(t, n, n - 1 if n > 1 else None, "user", f"text {n}", None) for t in (None, 0, 7) for n in range(1, 6)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    for per_tree in (1, 2):
+        got = reply_trees.read_back(reply_trees.format_trees(messages, per_tree)).collect()
+        assert sorted((r["tree"] is None, r["tree"] or 0, r["n_turns"]) for r in got) == [(False, 0, 5), (False, 7, 5), (True, 0, 5)]
+        assert len({r["turns_sha256"] for r in got}) == 1
+
+
 # --- pseudonyms ------------------------------------------------------------
 
 
