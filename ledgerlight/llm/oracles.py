@@ -73,3 +73,34 @@ ARCHIVES = """
         CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
     FROM f
 """
+
+COSINES = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS x FROM embeddings),
+  good AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+    AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0),
+  link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.98),
+  reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u),
+  least AS (SELECT u, MIN(v) AS component_id FROM reach GROUP BY 1), n AS (SELECT u, COUNT(*) AS n FROM link GROUP BY 1)
+  SELECT vec_id, COALESCE(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+  FROM v JOIN least ON vec_id = least.u LEFT JOIN n ON vec_id = n.u"""
+
+
+def _centroids(rounds: int = 5) -> str:
+    parts = ["""w AS (SELECT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+  p AS (SELECT vec_id, UNNEST(generate_series(1, 64)) AS i, UNNEST(x) AS x FROM w),
+  s AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM w),
+  c0 AS (SELECT c, i, x FROM s JOIN p USING (vec_id) WHERE c < 40)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""d{k} AS (SELECT vec_id, c, SUM((p.x - c{k}.x) * (p.x - c{k}.x))::BIGINT AS d FROM p JOIN c{k} USING (i) GROUP BY 1, 2),
+  a{k} AS MATERIALIZED (SELECT vec_id, c, d FROM d{k} QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (SELECT c, i, SUM(x) AS t, COUNT(*) AS n FROM a{k} JOIN p USING (vec_id) GROUP BY 1, 2),
+  c{k + 1} AS MATERIALIZED (SELECT c, i, COALESCE(t // n - CASE WHEN t % n < 0 THEN 1 ELSE 0 END, x)::BIGINT AS x FROM c{k} LEFT JOIN m{k} USING (c, i))""")
+    return "WITH " + ",\n  ".join(parts) + f""",
+  h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY 1)
+  SELECT vec_id, c::INTEGER AS cluster, d AS distance, (SUM(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+    (SUM(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN h USING (c)"""
+
+
+CENTROIDS = _centroids()

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import (
+    balanced_search,
     bloom_lm,
     crf_extract,
     isolation_rules,
     jaccard_join,
     oracles,
     packing,
+    periodic_runs,
     pseudonyms,
     quality_svm,
     reply_trees,
+    spherical_cells,
     suffix_shards,
     warc_merge,
 )
@@ -139,6 +143,42 @@ def op10_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_cells.cosine_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_balanced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_search.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def tenth_made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by hash, repeat a stretch of their words up to the end."""
+    if doc_id is None or not words:
+        return words
+    tens, last = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if last:
+        return words
+    n = len(words)
+    a = tens % n
+    period = 1 + (n - a) // (3 + tens % 8)
+    unit = words[a : a + period]
+    return words[:a] + (unit * ((n - a) // period + 1))[: n - a]
+
+
+@query
+def op13_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=tenth_made_periodic)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", longest.alias("top"), lines.alias("lines"), "collapsed").select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"),
+        (-F.col("top.p")).alias("period"), F.expr("1000 * top.n div -top.p").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -151,4 +191,6 @@ SQL.update({
     "op6_adaptive_jaccard": oracles.JACCARD,
     "op7_suffix_arrays": oracles.SUFFIXES,
     "op9_loser_tree_merge": oracles.ARCHIVES,
+    "op11_spherical_cells": oracles.COSINES,
+    "op12_balanced_search": oracles.CENTROIDS,
 })
