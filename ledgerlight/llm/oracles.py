@@ -74,9 +74,9 @@ ARCHIVES = """
     FROM f
 """
 
-COSINES = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS x FROM embeddings),
+COSINES = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
   good AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE label IS NOT NULL AND x IS NOT NULL
-    AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0),
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
   link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
     WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.98),
   reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u),
@@ -86,8 +86,8 @@ COSINES = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding
 
 
 def _centroids(rounds: int = 5) -> str:
-    parts = ["""w AS (SELECT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
-    WHERE len(embedding) = 64 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    parts = ["""w AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
   p AS (SELECT vec_id, UNNEST(generate_series(1, 64)) AS i, UNNEST(x) AS x FROM w),
   s AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM w),
   c0 AS (SELECT c, i, x FROM s JOIN p USING (vec_id) WHERE c < 40)"""]
