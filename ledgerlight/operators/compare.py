@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerlight.functions import ratio, rounded
 from ledgerlight.operators.scale import numbered, quantiles
+from ledgerlight.session import durable
 
 PLACES = 6
 # Possible outcomes of one compared question.
@@ -58,20 +59,45 @@ def _verdict(n_gold: Column, n_pred: Column, n_off: Column) -> Column:
     return F.when((n_gold == 0) & (n_pred == 0), "both_empty").when(n_off == 0, "match").otherwise("mismatch")
 
 
-def multiset_diff(gold: DataFrame, pred: DataFrame, loose: bool = False) -> DataFrame:
+BUCKETS = 1 << 16
+
+
+def bucket_sums(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Multiset hashes of two tables per bucket of rows, from one aggregate.
+
+    rows: cells, bucket, sign (1 for one table, -1 for the other). ``g`` and ``p`` count rows,
+    ``h1`` to ``h4`` are the differences of the sums of 24 bits each of two row hashes, so that
+    no sum outgrows a long. Sums do not depend on the order of rows and count every copy.
+    """
+    marked = rows.select("bucket", "sign", *[F.xxhash64("cells", F.lit(k)).alias(f"x{k}") for k in (1, 2)])
+    counts = [F.count_if(F.col("sign") == s).alias(n) for s, n in ((1, "g"), (-1, "p"))]
+    parts = [F.shiftright(F.col(x), n).bitwiseAND(0xFFFFFF) * F.col("sign") for x in ("x1", "x2") for n in (0, 24)]
+    return marked.groupBy("bucket").agg(*counts, *[F.sum(x).alias(f"h{k}") for k, x in enumerate(parts, 1)])
+
+
+def multiset_diff(gold: DataFrame, pred: DataFrame, loose: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Compare as multisets: one row with both counts, unmatched rows and the verdict.
 
-    Rows are counted on both sides in a single grouping, so copies cost nothing.
+    Both sides are first compared by the hashes of their buckets. Equal tables are done with
+    that, one aggregate over both; otherwise only rows of buckets that differ are counted on
+    both sides, in a single grouping, so copies cost nothing. Rows that differ go unseen only
+    where 128 bits of sums agree by chance. At most ``buckets`` numbers come to the driver.
     """
-    g = normalise(gold, loose).select("cells", F.lit(1).alias("g"), F.lit(0).alias("p"))
-    p = normalise(pred, loose).select("cells", F.lit(0).alias("g"), F.lit(1).alias("p"))
-    sides = g.unionByName(p).groupBy("cells").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    zero = F.lit(0)
-    return sides.agg(
-        F.coalesce(F.sum("g"), zero).alias("n_gold"), F.coalesce(F.sum("p"), zero).alias("n_pred"),
-        F.coalesce(F.sum(F.greatest(F.col("g") - F.col("p"), zero)), zero).alias("missing"),
-        F.coalesce(F.sum(F.greatest(F.col("p") - F.col("g"), zero)), zero).alias("surplus"),
-    ).withColumn("verdict", _verdict(F.col("n_gold"), F.col("n_pred"), F.col("missing") + F.col("surplus")))
+    sides = [normalise(side, loose).withColumn("sign", F.lit(sign)) for side, sign in ((gold, 1), (pred, -1))]
+    rows = sides[0].unionByName(sides[1]).withColumn("bucket", F.pmod(F.xxhash64("cells"), F.lit(buckets)))
+    per_bucket = durable(bucket_sums(rows, buckets))
+    totals = per_bucket.agg(F.struct(F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))).scalar()
+    off = per_bucket.where("g <> p or h1 <> 0 or h2 <> 0 or h3 <> 0 or h4 <> 0").select("bucket")
+    # ``buckets`` bounds what is broadcast; with no bucket off, adaptive execution drops the second reading
+    per_row = rows.join(F.broadcast(off), "bucket", "left_semi").groupBy("cells").agg(F.sum("sign").alias("more"))
+    more, zero = F.col("more"), F.lit(0).cast("long")
+    unmatched = per_row.agg(
+        F.coalesce(F.sum(F.greatest(more, zero)), zero).alias("missing"), F.coalesce(F.sum(F.greatest(-more, zero)), zero).alias("surplus")
+    )
+    counted = unmatched.select(totals.alias("_t"), "missing", "surplus").select(
+        F.col("_t.g").alias("n_gold"), F.col("_t.p").alias("n_pred"), "missing", "surplus"
+    )
+    return counted.withColumn("verdict", _verdict(F.col("n_gold"), F.col("n_pred"), F.col("missing") + F.col("surplus")))
 
 
 def ordered_diff(gold: DataFrame, gold_order: Sequence[Column], pred: DataFrame, pred_order: Sequence[Column]) -> DataFrame:

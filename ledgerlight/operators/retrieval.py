@@ -2,148 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
-
-import ahocorasick
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions import ratio, tokens
+from ledgerlight.functions import ratio
+from ledgerlight.operators import inverted
 from ledgerlight.operators.scale import broadcast_if_small
-from ledgerlight.operators.windows import top_per_group
+from ledgerlight.sources.writers import scratch_folder
 
-# Weight of a shared token by the part of the entry it occurs in.
-WEIGHTS = {"name": 3.0, "description": 2.0, "columns": 1.0}
 ALL_TABLES = "*"
 GATE = 0.95
-# Questions are carried to the entries in blocks of at most this many table cells (words by questions).
-BLOCK_CELLS = 10_000_000
-BLOCK_QUESTIONS = 2_000
-# Passages are searched in blocks of at most this many characters.
-BLOCK_CHARS = 8_000_000
-
-
-def question_tokens(questions: DataFrame, question: str = "question_id", text: str = "text") -> DataFrame:
-    return questions.select(F.col(question).alias("question_id"), tokens(F.col(text)).alias("tokens"))
-
-
-def _blocks(rows: Iterable, weight: Callable[[Row], int], full: Callable[[int, int], bool]) -> Iterator[list]:
-    """Lists of rows, each closed once its number and summed weight make it full; the last may be empty."""
-    block, total = [], 0
-    for row in rows:
-        block.append(row)
-        total += weight(row)
-        if full(len(block), total):
-            yield block
-            block, total = [], 0
-    yield block
 
 
 def lexical_topk(
     questions: DataFrame, catalogue: DataFrame, k: int = 8, candidates: DataFrame | None = None,
-    block_cells: int = BLOCK_CELLS, block_questions: int = BLOCK_QUESTIONS,
+    files: int | None = None, probes: int = inverted.PROBES,
 ) -> DataFrame:
-    """Best ``k`` entries per question by weighted token overlap.
+    """Best ``k`` entries per question by weighted token overlap, from an index built for this call.
 
     questions: question_id, text. catalogue: entry, position, name, description, columns.
     ``candidates`` (entry) restricts the catalogue before ranking, so an entry that may
-    not be used never displaces one that may. Ties keep catalogue order. The questions
-    come in blocks of bounded size, each of which takes one pass over the catalogue.
-    """
-    if candidates is not None:
-        catalogue = catalogue.join(candidates.select("entry"), "entry", "left_semi")
-
-    asked = question_tokens(questions).toLocalIterator()
-    blocks = _blocks(asked, lambda r: len(r["tokens"]), lambda n, words: n >= block_questions or n * words >= block_cells)
-    scored = reduce(DataFrame.unionAll, [_score_in_place(part, catalogue, k) for part in blocks])
-    return top_per_group(scored, ["question_id"], [F.desc("score"), F.col("position")], k, "place").select(
-        "question_id", "entry", "score", F.col("place").cast("long").alias("place")
-    )
-
-
-def _score_in_place(asked: list, catalogue: DataFrame, k: int) -> DataFrame:
-    """Score entries against a few questions where they lie and keep the best of each batch.
-
-    The weight table (token by question) is bounded by the caller's blocks. Each Arrow
-    batch sends on at most ``k`` rows per question, so what is shuffled does not grow
-    with the entries of a batch.
-    """
-    vocabulary: dict[str, int] = {}
-    for row in asked:
-        for token in row["tokens"]:
-            vocabulary.setdefault(token, len(vocabulary))
-    table = np.zeros((len(vocabulary) + 1, len(asked)), dtype=np.float32)
-    for i, row in enumerate(asked):
-        table[[vocabulary[w] for w in row["tokens"]], i] = 1.0
-    shared = catalogue.sparkSession.sparkContext.broadcast((vocabulary, table, np.array([r["question_id"] for r in asked], dtype=np.int64)))
-    parts = list(WEIGHTS.items())
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, weights, ids = shared.value
-        for batch in batches:
-            total = np.zeros((len(batch), len(ids)))
-            for part, weight in parts:
-                for i, words in enumerate(batch[part]):
-                    rows = [index[w] for w in words if w in index]
-                    if rows:
-                        total[i] += weight * weights[rows].sum(axis=0)
-            position = batch["position"].to_numpy()
-            picks = []
-            for j in range(len(ids)):
-                best = np.lexsort((position, -total[:, j]))[:k]
-                picks.append(best[total[best, j] > 0])
-            rows = np.concatenate(picks) if picks else np.array([], dtype=int)
-            cols = np.repeat(np.arange(len(ids)), [len(p) for p in picks])
-            yield pd.DataFrame({
-                "question_id": ids[cols], "entry": batch["entry"].to_numpy()[rows], "position": position[rows],
-                "score": total[rows, cols],
-            })
-
-    kinds = dict(catalogue.dtypes)
-    schema = f"question_id long, entry {kinds['entry']}, position {kinds['position']}, score double"
-    worded = catalogue.select("entry", "position", *[tokens(F.col(p)).alias(p) for p, _ in parts])
-    return worded.mapInPandas(score, schema)
-
-
-def passages_in(docs: DataFrame, passages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(question_id, entry)`` for every entry whose text holds the passage verbatim.
-
-    docs: entry, text. passages: question_id, passage. All passages of a block are found
-    in one reading of a text, whatever their length; an empty passage is in every text,
-    a missing one in none. Each block takes one pass over the texts.
+    not be used never displaces one that may. Ties keep catalogue order. For several calls
+    on one catalogue, build the index once and use ``inverted.search``.
     """
-    kinds = dict(passages.dtypes), dict(docs.dtypes)
-    schema = f"question_id {kinds[0]['question_id']}, entry {kinds[1]['entry']}"
-    rows = passages.where("passage is not null").select("question_id", "passage").toLocalIterator()
-    blocks = _blocks(rows, lambda r: len(r["passage"]) + 1, lambda _, chars: chars >= block_chars)
-    parts = [_search(docs, part, schema) for part in blocks]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _search(docs: DataFrame, block: list, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([(r["question_id"], r["passage"]) for r in block])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_text: dict[str, list] = {}
-        for question, passage in shared.value:
-            by_text.setdefault(passage, []).append(question)
-        everywhere = by_text.pop("", [])
-        finder = ahocorasick.Automaton()
-        for passage in by_text:
-            finder.add_word(passage, passage)
-        finder.make_automaton()
-        for batch in batches:
-            found = []
-            for entry, text in zip(batch["entry"], batch["text"]):
-                if text is not None:
-                    met = {p for _, p in finder.iter(text)} if by_text else ()
-                    found += [(q, entry) for q in everywhere] + [(q, entry) for p in met for q in by_text[p]]
-            yield pd.DataFrame(found, columns=["question_id", "entry"])
-
-    return docs.select("entry", "text").mapInPandas(run, schema)
+    index = inverted.build(catalogue, scratch_folder(catalogue.sparkSession, "index"), files=files)
+    return inverted.search(index, questions, k, candidates, probes)
 
 
 def fk_expand(hits: DataFrame, edges: DataFrame, within: DataFrame | None = None) -> DataFrame:

@@ -36,19 +36,33 @@ def side_pairs(t):
         "decimal_vs_double": (price, exact),
         "lost_duplicates": (flags, flags.distinct()),
         "swapped_columns": (flags, flags.select("l_linestatus", "l_returnflag")),
+        "one_changed": (
+            o.select("o_orderkey", "o_custkey"),
+            o.select("o_orderkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % 1000 == 7, 1).otherwise(0)),
+        ),
         "both_empty": (o.where("o_totalprice < 0").select("o_orderkey"), o.where("o_totalprice < -1").select("o_orderkey")),
     }
 
 
-SQL_FLAGS = "(SELECT COUNT(*) FROM lineitem)"
-SQL_DISTINCT = "(SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem))"
+def sql_pair(name: str, gold: str, pred: str) -> str:
+    """Both sides as rows of canonical cells, compared by EXCEPT ALL both ways."""
+    return f"""SELECT '{name}' AS pair, *, CASE WHEN n_gold = 0 AND n_pred = 0 THEN 'both_empty' WHEN missing + surplus = 0 THEN 'match' ELSE 'mismatch' END AS verdict
+  FROM (SELECT (SELECT COUNT(*) FROM ({gold})) AS n_gold, (SELECT COUNT(*) FROM ({pred})) AS n_pred,
+    (SELECT COUNT(*) FROM ({gold} EXCEPT ALL {pred})) AS missing, (SELECT COUNT(*) FROM ({pred} EXCEPT ALL {gold})) AS surplus)"""
 
 
-@query("multiset_diff", f"""
-  SELECT 'decimal_vs_double' AS pair, COUNT(*) AS n_gold, COUNT(*) AS n_pred, 0::BIGINT AS missing, 0::BIGINT AS surplus, 'match' AS verdict FROM orders
-  UNION ALL SELECT 'lost_duplicates', {SQL_FLAGS}, {SQL_DISTINCT}, {SQL_FLAGS} - {SQL_DISTINCT}, 0, 'mismatch'
-  UNION ALL SELECT 'swapped_columns', {SQL_FLAGS}, {SQL_FLAGS}, {SQL_FLAGS}, {SQL_FLAGS}, 'mismatch'
-  UNION ALL SELECT 'both_empty', 0, 0, 0, 0, 'both_empty'""")
+SQL_SIDES = {
+    "decimal_vs_double": (f"SELECT o_orderkey, {sql_number('o_totalprice')} FROM orders",
+                          f"SELECT o_orderkey, {sql_number('CAST(o_totalprice AS DECIMAL(18,2))')} FROM orders"),
+    "lost_duplicates": ("SELECT l_returnflag, l_linestatus FROM lineitem", "SELECT * FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)"),
+    "swapped_columns": ("SELECT l_returnflag, l_linestatus FROM lineitem", "SELECT l_linestatus, l_returnflag FROM lineitem"),
+    "both_empty": ("SELECT o_orderkey FROM orders WHERE o_totalprice < 0", "SELECT o_orderkey FROM orders WHERE o_totalprice < -1"),
+    "one_changed": ("SELECT o_orderkey, o_custkey FROM orders", "SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 1000 = 7 THEN 1 ELSE 0 END FROM orders"),
+}
+SQL_LOOSE = [f"SELECT list_sort([{cells}]) FROM lineitem" for cells in ("l_returnflag, l_linestatus", "l_linestatus, l_returnflag")]
+
+
+@query("multiset_diff", " UNION ALL ".join(sql_pair(n, *sides) for n, sides in SQL_SIDES.items()))
 def multiset_diff(t):
     out = None
     for name, (gold, pred) in side_pairs(t).items():
@@ -57,8 +71,7 @@ def multiset_diff(t):
     return out
 
 
-@query("loose_diff", f"""
-  SELECT 'swapped_columns' AS pair, {SQL_FLAGS} AS n_gold, {SQL_FLAGS} AS n_pred, 0::BIGINT AS missing, 0::BIGINT AS surplus, 'match' AS verdict""")
+@query("loose_diff", sql_pair("swapped_columns", *SQL_LOOSE))
 def loose_diff(t):
     gold, pred = side_pairs(t)["swapped_columns"]
     return k.multiset_diff(gold, pred, loose=True).select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import tokens
+from ledgerlight.operators import hash_tree
 from ledgerlight.operators import quality as k
 from ledgerlight.plans import bindings as b
 from ledgerlight.plans.bindings import sql_ratio as q
@@ -161,6 +162,55 @@ def catalogue_hash(t):
     return k.catalogue_fingerprint(part_columns(t).join(brands, "table_name"), "database")
 
 
+SQL_LINE = """WITH line AS (SELECT p_brand, p_partkey, p_size, 'part_' || p_partkey AS table_name, 'part_' || p_partkey || '|brand:' || p_brand || ':False,kind:' || p_type
+    || ':False,size:{size}:True|brand|kind->kind_' || p_type AS line FROM part)"""
+
+
+def sql_tree(levels: int = 7) -> str:
+    """The hash tree level by level, each from the databases that have more than one node below."""
+    parts = [SQL_LINE.format(size="' || p_size || '") + """, l0 AS (SELECT p_brand, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY table_name) - 1 AS node,
+    substring(sha256(line), 1, 16) AS hash, COUNT(*) OVER (PARTITION BY p_brand) AS n FROM line)"""]
+    for k in range(1, levels):
+        parts.append(f"""l{k} AS (SELECT p_brand, node // 16 AS node, substring(sha256(string_agg(hash, chr(10) ORDER BY l{k - 1}.node)), 1, 16) AS hash,
+    (n + 15) // 16 AS n FROM l{k - 1} WHERE n > 1 GROUP BY p_brand, l{k - 1}.node // 16, n)""")
+    every = " UNION ALL ".join(f"SELECT p_brand AS database, hash AS fingerprint, {k}::BIGINT AS depth FROM l{k} WHERE n = 1" for k in range(levels))
+    return ", ".join(parts) + " " + every
+
+
+def brand_leaves(t, changed: bool = False):
+    """Fingerprints of the parts as tables of their brand; ``changed`` alters, drops and adds some."""
+    brands = t("part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name"), F.col("p_brand").alias("database"), "p_partkey", "p_size")
+    cols = part_columns(t)
+    if changed:
+        odd = F.substring_index("table_name", "_", -1).cast("long") % 97 == 5
+        cols = cols.withColumn("data_type", F.when(odd & (F.col("column_name") == "size"), "text").otherwise(F.col("data_type")))
+    lines = k.table_lines(cols).select("table_name", k.fingerprint(F.col("line")).alias("hash")).join(brands, "table_name")
+    if changed:
+        lost = (F.col("database") == "Brand#11") & (F.col("p_size") == 7)
+        lines = lines.where(~lost)
+        added = lines.where((F.col("database") == "Brand#12") & (F.col("p_size") == 8)).withColumn("table_name", F.concat("table_name", F.lit("_new")))
+        lines = lines.unionByName(added)
+    return lines.select("database", "table_name", "hash")
+
+
+@query("catalogue_tree", sql_tree())
+def catalogue_tree(t):
+    """One hash for all tables of a brand, read as a database, from a tree of hashes."""
+    return hash_tree.roots(hash_tree.build(brand_leaves(t)))
+
+
+@query("catalogue_drift", SQL_LINE.format(size="' || CASE WHEN p_partkey % 97 = 5 THEN 'text' ELSE p_size::VARCHAR END || '").replace("WITH line", "WITH now") + ", "
+    + SQL_LINE.format(size="' || p_size || '").removeprefix("WITH ") + """,
+  new AS (SELECT p_brand, table_name, line FROM now WHERE NOT (p_brand = 'Brand#11' AND p_size = 7)
+    UNION ALL SELECT p_brand, table_name || '_new', line FROM now WHERE p_brand = 'Brand#12' AND p_size = 8)
+  SELECT COALESCE(o.p_brand, n.p_brand) AS database, COALESCE(o.table_name, n.table_name) AS table_name,
+    CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM line o FULL JOIN new n ON o.p_brand = n.p_brand AND o.table_name = n.table_name WHERE o.line IS DISTINCT FROM n.line""")
+def catalogue_drift(t):
+    """Tables that differ between two states of the databases, found from the roots down."""
+    return hash_tree.drift(hash_tree.build(brand_leaves(t)), hash_tree.build(brand_leaves(t, changed=True)))[0]
+
+
 @query("schema_fingerprint", """SELECT 'part_' || p_partkey AS table_name, substring(sha256('part_' || p_partkey || '|brand:' || p_brand || ':False,kind:' || p_type
     || ':False,size:' || p_size || ':True|brand|kind->kind_' || p_type), 1, 16) AS fingerprint FROM part""")
 def schema_fingerprint(t):

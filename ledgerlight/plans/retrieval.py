@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import tokens
+from ledgerlight.operators import inverted, passages
 from ledgerlight.operators import retrieval as k
 from ledgerlight.operators.scale import attach
 from ledgerlight.plans.bindings import sql_ratio as q
 from ledgerlight.plans.quality import SQL_TOKENS
 from ledgerlight.plans.registry import query
+from ledgerlight.sources.tables import file_state
+from ledgerlight.sources.writers import scratch_folder
 
 TOP = 8
+# Stored indexes by application, table and state of its files.
+INDEXES: dict[tuple, inverted.Index] = {}
 
 
 def catalogue(t):
@@ -22,6 +27,14 @@ def catalogue(t):
     )
 
 
+def index(t):
+    """The stored index of the documents; it is built once for each state of their files."""
+    key = (t.spark.sparkContext.applicationId, t.path("documents"), file_state(t.spark, t.path("documents")))
+    if key not in INDEXES:
+        INDEXES[key] = inverted.build(catalogue(t), scratch_folder(t.spark, "index"))
+    return INDEXES[key]
+
+
 def entries(t):
     """Names of the catalogue entries."""
     return t("documents").select(F.col("doc_id").alias("entry"))
@@ -41,7 +54,7 @@ def edges(t):
 def gold(t):
     """Documents that hold the passage of the question verbatim."""
     docs = t.spread("documents", "doc_id").select(F.col("doc_id").alias("entry"), "text")
-    return k.passages_in(docs, questions(t).select("question_id", F.col("text").alias("passage")))
+    return passages.passages_in(docs, questions(t).select("question_id", F.col("text").alias("passage")))
 
 
 def allowed(t):
@@ -74,12 +87,12 @@ def fold_tokens(t):
 
 @query("lexical_topk", SQL_TOP + " SELECT * FROM top")
 def lexical_topk(t):
-    return k.lexical_topk(questions(t), catalogue(t), TOP)
+    return inverted.search(index(t), questions(t), TOP)
 
 
 @query("scoped_candidates", SQL_TOP + " SELECT * FROM stop")
 def scoped_candidates(t):
-    return k.lexical_topk(questions(t), catalogue(t), TOP, candidates=allowed(t))
+    return inverted.search(index(t), questions(t), TOP, candidates=allowed(t))
 
 
 @query("fk_expand", SQL_TOP + " SELECT * FROM ex")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Declared columns, so that opening a table reads no footer.
 SCHEMAS = {
@@ -26,6 +27,14 @@ SCHEMAS = {
 }
 
 
+def file_state(spark: SparkSession, path: str) -> str:
+    """A text that changes when a file under ``path`` is added, removed or rewritten; reads no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
+    n, total = files.agg(F.count(F.lit(1)), F.sum(mark)).first()
+    return f"{n}:{total}"
+
+
 class Tables:
     """Callable that reads ``<folder>/<name>.parquet`` (a file or a directory)."""
 

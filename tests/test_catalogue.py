@@ -1,11 +1,12 @@
 import hashlib
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import tokens
-from ledgerlight.operators import quality, retrieval
+from ledgerlight.operators import inverted, passages, quality, retrieval
 
 
 def test_folding(spark):
@@ -36,7 +37,7 @@ def asked(spark):
     return spark.createDataFrame([(1, "orders of customers"), (2, "goods by segment"), (3, "zzz"), (4, "")], "question_id long, text string")
 
 
-@pytest.mark.parametrize("options", [{}, {"block_questions": 1}, {"block_cells": 4}])
+@pytest.mark.parametrize("options", [{}, {"files": 1}, {"files": 5, "probes": 1}])
 def test_weights_and_ties_in_any_blocks(catalogue, asked, options):
     out = retrieval.lexical_topk(asked, catalogue, 2, **options).orderBy("question_id", "place").collect()
     assert [(r["question_id"], r["entry"], r["score"], r["place"]) for r in out] == [
@@ -67,13 +68,102 @@ PASSAGES = ["gamma", "beta gamma", "beta gamma delta", "alpha beta gamma delta",
 TEXTS = ["alpha beta gamma delta", "xbeta gamma deltax", "0 a b c d e f 1", "", None, "É.\nx É.\nx"]
 
 
-@pytest.mark.parametrize("chars", [1, 12, 10**6])
-def test_passages_of_any_length_are_found(spark, chars):
+def plain_topk(asked, rows, k):
+    weights = {"name": 3.0, "description": 2.0, "columns": 1.0}
+    out = []
+    for question, text in asked:
+        words = set((text or "").split())
+        scores = []
+        for entry, position, *parts in rows:
+            score = sum(x * len(words & set((p or "").split())) for x, p in zip(weights.values(), parts))
+            if score > 0:
+                scores.append((-score, position, entry))
+        out += [(question, entry, -score, place) for place, (score, _, entry) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k,probes,words", [(1, 1, 4), (3, 1, 1), (8, 4, 4)])
+def test_search_gives_the_rows_of_plain_scoring(spark, tmp_path, monkeypatch, k, probes, words):
+    monkeypatch.setattr(inverted, "WORDS", words)
+    monkeypatch.setattr(inverted, "BITS", 6 if words == 1 else 64 * words)
+    chance = random.Random(k)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+
+    def text(n):
+        return " ".join(chance.choice(common if chance.random() < 0.8 else rare) for _ in range(n))
+
+    rows = [(e, 1000 - e, text(2), text(chance.randint(0, 25)) or None, None if e % 7 == 0 else text(3)) for e in range(250)]
+    asked = [(q, text(chance.randint(1, 30))) for q in range(40)] + [(90, "absent words"), (91, ""), (92, None)]
+    frame = spark.createDataFrame(rows, "entry long, position long, name string, description string, columns string")
+    index = inverted.build(frame, str(tmp_path / "index"), files=40)
+    questions = spark.createDataFrame(asked, "question_id long, text string")
+    got = inverted.search(index, questions, k, probes=probes)
+    assert sorted(map(tuple, got.collect())) == plain_topk(asked, rows, k)
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Nested" not in plan and "Cartesian" not in plan
+    allowed = [r for r in rows if r[0] % 3 == 0]
+    only = spark.createDataFrame([(r[0],) for r in allowed], "entry long")
+    assert sorted(map(tuple, inverted.search(index, questions, k, only, probes).collect())) == plain_topk(asked, allowed, k)
+    # a common word is dealt over several files
+    places = index.postings.where("token = 'c1'").select(F.input_file_name().alias("f")).distinct().count()
+    assert places > 1 or index.postings.where("token = 'c1'").count() < 100
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "entry long, position long, name string, description string, columns string")
+    index = inverted.build(empty, str(tmp_path / "index"))
+    assert inverted.search(index, spark.createDataFrame([(1, "a b")], "question_id long, text string")).count() == 0
+
+
+def test_floor_leaves_out_common_words(spark, tmp_path):
+    """With one good entry for a question, the words that all entries hold are not read."""
+    rows = [(e, e, "", "every word here", "") for e in range(300)] + [(999, 999, "rare thing", "every word here rare thing", "")]
+    frame = spark.createDataFrame(rows, "entry long, position long, name string, description string, columns string")
+    index = inverted.build(frame, str(tmp_path / "index"))
+    seen = []
+    real = inverted._met
+    inverted._met = lambda asked, *rest: seen.append(asked) or real(asked, *rest)
+    try:
+        got = inverted.search(index, spark.createDataFrame([(1, "every rare thing")], "question_id long, text string"), 1).collect()
+    finally:
+        inverted._met = real
+    assert [(r["entry"], r["score"]) for r in got] == [(999, 12.0)]
+    assert "every" not in {r["token"] for r in seen[1].collect()}
+
+
+PASSAGES = ["gamma", "beta gamma", "beta gamma delta", "alpha beta gamma delta", "a b c d e", "a b c d e f", "mma de", "", None, "nowhere", "É.\nx", "gamma", "\U0001f600", "x"]
+TEXTS = ["alpha beta gamma delta", "xbeta gamma deltax", "0 a b c d e f 1", "", None, "É.\nx É.\nx", "a\U0001f600b", "alpha beta gamma delta"]
+
+
+def held(texts, asked):
+    return sorted((q, e) for q, p in asked for e, t in texts if p and t is not None and p in t)
+
+
+@pytest.mark.parametrize("piece", [65_536, 5, 1])
+def test_passages_of_any_length_are_found(spark, piece):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "entry long, text string")
     asked = spark.createDataFrame(list(enumerate(PASSAGES)), "question_id long, passage string")
-    got = sorted(tuple(r) for r in retrieval.passages_in(docs, asked, block_chars=chars).collect())
-    want = [(q, e) for q, p in enumerate(PASSAGES) for e, t in enumerate(TEXTS) if p is not None and t is not None and p in t]
-    assert got == want
+    got = passages.passages_in(docs, asked, piece)
+    assert sorted(map(tuple, got.collect())) == held(list(enumerate(TEXTS)), list(enumerate(PASSAGES)))
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    assert [tuple(r) for r in passages.everywhere(docs, asked).collect()] == [(7, 7)]
+    assert passages.passages_in(docs, asked.where("passage = ''")).count() == 0
+    assert passages.passages_in(docs.limit(0), asked).count() == 0
+
+
+def test_passages_from_one_to_ten_thousand_characters(spark):
+    chance = random.Random(2)
+    long = "".join(chance.choice("ab é.\n") for _ in range(60_000))
+    texts = [(e, long[chance.randint(0, 40_000) :][: chance.randint(1, 30_000)]) for e in range(12)]
+    asked = []
+    for q, size in enumerate([1, 2, 3, 5, 8, 31, 32, 33, 64, 65, 100, 1_000, 9_999, 10_000] * 3):
+        source = chance.choice(texts)[1]
+        at = chance.randint(0, max(0, len(source) - size))
+        asked.append((q, source[at : at + size] + ("#" if q % 5 == 0 else "")))
+    docs = spark.createDataFrame(texts, "entry long, text string")
+    got = passages.passages_in(docs, spark.createDataFrame(asked, "question_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == held(texts, asked)
 
 
 def test_expansion_stays_within_the_catalogue(spark):

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -85,3 +86,27 @@ def test_rollup_keeps_broken_gold_out(spark):
     rows = [("match", True), ("mismatch", True), ("gold_error", False), ("both_empty", False), ("truncated", False)]
     r = compare.verdict_rollup(spark.createDataFrame(rows, "verdict string, loose_match boolean")).first()
     assert (r["total"], r["scored"], r["exec_accuracy"], r["loose_match"]) == (5, 4, 0.25, 2)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_bucket_hashes_agree_with_counting(spark, buckets):
+    chance = random.Random(buckets)
+    for _ in range(4):
+        gold = [(chance.randint(0, 6), chance.choice("abc")) for _ in range(chance.randint(0, 60))]
+        pred = list(gold)
+        chance.shuffle(pred)
+        for _ in range(chance.choice([0, 1, 3])):
+            pred = pred[1:] if chance.random() < 0.5 else [*pred, (chance.randint(0, 9), "z")]
+        frames = [spark.createDataFrame(rows, "a int, b string") for rows in (gold, pred)]
+        want, got = Counter(gold), Counter(pred)
+        r = compare.multiset_diff(*frames, buckets=buckets).first()
+        assert (r["n_gold"], r["n_pred"], r["missing"], r["surplus"]) == (len(gold), len(pred), (want - got).total(), (got - want).total())
+
+
+def test_equal_tables_are_read_once(spark):
+    gold = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    same = compare.multiset_diff(gold, gold.orderBy(F.desc("id")))
+    assert tuple(same.first()) == (1000, 1000, 0, 0, "match")
+    same.collect()
+    plan = same._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan <empty>" in plan or "Range (0, 1000" not in plan.split("Initial Plan")[0]
