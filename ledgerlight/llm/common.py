@@ -34,7 +34,16 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table from ``stored``, once everything made from it is written too."""
+    sc = df.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import long_list, lowered, mapped, mixed, stored, utf8, window_hashes, word_hashes
+from ledgerlight.llm.common import fresh, long_list, lowered, mapped, mixed, release, stored, utf8, window_hashes, word_hashes
 from ledgerlight.llm.components import components
 
 LEVELS = 8  # the largest l
@@ -76,16 +76,22 @@ def _ell(n: int) -> int:
     return min(n, 1 + n // 20)
 
 
-def _survivors(signed: DataFrame) -> DataFrame:
-    """Keys of the classes whose hash-order prefix is shared often enough with other classes."""
-    posts = signed.select("k1", F.explode("head").alias("token"))
-    shared = (
-        posts.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token")
-    )
-    met = posts.join(shared, "token").distinct().groupBy("k1").agg(F.count("*").alias("met"))
-    sizes = signed.groupBy("k1").agg(F.max("n_shingles").alias("n_shingles"))
+def _survivors(heads: DataFrame) -> DataFrame:
+    """Nodes of the classes whose hash-order prefix is shared often enough with other classes.
+
+    heads: node, n_shingles, head, one row a class. A class holds a token once, so a token that
+    occurs twice is shared. A repeated row can only let a class survive that need not.
+    """
+    posts = heads.select("node", "n_shingles", F.explode("head").alias("token"))
+    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    met = posts.join(shared, "token").groupBy("node", "n_shingles").agg(F.count("*").alias("met"))
     ell = F.least(F.col("n_shingles"), F.floor(F.col("n_shingles") / 20) + 1)
-    return met.join(sizes, "k1").where(F.col("met") >= ell).select("k1")
+    return met.where(F.col("met") >= ell).select("node")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored column of ids, to be broadcast where a count proves it small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_CLASSES else rows
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -247,11 +253,19 @@ def jaccard_components(
     classes = stored(
         filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("node is not null")
     )
-    alive = stored(classes.join(_survivors(filled), "k1", "left_semi").select("node"))
-    members = alive.count()
-    keep = F.broadcast(alive) if members <= BROADCAST_CLASSES else alive
-    chosen = source.join(keep, source["doc_id"] == keep["node"], "left_semi")
-    sets = stored(_sets(chosen, size).dropDuplicates(["node"]))
+    # Copies, which are not the smallest document of their class, and ids of several rows.
+    copies = filled.join(classes, ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("copy")).distinct()
+    copies = stored(copies)
+    repeated = stored(filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("copy")))
+    firsts = filled.where("doc_id is not null").join(_few(copies), F.col("doc_id") == F.col("copy"), "left_anti")
+    alive = stored(_survivors(firsts.select(F.col("doc_id").alias("node"), "n_shingles", "head")).distinct())
+    narrow = stored(signed.drop("head"))
+    release(signed)
+    chosen = source.join(_few(alive), source["doc_id"] == F.col("node"), "left_semi")
+    some = _few(repeated)
+    once = chosen.join(some, F.col("doc_id") == F.col("copy"), "left_anti")
+    more = chosen.join(some, F.col("doc_id") == F.col("copy"), "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(_sets(once.unionByName(more), size))
 
     stars_found = stored(_verified(_star_pairs(sets, stars, percent), sets, percent))
     first = components(stars_found)
@@ -259,7 +273,7 @@ def jaccard_components(
     roots = components(stars_found.union(rest))
 
     named = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id"))
-    joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    joined = narrow.join(named, ["k1", "k2"], "left")
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -271,7 +285,8 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Da
     ``found`` comes from ``jaccard_components(docs)``. Rows without id stay.
     """
     counts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    key = counts.withColumnRenamed("doc_id", "_kept_id")
-    once = docs.join(key.where("copies = 1"), docs[id_col] == F.col("_kept_id"), "left_semi")
-    more = docs.join(key.where("copies > 1"), docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    name = fresh(docs.columns, "_kept_id")
+    key = counts.withColumnRenamed("doc_id", name)
+    once = docs.join(key.where("copies = 1"), docs[id_col] == F.col(name), "left_semi")
+    more = docs.join(key.where("copies > 1"), docs[id_col] == F.col(name), "left_semi").dropDuplicates([id_col])
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))

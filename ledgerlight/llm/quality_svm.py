@@ -1,8 +1,8 @@
 """Document quality by naive Bayes support vectors.
 
-Every text becomes a set of hashed n-gram indicators: runs of one to three bytes and
-runs of one or two words, and whether
-a word stands twice, three or four times in a row. Class counts of all training rows give each indicator its
+Every text becomes a set of hashed n-gram indicators: runs of one to three bytes, runs of one
+or two words, runs of three to five kinds of bytes (small letter, capital, digit, mark, space),
+which see marks glued to any word, and whether a word stands twice, three or four times in a row. Class counts of all training rows give each indicator its
 log-count ratio; indicators scaled by that ratio, at unit length, feed a linear
 hinge-loss model fitted by dual coordinate descent. The counts come from all labelled
 training rows; the descent sees at most ``fit_rows`` of them, chosen by a hash of the
@@ -40,6 +40,15 @@ _BUCKETS_1 = (mixed(np.arange(1 << 8, dtype=np.uint64) + np.uint64(1 << 40)) >>
 _BUCKETS_2 = (mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(2 << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+# Kinds of bytes; those of letters beyond ASCII count as small letters.
+_KIND = np.full(256, 3, dtype=np.int64)
+_KIND[ord("a") : ord("z") + 1] = _KIND[128:] = 0
+_KIND[ord("A") : ord("Z") + 1] = 1
+_KIND[ord("0") : ord("9") + 1] = 2
+_KIND[[9, 10, 11, 12, 13, 32]] = 4
+_SHAPES = [(mixed(np.arange(5**n, dtype=np.uint64) + np.uint64(n << 50)) >> np.uint64(64 - BITS)).astype(np.int64) for n in (3, 4, 5)]
+
+
 def indicators(text: bytes | None) -> np.ndarray:
     """Sorted distinct n-gram buckets of a text; empty for an empty or null text."""
     if not text:
@@ -52,6 +61,13 @@ def indicators(text: bytes | None) -> np.ndarray:
         out[_BUCKETS_2[two]] = True
         three = (two[:-1] << np.uint32(8)) | b[2:]
         out[(three * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)] = True
+    kind = _KIND[b]
+    run = kind[:-1] * 5 + kind[1:]
+    for n, buckets in zip((3, 4, 5), _SHAPES):
+        if len(kind) < n:
+            break
+        run = run[:-1] * 5 + kind[n - 1 :]
+        out[buckets[run]] = True
     words = word_hashes(text.split())
     shift = np.uint64(64 - BITS)
     out[words >> shift] = True
@@ -151,13 +167,19 @@ def fit(
 ) -> Model:
     """Model of ``label_col`` (0 or 1; other rows are left out) from ``text_col`` alone.
 
-    Log-count ratios cover all rows. The descent uses the ``fit_rows`` rows with the
-    smallest text hashes, a bounded sample by design. Without rows of both classes the
+    Log-count ratios cover all rows. The descent uses ``fit_rows`` different texts, those with
+    the smallest hashes, a bounded sample by design; a cut on the hash leaves about twice as many
+    before they are sorted, however many tasks there are. Without rows of both classes the
     model scores every text alike, with the share of class 1.
     """
     rows = train.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     ratio = log_count_ratios(rows, "t", "y")
-    sample = rows.orderBy(F.xxhash64(F.coalesce("t", F.lit(""))), "y").limit(fit_rows)
+    keyed = rows.withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    place = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 30))
+    share = 2 * fit_rows / max(1, keyed.agg(F.approx_count_distinct("h")).first()[0])
+    few = keyed if share >= 1 else keyed.where(place < int(share * (1 << 30)))
+    each = few.groupBy("h", "y").agg(F.first("t").alias("t"))
+    sample = each.orderBy(place, "h", "y").limit(fit_rows).select("t", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, labels = [], []
