@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import ratio, rounded
+from ledgerlight.functions.special import chi2_tail, t_quantile
 from ledgerlight.operators.scale import quantiles, ranked, running, scalars
 
 
@@ -98,6 +99,21 @@ def chisq_uniform(df: DataFrame, category: str) -> DataFrame:
     )
 
 
+def mean_interval_t(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
+    """Mean with a confidence interval of Student's t, for groups too small for the normal curve."""
+    stats = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    half = t_quantile(1 - level, F.col("n") - 1) * F.col("_s") / F.sqrt("n")
+    return stats.withColumn("_h", half).select(
+        *by, "n", rounded(F.col("_m"), 4).alias("mean"), rounded(F.col("_m") - F.col("_h"), 4).alias("low"),
+        rounded(F.col("_m") + F.col("_h"), 4).alias("high"),
+    )
+
+
+def chisq_test(df: DataFrame, category: str) -> DataFrame:
+    """``chisq_uniform`` with the probability of a statistic at least as large."""
+    return chisq_uniform(df, category).withColumn("p_value", rounded(chi2_tail(F.col("chi2"), F.col("df")), 9))
+
+
 def lorenz(df: DataFrame, value: str, key: str) -> DataFrame:
     """Cumulative share of entities and of value, from the smallest value up."""
     order = [F.col(value).asc(), F.col(key).asc()]

@@ -215,18 +215,28 @@ def run_status(
     steps: agent, duration, calls. A planned step without a row was skipped. Success
     needs the SQL result, no skipped step and no reason; partial needs the SQL result.
     """
-    done = {a: F.bool_or(F.col("agent") == a) for a in planned}
-    per = steps.groupBy(*run).agg(
-        *[c.alias(f"_d{i}") for i, c in enumerate(done.values())], F.bool_or(F.col("agent") == sql_step).alias("_sql"),
-        F.sum("duration").alias("_secs"), F.sum("calls").alias("_calls"),
-    )
-    skipped = F.array_compact(F.array(*[F.when(~F.col(f"_d{i}"), F.lit(a)) for i, a in enumerate(planned)]))
+    sums = steps.groupBy(*run).agg(F.collect_set(F.when(F.col("agent").isin(*planned, sql_step), F.col("agent"))).alias("agents"), F.sum("duration").alias("seconds"), F.sum("calls").alias("calls"))
+    return judged_runs(sums, run, planned, sql_step, max_seconds, max_calls)
+
+
+def judged_runs(
+    sums: DataFrame, run: Sequence[str], planned: Sequence[str], sql_step: str, max_seconds: float, max_calls: int, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Status and reasons from the sums of whole runs: agents (those with a step), seconds, calls."""
+    skipped = F.array_except(F.array(*[F.lit(a) for a in planned]), "agents")
+    sql = F.array_contains("agents", sql_step)
     reasons = F.array_compact(F.array(
-        F.when(F.col("_secs") > max_seconds, "time"), F.when(F.col("_calls") >= max_calls, "calls"),
+        F.when(F.col("seconds") > max_seconds, "time"), F.when(F.col("calls") >= max_calls, "calls"),
         F.when(F.size("_skipped") > 0, F.concat(F.lit("skipped "), F.array_join("_skipped", ","))),
     ))
-    out = per.withColumn("_skipped", skipped).withColumn("_reasons", reasons)
+    out = sums.withColumn("_skipped", skipped).withColumn("_reasons", reasons)
     clean = F.size("_reasons") == 0
-    status = F.when(F.col("_sql") & clean, "success").when(F.col("_sql"), "partial").otherwise("failed")
-    why = F.when(~F.col("_sql") & clean, "no usable output").otherwise(F.array_join("_reasons", "; "))
-    return out.select(*run, status.alias("status"), why.alias("reasons"))
+    status = F.when(sql & clean, "success").when(sql, "partial").otherwise("failed")
+    why = F.when(~sql & clean, "no usable output").otherwise(F.array_join("_reasons", "; "))
+    return out.select(*run, status.alias("status"), why.alias("reasons"), *keep)
+
+
+def failure_reasons(judged: DataFrame) -> DataFrame:
+    """Runs that did not succeed by status and reason; a run counts under each of its reasons."""
+    rows = judged.where("status <> 'success'").select("status", F.explode(F.split("reasons", "; ")).alias("reason"))
+    return rows.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n_runs"))

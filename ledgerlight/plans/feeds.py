@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -223,13 +222,18 @@ def stream_dedup(t):
 
 
 # --- user code ---------------------------------------------------------------
-@query("user_frame_fn", f"SELECT event_id, event_type, {r('LN(1 + value)', 6)} AS log_value FROM events")
-def user_frame_fn(t):
-    def fn(pdf):
-        return pdf[["event_id", "event_type"]].assign(log_value=np.log1p(pdf["value"]))
+DRIFT, LIMIT = 60.0, 150.0
+
 
-    out = frames.map_frames(t("events").select("event_id", "event_type", "value"), fn, "event_id long, event_type string, log_value double")
-    return out.withColumn("log_value", rounded(F.col("log_value"), 6))
+@query("user_frame_fn", f"""WITH RECURSIVE r AS (SELECT user_id, ts, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+  s(user_id, i, ts, level, total) AS (SELECT user_id, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT user_id FROM r) UNION ALL
+    SELECT r.user_id, r.i, r.ts, GREATEST(0, s.total + r.value - {DRIFT}), CASE WHEN GREATEST(0, s.total + r.value - {DRIFT}) >= {LIMIT} THEN 0 ELSE GREATEST(0, s.total + r.value - {DRIFT}) END
+    FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+  SELECT user_id, ts AS "at", {r('level', 6)} AS level FROM s WHERE i > 0 AND level >= {LIMIT}""")
+def user_frame_fn(t):
+    """Alarms of a sum that restarts, by a registered table function over each user's events in order."""
+    rows = t("events").select("user_id", F.col("ts").alias("at"), "event_id", "value")
+    return frames.drift_alarms(rows, "user_id", ["at", "event_id"], DRIFT, LIMIT).withColumn("level", rounded(F.col("level"), 6))
 
 
 @query("user_fold_fn", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, MAX(l_quantity * l_discount) AS peak FROM lineitem GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
 
@@ -33,3 +34,13 @@ def write_report(report: DataFrame, path: str) -> None:
 def write_new(df: DataFrame, path: str, drop: bool = False) -> None:
     """Write a table; an existing one is refused unless ``drop`` is given."""
     df.write.mode("overwrite" if drop else "errorifexists").parquet(path)
+
+
+def write_facts(df: DataFrame, path: str, date: str) -> None:
+    """Facts in folders by year and quarter of ``date``, so that a period reads its folders only.
+
+    Each quarter goes to as many tasks as it needs: rows are rebalanced by folder, and adaptive
+    execution splits large quarters.
+    """
+    dated = df.withColumns({"year": F.year(date), "quarter": F.quarter(date)})
+    dated.hint("rebalance", "year", "quarter").write.mode("errorifexists").partitionBy("year", "quarter").parquet(path)
