@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import mapped
+from ledgerlight.llm.common import fresh, mapped
 
 # Element names of the HTML standard, by their part in parsing.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -76,32 +76,61 @@ def _groups(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+@dataclass(frozen=True, eq=False)
+class Element:
+    """An open element with what its ancestors add up to, so that no leaf walks up to the root."""
+
+    tag: str
+    groups: frozenset[str]  # of the element and all above it
+    near: frozenset[str]  # of the innermost element that names any
+    blocks: frozenset[str]  # tags of the blocks that are open
+    parent: str | None  # the innermost of them
+
+
+ROOT = Element("", frozenset(), frozenset(), frozenset(), None)
+
+
+def _inside(above: Element, tag: str, own: frozenset[str]) -> Element:
+    inline = tag in INLINE
+    return Element(
+        tag, above.groups | own if own - above.groups else above.groups, own or above.near,
+        above.blocks if inline or tag in above.blocks else above.blocks | {tag}, above.parent if inline else tag,
+    )
+
+
 @dataclass
 class Leaf:
     text: str
-    tags: list[str]
-    groups: set[str]
-    near: frozenset[str]  # groups of the innermost element that names any
+    above: Element
     linked: int  # characters inside links
 
 
 @dataclass
 class _Reader:
+    """Open elements as a stack; for each name the places where it is open, so none is searched for."""
+
     leaves: list[Leaf] = field(default_factory=list)
-    stack: list[tuple[str, frozenset[str]]] = field(default_factory=list)
+    stack: list[Element] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
+    blocks: list[int] = field(default_factory=list)  # places of elements that are not inline
     parts: list[str] = field(default_factory=list)
-    above: list[tuple[str, frozenset[str]]] = field(default_factory=list)
+    above: Element | None = None
     hidden: int = 0
     links: int = 0
     linked: int = 0
 
+    def last(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, -1 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
     def text(self, raw: str) -> None:
         if self.hidden and not raw.isspace():
             self.leave_head()
         if self.hidden or not raw:
             return
-        if not self.parts or not self.above:
-            self.above = list(self.stack)
+        if not self.parts or self.above is None:
+            self.above = self.stack[-1] if self.stack else None
         self.parts.append(raw)
         if self.links:
             self.linked += len(raw)
@@ -110,24 +139,23 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                groups = set().union(*(g for _, g in self.above)) if self.above else set()
-                near = next((g for _, g in reversed(self.above) if g), frozenset())
-                self.leaves.append(Leaf(text, [t for t, _ in self.above if t not in INLINE], groups, near, self.linked))
-        self.parts, self.above, self.linked = [], [], 0
-
-    def pop(self) -> None:
-        tag, _ = self.stack.pop()
-        self.hidden -= tag in HIDDEN
-        self.links -= tag == "a"
+                self.leaves.append(Leaf(text, self.above or ROOT, self.linked))
+        self.parts, self.above, self.linked = [], None, 0
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.hidden -= tag in HIDDEN
+            self.links -= tag == "a"
 
     def leave_head(self) -> None:
         """Close an open head, as text and all that may not stand in one do; not from inside its templates."""
-        names = [name for name, _ in self.stack]
-        if "head" in names:
-            k = names.index("head")
-            if "template" not in names[k:] and "noframes" not in names[k:]:
-                while len(self.stack) > k:
-                    self.pop()
+        heads = self.places.get("head")
+        if heads and max(self.last("template"), self.last("noframes")) < heads[0]:
+            self.pop_to(heads[0])
 
     def open(self, tag: str, attributes: str) -> None:
         if self.hidden and tag not in HEAD_PARTS:
@@ -140,32 +168,25 @@ class _Reader:
             self.parts.append(" ")
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
             return
-        self.stack.append((tag, _groups(attributes) if attributes else frozenset()))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(_inside(self.stack[-1] if self.stack else ROOT, tag, _groups(attributes) if attributes else frozenset()))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
     def imply(self, tag: str) -> None:
         """Close what the start of ``tag`` closes: an open paragraph, a sibling item or cell."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == "p" or name in CLOSES.get(tag, ()):
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if name in BARRIER:
-                return
+        place = max(self.last(name) for name in ("p", *CLOSES.get(tag, ())))
+        if place >= 0 and place > max(self.last(name) for name in BARRIER):
+            self.pop_to(place)
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == tag:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if tag in INLINE and name not in INLINE:
-                return
+        place = self.last(tag)
+        if place >= 0 and (tag not in INLINE or not self.blocks or place > self.blocks[-1]):
+            self.pop_to(place)
 
 
 def leaves(page: str | None) -> list[Leaf]:
@@ -210,11 +231,12 @@ _SIZE = [INDEX[f"size={s}"] for s in SIZES]
 
 def active(leaf: Leaf, first: bool, last: bool) -> list[int]:
     """Indices of the features that hold for a leaf."""
-    out = [_ABOVE[t] for t in set(leaf.tags) if t in _ABOVE]
-    if leaf.tags and leaf.tags[-1] in _PARENT:
-        out.append(_PARENT[leaf.tags[-1]])
-    out += [_GROUP[g] for g in leaf.groups]
-    out += [_NEAR[g] for g in leaf.near]
+    above = leaf.above
+    out = [_ABOVE[t] for t in above.blocks if t in _ABOVE]
+    if above.parent in _PARENT:
+        out.append(_PARENT[above.parent])
+    out += [_GROUP[g] for g in above.groups]
+    out += [_NEAR[g] for g in above.near]
     text = leaf.text
     count = text.count(" ") + 1
     out += [i for i, s in zip(_SIZE, SIZES) if count >= s]
@@ -404,9 +426,10 @@ def extract(pages: DataFrame, model: Field, html_col: str = "html", name: str =
     is already called ``name`` is replaced, all others stay.
     """
     kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), name.lower())]
-    source = pages.select(*kept, F.col(html_col).cast("string").alias("_html_"))
+    own = fresh(kept, "_html_")
+    source = pages.select(*kept, F.col(html_col).cast("string").alias(own))
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    schema = source.withColumnRenamed("_html_", name).schema
+    schema = source.withColumnRenamed(own, name).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -22,7 +22,7 @@ Shingles are 64-bit hashes of word runs; sets are identified by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,29 +64,44 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     [
                         ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), long_list(heads),
+                        pa.array([_asked(len(s), percent) for s in sets], pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "head"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "head", "asked"],
                 )
 
-    return mapped(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, head array<long>")
+    return mapped(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, head array<long>, asked long")
 
 
-def _ell(n: int) -> int:
-    """Shared shingles asked of the hash-order prefix: a twentieth of the set."""
-    return min(n, 1 + n // 20)
+def _ell(n: np.ndarray | int) -> np.ndarray | int:
+    """By how many shingles the hash-order prefix is lengthened: a twentieth of the set."""
+    return np.minimum(n, 1 + n // 20)
+
+
+@lru_cache(maxsize=1 << 16)
+def _asked(n: int, percent: int) -> int:
+    """Shingles of its prefix that a class of ``n`` must share with others to survive.
+
+    Two linked sets of n >= m shingles share at least ``percent * (n + m) / (100 + percent)``,
+    so the prefix of the smaller one holds that less ``needed(m)`` plus ``ell(m)`` of them; over
+    all m that may link with n, the least of this is safe. Up to 90 percent it is ``ell(n)``.
+    """
+    if not n:
+        return 0
+    m = np.arange(_needed(n, percent), n + 1)
+    shared = -(-percent * (n + m) // (100 + percent))
+    return int(min(_ell(n), (shared - _needed(m, percent) + _ell(m)).min()))
 
 
 def _survivors(heads: DataFrame) -> DataFrame:
     """Nodes of the classes whose hash-order prefix is shared often enough with other classes.
 
-    heads: node, n_shingles, head, one row a class. A class holds a token once, so a token that
+    heads: node, asked, head, one row a class. A class holds a token once, so a token that
     occurs twice is shared. A repeated row can only let a class survive that need not.
     """
-    posts = heads.select("node", "n_shingles", F.explode("head").alias("token"))
+    posts = heads.select("node", "asked", F.explode("head").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    met = posts.join(shared, "token").groupBy("node", "n_shingles").agg(F.count("*").alias("met"))
-    ell = F.least(F.col("n_shingles"), F.floor(F.col("n_shingles") / 20) + 1)
-    return met.where(F.col("met") >= ell).select("node")
+    met = posts.join(shared, "token").groupBy("node", "asked").agg(F.count("*").alias("met"))
+    return met.where("met >= asked").select("node")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -258,8 +273,8 @@ def jaccard_components(
     copies = stored(copies)
     repeated = stored(filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("copy")))
     firsts = filled.where("doc_id is not null").join(_few(copies), F.col("doc_id") == F.col("copy"), "left_anti")
-    alive = stored(_survivors(firsts.select(F.col("doc_id").alias("node"), "n_shingles", "head")).distinct())
-    narrow = stored(signed.drop("head"))
+    alive = stored(_survivors(firsts.select(F.col("doc_id").alias("node"), "asked", "head")).distinct())
+    narrow = stored(signed.drop("head", "asked"))
     release(signed)
     chosen = source.join(_few(alive), source["doc_id"] == F.col("node"), "left_semi")
     some = _few(repeated)

@@ -16,6 +16,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -289,30 +290,36 @@ def _candidates(text: str) -> list[bool]:
 
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """Text with every valid value replaced, and the number of replacements by kind."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # apart from each other and in order
     counts: dict[str, int] = {}
     for (kind, pattern, change), possible in zip(KINDS, _candidates(text)):
+        new: list[tuple[int, int, str]] = []
         for m in pattern.finditer(text) if possible else ():
             group = 1 if kind == "secret" else 0
             start, stop = m.span(group)
-            met = sorted((a, b) for a, b, _ in taken if start < b and a < stop)
+            met, k = [], bisect_right(taken, start, key=lambda span: span[1])
+            while k < len(taken) and taken[k][0] < stop:
+                met.append(taken[k][:2])
+                k += 1
             if met and pattern is LABELLED:
                 # the rest of a labelled run beside an address found in it stays no clear text
                 edges = [start, *[max(start, min(e, stop)) for span in met for e in span], stop]
                 rest = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
-                taken += [(a, b, _secret(text[a:b], key, back)) for a, b in rest]
+                new += [(a, b, _secret(text[a:b], key, back)) for a, b in rest]
                 counts[kind] = counts.get(kind, 0) + bool(rest)
             if met:
                 continue
-            new = change(m.group(group), key, back)
-            if new is not None:
-                taken.append((start, stop, new))
+            value = change(m.group(group), key, back)
+            if value is not None:
+                new.append((start, stop, value))
                 counts[kind] = counts.get(kind, 0) + 1
+        if new:
+            taken = sorted(taken + new)
     if not taken:
         return text, counts
     out, at = [], 0
-    for start, stop, new in sorted(taken):
-        out += [text[at:start], new]
+    for start, stop, value in taken:
+        out += [text[at:start], value]
         at = stop
     return "".join(out) + text[at:], counts
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import mapped, utf8
+from ledgerlight.llm.common import fresh, mapped, utf8
 
 # A-Z to a-z; everything but letters, digits and bytes over 127 to a space.
 TABLE = bytes(
@@ -237,10 +237,11 @@ def contamination(
     """
     spark = docs.sparkSession
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "found"]
-    out = docs.select(*carry, F.col(text_col).alias("_text_"), F.lit(None).cast(f"struct<{_fields()}>").alias("found"))
+    own = fresh(carry, "_text_")
+    out = docs.select(*carry, F.col(text_col).alias(own), F.lit(None).cast(f"struct<{_fields()}>").alias("found"))
     for block in _blocks(benchmark, item_col, item_text, window, block_words):
-        out = _pass(out, spark.sparkContext.broadcast(block), shard_words)
-    return out.drop("_text_")
+        out = _pass(out, own, spark.sparkContext.broadcast(block), shard_words)
+    return out.drop(own)
 
 
 def _fields() -> str:
@@ -250,8 +251,8 @@ def _fields() -> str:
     ))
 
 
-def _pass(docs: DataFrame, block, shard_words: int) -> DataFrame:
-    at, own = docs.columns.index("_text_"), docs.columns.index("found")
+def _pass(docs: DataFrame, text_col: str, block, shard_words: int) -> DataFrame:
+    at, own = docs.columns.index(text_col), docs.columns.index("found")
     schema: T.StructType = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +288,8 @@ def _result(n_words: int, hit: dict | None, before: dict | None) -> dict:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their own columns."""
-    found = contamination(docs, benchmark, **options)
-    return found.where("found.n_hit = 0").select(*[c for c in docs.columns if c.lower() != "found"])
+    """The rows of ``docs`` without any hit, with all their own columns, one called ``found`` too."""
+    clash = [c for c in docs.columns if c.lower() == "found"]
+    aside = {c: fresh(docs.columns, "_own_found_") for c in clash}
+    found = contamination(docs.withColumnsRenamed(aside) if aside else docs, benchmark, **options)
+    return found.where("found.n_hit = 0").select(*[F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in docs.columns])

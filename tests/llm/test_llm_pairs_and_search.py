@@ -169,3 +169,32 @@ def test_contamination_blocks_and_edge_rows(spark):
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 6, 7] and clean.columns == ["doc_id", "text"]
     assert suffix_shards.contamination(docs.limit(0), benchmark).count() == 0
     assert suffix_shards.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def test_the_prefix_bound_holds_for_every_percent():
+    """Over all sizes of two linked sets, the smaller one's prefix holds what the other asks for."""
+    for percent in range(50, 101):
+        for n in range(1, 130):
+            for m in range(-(-n * percent // 100), n + 1):
+                # shingles that two linked sets of n >= m have in common
+                least = next(k for k in range(m + 1) if 100 * k >= percent * (n + m - k))
+                inside = min(least - jaccard_join._needed(k, percent) + int(jaccard_join._ell(k)) for k in (n, m))
+                assert inside >= max(jaccard_join._asked(n, percent), jaccard_join._asked(m, percent))
+
+
+def test_sets_that_differ_in_one_of_twenty_link_at_95_percent(spark):
+    words = [f"w{k}" for k in range(24)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(reversed(words)))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=95)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_private_names_may_be_taken(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, words, 5, 6, 7), (2, words, 5, 6, 7), (3, "other words here", 5, 6, 7)],
+                                 "doc_id long, text string, _kept_id int, found int, _text_ int")
+    kept = jaccard_join.one_of_each(docs, jaccard_join.jaccard_components(docs))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == docs.columns
+    items = spark.createDataFrame([("a", "other words here")], "item_id string, text string")
+    left = suffix_shards.decontaminate(docs, items)
+    assert left.columns == docs.columns and [tuple(r)[2:] for r in left.collect()] == [(5, 6, 7)] * 2

@@ -351,3 +351,15 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[0]) - set(seen[1]) == {100, 101} and set(seen[1]) - set(seen[2]) == {102} and set(seen[3]) == set(seen[2])
     assert "ann.lee77" not in seen[3][103] and [k for k in seen[3] if seen[3][k] != seen[2][k]] == [103]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[3])
+
+
+def test_a_text_full_of_values_takes_time_in_proportion():
+    import time
+
+    text = " ".join(f"a{k}@example.org 2024-01-{k % 28 + 1:02d}" for k in range(50_000))
+    start = time.perf_counter()
+    done, counts = pseudonyms.replace(text, b"key")
+    took = time.perf_counter() - start
+    assert counts == {"email": 50_000, "date": 50_000}
+    assert pseudonyms.replace(done, b"key", back=True)[0] == text
+    assert took < 40  # 100,000 permutations; a scan of all spans for each would take many minutes

@@ -301,3 +301,20 @@ def test_parts_of_the_filter_give_the_same_scores(spark, monkeypatch, bits):
     assert got.keys() == want.keys()
     for k, row in got.items():
         assert row == pytest.approx(want[k])
+
+
+def test_pages_of_unclosed_tags_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    for unit, n in (("<font><p>x</p>", 70_000), ("<div>x", 100_000), ("<b><li>x", 60_000)):
+        found = crf_extract.leaves(unit * n)
+        assert len(found) == n and {leaf.text for leaf in found} == {"x"}
+    assert found[-1].above.parent == "li"
+    assert time.perf_counter() - start < 30
+
+
+def test_extraction_keeps_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([("<p>x</p>", 1, 2)], "html string, _html_ int, Text int")
+    got = crf_extract.extract(pages, crf_extract.Field(np.zeros((len(crf_extract.NAMES), 2)), np.zeros((2, 2))))
+    assert sorted(got.columns) == ["_html_", "text"] and got.first()["_html_"] == 1
