@@ -36,11 +36,6 @@ def chat_shape(t):
     return records(t).select("conv_id", "skill_type", k.chat_reason(F.col("skill_type")).alias("reason"))
 
 
-@query("accept_stats", SQL_RECORDS + " SELECT skill_type, COUNT(*) AS total, COUNT(*) FILTER (WHERE reason IS NULL) AS valid FROM chk GROUP BY 1")
-def accept_stats(t):
-    return k.accept_stats(chat_shape(t), "skill_type")
-
-
 @query("accept_reject", SQL_RECORDS + """ SELECT conv_id, skill_type, reason, c1 AS user_text, reason IS NULL AS accepted FROM chk""")
 def accept_reject(t):
     df = records(t).withColumn("reason", k.chat_reason(F.col("skill_type")))
@@ -125,6 +120,12 @@ def record_check(t):
     return checked_records(t).select("conv_id", "skill_type", "reason")
 
 
+@query("accept_stats", SQL_CHECKED + " SELECT skill_type, COUNT(*) AS total, COUNT(*) FILTER (WHERE reason IS NULL) AS valid FROM judged GROUP BY 1")
+def accept_stats(t):
+    """Records per skill that pass the check of their shape and the rules of their skill."""
+    return k.accept_stats(checked_records(t), "skill_type")
+
+
 @query("accept_reject_sets", SQL_CHECKED + """ SELECT 'accepted' AS part, conv_id, NULL AS reason, octet_length(encode(c2))::BIGINT AS n_bytes FROM judged WHERE reason IS NULL
   UNION ALL SELECT 'rejected', conv_id, reason, octet_length(encode(c2))::BIGINT FROM judged WHERE reason IS NOT NULL""")
 def accept_reject_sets(t):
