@@ -318,3 +318,28 @@ def test_extraction_keeps_columns_with_clashing_names(spark):
     pages = spark.createDataFrame([("<p>x</p>", 1, 2)], "html string, _html_ int, Text int")
     got = crf_extract.extract(pages, crf_extract.Field(np.zeros((len(crf_extract.NAMES), 2)), np.zeros((2, 2))))
     assert sorted(got.columns) == ["_html_", "text"] and got.first()["_html_"] == 1
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_take_odd_rows_and_names(spark, tmp_path, stage):
+    import corpus_pipeline
+
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, words, "en", "a", 5, 1, 2), (1, words, "en", "a", 5, 1, 2), (2, words, None, None, None, None, None), (3, None, "en", "a", 0, 1, 2),
+            (4, "", "en", "a", 0, 1, 2), (None, "mail someone.else@example.org", "en", "a", 9, 1, 2), (None, None, None, None, None, None, None), (5, "z " * 30_000, "en", "a", 5, 1, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, found int, score int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", "no such words"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, docs, str(tmp_path))
+    kept = got.collect()
+    if stage < 4:
+        assert got.columns == docs.columns
+    if stage == 1:  # one of each group and every row without id
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+    elif stage in (2, 3):
+        assert len(kept) == len(rows)
+    if stage == 3:
+        assert {r["n_chars"] for r in kept if r["text"] is None} == {None} and not any("someone.else@" in (r["text"] or "") for r in kept)
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
