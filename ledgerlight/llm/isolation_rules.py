@@ -159,22 +159,35 @@ def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1)
 
 
+def smallest(df: DataFrame, wanted: int) -> np.ndarray:
+    """The ``wanted`` rows with the smallest hashes as a matrix of ``FEATURES``, repeated rows as often as they occur.
+
+    Only rows under a cut on the hash, about twice as many as wanted, are grouped and sorted,
+    so what the last task reads depends neither on the number of tasks nor on that of
+    repeated rows. A cut that leaves too few is widened.
+    """
+    hashed = df.select(*FEATURES, F.xxhash64("doc_id", *COUNTS, *EXTRA).alias("h"))
+    share = 2 * wanted / max(1, hashed.agg(F.approx_count_distinct("h")).first()[0])
+    while True:
+        few = hashed if share >= 1 else hashed.where(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+        each = few.groupBy("h", *FEATURES).agg(F.count("*").alias("n"))
+        got = each.orderBy("h", *FEATURES).limit(wanted).toArrow()
+        if share >= 1 or got.num_rows == wanted:
+            return np.repeat(_matrix(got), np.minimum(got.column("n").to_numpy(), wanted), axis=0)[:wanted]
+        share *= 4
+
+
 def train(rows: DataFrame, good: DataFrame, trees: int = 100, tree_rows: int = 256) -> Forest:
     """Forest of ``good`` rows, or of ``rows`` where there are none, over the range of ``rows``.
 
-    Its ``trees * tree_rows`` rows are those with the smallest hashes. Spark keeps the
-    smallest of each task, so no more than these rows travel.
+    Its ``trees * tree_rows`` rows are those with the smallest hashes, a bounded sample by design.
     """
-    def smallest(df: DataFrame) -> pa.Table:
-        names = [*COUNTS, *EXTRA]
-        hashed = df.select(*FEATURES, F.xxhash64("doc_id", *names).alias("h"))
-        return hashed.orderBy("h", *FEATURES).limit(trees * tree_rows).select(*FEATURES).toArrow()
-
     ends = rows.agg(*[f(n).alias(f"{k}{n}") for k, f in (("a", F.min), ("z", F.max)) for n in FEATURES]).first()
     if ends[0] is None:
         return grow([], np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    got = smallest(good)
-    x = _matrix(got if got.num_rows else smallest(rows))
+    x = smallest(good, trees * tree_rows)
+    if not len(x):
+        x = smallest(rows, trees * tree_rows)
     deal = np.random.default_rng(5).permutation(len(x))
     samples = [x[deal[k::trees]] for k in range(trees) if len(deal[k::trees])]
     return grow(samples, np.array(ends[: len(FEATURES)]), np.array(ends[len(FEATURES) :]))
