@@ -221,7 +221,9 @@ class Model:
         before[begins[:-1]] = tokens[last]
         keys = np.concatenate([words, _keyed(pair_hashes(before, tokens), 1)])
         found = self.steps(keys)
-        word, pair = SEEN[found[: len(words)]][back], SEEN[found[len(words) :]]
+        word = SEEN[found[: len(words)]][back]
+        # a pair occurs no oftener than its word, so a false step of a rare or unseen word goes
+        pair = np.minimum(SEEN[found[len(words) :]], word)
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[begins[:-1]] = word[last]
@@ -256,7 +258,7 @@ def _parts(table: DataFrame, segments: int, size: int) -> Parts:
     return Parts(tuple(values), segments, run, size)
 
 
-def fit(train: DataFrame, text_col: str = "text", bytes_a_bit: float = 2.0) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, text_col: str = "text", bytes_a_bit: float = 1.0) -> tuple[Model, DataFrame]:
     """Model of all ``train`` texts, and the exact word counts ``(gram, n)``.
 
     Null and empty texts are one end mark. Without rows all counts are 0.

@@ -119,6 +119,20 @@ def test_judge_keeps_good_and_drops_odd(spark):
     assert isolation_rules.judge(docs, labels.limit(0)).where("kept").count() == 300 + 12 + 2
 
 
+@pytest.mark.parametrize("wanted", [7, 60, 700, 5_000])
+def test_sample_of_the_forest_against_a_sort_of_all_rows(many_tasks, wanted):
+    rows = [(k % 1_200, k % 17 + 1, *[k % (3 + j) for j in range(7)]) for k in range(1_500)] + [(9_999, 5, *[1] * 7)] * 800
+    names = [n for n in (*isolation_rules.COUNTS, *isolation_rules.EXTRA)]
+    counts = many_tasks.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} long" for n in names)).repartition(16)
+    full = isolation_rules.with_features(counts)
+    from pyspark.sql import functions as F
+
+    every = full.select(F.xxhash64("doc_id", *names).alias("h"), *isolation_rules.FEATURES).collect()
+    want = np.array([r[1:] for r in sorted(map(tuple, every))][:wanted])
+    assert np.array_equal(isolation_rules.smallest(full, wanted), want)
+    assert isolation_rules.smallest(full.limit(0), wanted).shape == (0, len(isolation_rules.FEATURES))
+
+
 def test_forest_scores_follow_path_lengths():
     x = np.random.default_rng(0).uniform(0.4, 0.6, size=(400, 7))
     forest = isolation_rules.grow([x[k::4] for k in range(4)] * 5, np.zeros(7), np.ones(7))
@@ -248,6 +262,43 @@ def test_language_model_base_score_is_exact(spark, monkeypatch):
     assert seen == want and all(r["score"] < 0 for r in got)
 
 
+@pytest.fixture(scope="module")
+def model_and_exact(spark):
+    """Scores by the filter, and by a plain model of exact counts, of Zipf texts, a fifth of them held out."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 120))) % 2_000)) for k in range(1_500)]
+    got = {r["doc_id"]: r for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 0).collect()}
+    words, pairs = collections.Counter(), collections.Counter()
+    tokens = {k: ["\n", *WORD.findall(t), "\n"] for k, t in rows}  # the end mark is the first context too
+    for k, ts in tokens.items():
+        if k % 5:
+            words.update(ts[1:])
+            pairs.update(zip(ts, ts[1:]))
+    total, distinct = sum(words.values()), len(words)
+    step = lambda n: bloom_lm.SEEN[np.searchsorted(bloom_lm.SCALE, n, side="right")]
+
+    def plain(ts, seen):
+        out = 0.0
+        for a, b in zip(ts, ts[1:]):
+            single = (seen(words[b]) + 1) / (total + distinct + 1)
+            out += math.log10(0.3 * min(1.0, seen(pairs[a, b]) / max(seen(words[a]), 1)) + 0.7 * single if words[a] else single)
+        return out / (len(ts) - 1)
+
+    return [(k, got[k]["score"] / got[k]["n_tokens"], plain(ts, float), plain(ts, step)) for k, ts in tokens.items()]
+
+
+def test_language_model_score_against_exact_counts(model_and_exact):
+    """Log10 a token: steps of the scale move a text little, false steps of the filter hardly at all."""
+    held = np.array([k % 5 == 0 for k, *_ in model_and_exact])
+    got, exact, steps = np.array([r[1:] for r in model_and_exact]).T
+    for part in (held, ~held):
+        assert np.abs(steps - exact)[part].mean() < 0.03
+        assert np.abs(got - steps)[part].mean() < 0.05
+        assert np.abs(got - exact)[part].mean() < 0.06 and np.corrcoef(got[part], exact[part])[0, 1] > 0.97
+
+
 def test_language_model_empty_table(spark):
     from pyspark.sql import functions as F
 
