@@ -36,7 +36,7 @@ PART = 1 << 26  # bytes of the filter in one broadcast
 BUILT = 1 << 27  # bytes of the filter that one task builds, about
 PROBES = 3
 FLUSH = 1_000_000  # tokens counted together in a task
-PROBED = 4_000_000  # tokens probed together in a task when there are several parts
+PROBED = 1_500_000  # tokens probed together in a task when there are several parts
 FREQUENT = 200_000  # words whose exact counts are broadcast: 16 bytes each
 # Least counts of the steps: 1, 2, 3, 4, 6, 8, 12, 16, ...
 SCALE = np.array(sorted({1, *(2**k for k in range(1, 48)), *(3 * 2**k for k in range(47))}), dtype=np.int64)
