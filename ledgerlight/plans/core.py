@@ -375,9 +375,10 @@ def group_agg(t):
 @query("count_distinct", S + """
   SELECT region, COUNT(DISTINCT customer_id) AS buyers FROM sales GROUP BY 1""")
 def count_distinct(t):
-    # Buyers are reduced to one row each before the distinct count of the few regions.
-    buyers = b.heads(t).select("customer_id").distinct()
-    return buyers.join(b.members(t), "customer_id").groupBy("region").agg(F.count(F.lit(1)).alias("buyers"))
+    # An order without lines is no sale. Buyers are reduced to one row each before the few regions are counted.
+    sold = b.known_products(t, b.sales(t)).select("order_id")
+    buyers = b.heads(t).join(sold, "order_id", "left_semi").select("customer_id").distinct()
+    return buyers.join(b.members(t), "customer_id").groupBy("region").agg(F.countDistinct("customer_id").alias("buyers"))
 
 
 @query("filtered_agg", S + f"""

@@ -40,3 +40,9 @@ def test_card_of_a_table_in_several_files(spark, folder):
 def test_card_of_an_empty_table(spark, folder):
     replace(spark.read.parquet(f"{entry.SMOKE_FOLDER}/documents.parquet").limit(0), folder, "documents", files=1)
     assert against_sql(spark, folder, "corpus_card") is None
+
+
+def test_a_customer_whose_orders_have_no_lines_is_no_buyer(spark, folder):
+    lines = spark.read.parquet(f"{entry.SMOKE_FOLDER}/lineitem.parquet")
+    replace(lines.where("l_orderkey % 5 = 0"), folder, "lineitem")
+    assert against_sql(spark, folder, "count_distinct") is None
