@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,34 @@ def met_days(
     )
 
 
+def there_and_back(
+    moves: DataFrame, *, key: str, start: str, end: str, day: str, quantity: str, within: int
+) -> DataFrame:
+    """Days with movements from ``start`` to ``end`` met by days with movements back up to ``within`` days later.
+
+    The movements are shuffled once, by key and the two ends in either order: both
+    directions then lie together, are reduced to one row per day, and a day looks ahead over
+    ``within`` + 1 days. A frame thus holds at most twice that many rows.
+    """
+    ends = [F.least(start, end).alias("_low"), F.greatest(start, end).alias("_high"), (F.col(start) < F.col(end)).alias("_up")]
+    pair = [key, "_low", "_high"]
+    apart = moves.where((F.col(start) != F.col(end)) & F.col(key).isNotNull() & F.col(day).isNotNull())
+    # as many tasks as the session has for shuffles; left to be merged, they would fill up as the input grows
+    tasks = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = apart.select(key, *ends, F.col(day).alias("_day"), F.col(quantity).alias("_q")).repartition(tasks, *pair)
+    days = dealt.groupBy(*pair, "_up", "_day").agg(F.count(F.lit(1)).alias("_n"), F.sum("_q").alias("_qty"))
+    ahead = Window.partitionBy(*pair).orderBy(F.unix_date("_day")).rangeBetween(0, within)
+    seen = days.withColumn("_ahead", F.collect_list(F.struct("_up", "_day", "_n", "_qty")).over(ahead)).where(F.size("_ahead") > 1)
+    met = seen.withColumn("_back", F.explode("_ahead")).where(F.col("_back._up") != F.col("_up"))
+    return met.select(
+        key, F.when(F.col("_up"), F.col("_low")).otherwise(F.col("_high")).alias(start),
+        F.when(F.col("_up"), F.col("_high")).otherwise(F.col("_low")).alias(end),
+        F.col("_day").alias("out_date"), F.col("_back._day").alias("back_date"), F.col("_n").alias("n_out"), F.col("_qty").alias("qty_out"),
+        F.col("_back._n").alias("n_back"), F.col("_back._qty").alias("qty_back"),
+        F.date_diff("_back._day", "_day").cast("long").alias("days_between"),
+    )
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Lowest row in ``order`` for each key, combined before the shuffle."""
     rest = [c for c in df.columns if c not in key and c not in order]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import money, ratio, rounded
 from ledgerlight.operators import anomaly, relational
 from ledgerlight.operators import windows as w
-from ledgerlight.operators.scale import group_total
+from ledgerlight.operators.scale import broadcast_if_small, group_total
 from ledgerlight.plans import bindings as b
 from ledgerlight.plans.bindings import sql_money as m
 from ledgerlight.plans.bindings import sql_ratio as q
@@ -260,20 +260,15 @@ def orphan_outbound(t):
   FROM legs o JOIN legs i ON o.product_id = i.product_id AND o.a = i.z AND o.z = i.a
   WHERE date_diff('day', o.d, i.d) BETWEEN 0 AND 30""")
 def transfer_loop(t):
-    # Daily rows are made once; the way back is the same frame with the two ends swapped.
-    legs = (
-        b.sales(t, "customer")
-        .select("product_id", "site_id", "quantity", "ship_date", F.col("nation").alias("to_nation"))
-        .join(b.sites(t).select("site_id", F.col("nation").alias("from_nation")), "site_id")
-        .where(F.col("from_nation") != F.col("to_nation"))
-        .groupBy("product_id", "from_nation", "to_nation", "ship_date")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("qty"))
-    )
-    swapped = legs.select(
-        "product_id", "ship_date", "n", "qty", F.col("to_nation").alias("from_nation"), F.col("from_nation").alias("to_nation")
-    )
-    return relational.met_days(
-        legs, swapped, keys=["product_id", "from_nation", "to_nation"], day="ship_date", count="n", quantity="qty", within=30
+    # Orders get their nation before the lines meet them, so a line is shuffled once to its order
+    # and once to its product and pair of nations; the sites are broadcast after a count.
+    to = b.heads(t).select("order_id", "customer_id").join(
+        b.members(t).select("customer_id", F.col("nation").alias("to_nation")), "customer_id"
+    ).drop("customer_id")
+    sites = broadcast_if_small(b.sites(t).select("site_id", F.col("nation").alias("from_nation")), max_rows=1_000_000)
+    legs = b.sales(t).select("order_id", "product_id", "site_id", "quantity", "ship_date").join(to, "order_id").join(sites, "site_id")
+    return relational.there_and_back(
+        legs, key="product_id", start="from_nation", end="to_nation", day="ship_date", quantity="quantity", within=30
     )
 
 

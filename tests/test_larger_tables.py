@@ -1,12 +1,15 @@
 """Queries on tables that differ in kind from the small ones: several files, odd keys, orders without lines."""
 
+import datetime as dt
+import random
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ledgerlight.operators import inverted
+from ledgerlight.operators import inverted, relational
 from oracle_check import TABLES, compare, connect
 
 
@@ -57,3 +60,20 @@ def test_postings_of_an_entry_lie_in_one_file(spark, tmp_path):
     files = index.postings.select("entry", F.input_file_name().alias("file")).distinct()
     assert files.select("file").distinct().count() == 6
     assert files.groupBy("entry").count().where("count > 1").count() == 0
+
+
+def test_round_trips_of_one_frame_read_the_lines_once(spark):
+    plan = entry.queries()["transfer_loop"](spark, entry.SMOKE_FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet [l_orderkey") == 1
+
+
+def test_there_and_back_matches_brute_force(spark):
+    chance = random.Random(5)
+    moves = [(chance.randint(1, 3), chance.choice("ABC"), chance.choice("ABC"), dt.date(2024, 1, 1) + dt.timedelta(chance.randint(0, 90)), 2) for _ in range(400)]
+    moves += [(None, "A", "B", dt.date(2024, 1, 1), 1), (None, "B", "A", dt.date(2024, 1, 1), 1), (1, "A", "B", None, 1), (1, None, "B", dt.date(2024, 1, 5), 1)]
+    frame = spark.createDataFrame(moves, "k long, a string, z string, d date, q long")
+    got = relational.there_and_back(frame, key="k", start="a", end="z", day="d", quantity="q", within=30)
+    legs = Counter((k, a, z, d) for k, a, z, d, _ in moves if None not in (k, a, z, d) and a != z)
+    want = sorted((k, a, z, d, e, n, 2 * n, m, 2 * m, (e - d).days) for (k, a, z, d), n in legs.items() for (j, b, y, e), m in legs.items()
+                  if (j, b, y) == (k, z, a) and 0 <= (e - d).days <= 30)
+    assert sorted(map(tuple, got.collect())) == want
