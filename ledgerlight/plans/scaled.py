@@ -191,7 +191,7 @@ def failure_reasons(t):
 
 @contextmanager
 def rocks(spark):
-    """The state store that timers need, for the time a stream runs."""
+    """The state store for many open runs, for the time a stream runs."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, runs.ROCKS)
@@ -206,7 +206,7 @@ def rocks(spark):
   SELECT j.query_id, j.day, j.status, j.reasons, e.steps, e.failed FROM j JOIN e ON j.query_id = e.query_id AND j.day = e.day
   WHERE e.last + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', MAX("at")) FROM traces) - INTERVAL 10 MINUTE""")
 def stream_run_status(t):
-    """Runs closed by a timer after a day of silence, judged as in ``run_status``."""
+    """Runs closed after a day of silence, judged as in ``run_status``."""
     def build(stream):
         steps = stream.select(
             F.col("user_id").alias("query_id"), F.col("ts").cast("date").alias("day"), "ts", F.col("event_type").alias("agent"),

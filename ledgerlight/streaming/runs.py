@@ -1,54 +1,15 @@
-"""Runs over a feed of steps: each is closed by a timer once it has been silent, with status and reasons."""
+"""Runs over a feed of steps: each is closed once it has been silent, with status and reasons."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlight.operators.compare import judged_runs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "agents array<string>, seconds double, calls bigint, steps bigint, failed bigint, last bigint"
-CLOSED = "agents array<string>, seconds double, calls bigint, steps bigint, failed bigint"
-
-
-class RunState(StatefulProcessor):
-    """Sums of one run; a timer ``silence`` after its last step closes it and clears the state."""
-
-    def __init__(self, run: Sequence[str], silence_ms: int) -> None:
-        self.names = list(run)
-        self.silence_ms = silence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        agents, seconds, calls, steps, failed, last = self.run.get() if self.run.exists() else ([], 0.0, 0, 0, 0, 0)
-        agents, before = set(agents), last
-        for row in rows:
-            agents.add(row["agent"])
-            seconds += row["duration"] or 0.0
-            calls += row["calls"] or 0
-            steps += 1
-            failed += row["status"] == "failed"
-            last = max(last, int(row["at"].timestamp() * 1000))
-        if last > before:
-            if before:
-                self.handle.deleteTimer(before + self.silence_ms)
-            self.handle.registerTimer(last + self.silence_ms)
-        self.run.update((sorted(agents), seconds, calls, steps, failed, last))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        agents, seconds, calls, steps, failed, _ = self.run.get()
-        self.run.clear()
-        yield Row(**dict(zip(self.names, key)), agents=list(agents), seconds=seconds, calls=calls, steps=steps, failed=failed)
-
-    def close(self) -> None:
-        pass
 
 
 def closed_runs(
@@ -58,10 +19,17 @@ def closed_runs(
     """Status, reasons, steps and failed steps of each run that has been silent for ``silence_ms``.
 
     stream: the ``run`` columns, ``at``, agent, status, duration, calls. Steps may come ``late``;
-    later ones are dropped. The judgement is that of ``run_status`` on the whole run. Needs the
-    state store ``ROCKS`` in the session.
+    later ones are dropped. The judgement is that of ``run_status`` on the whole run. A run is one
+    session of event time, so its state is a row of sums and no step leaves the engine; steps
+    further apart than the silence are runs of their own. The state store ``ROCKS`` keeps
+    many open runs out of the heap.
     """
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.select(*run).schema)
     rows = stream.withColumnRenamed(at, "at").withWatermark("at", late)
-    sums = rows.groupBy(*run).transformWithState(RunState(run, silence_ms), f"{keys}, {CLOSED}", "append", "eventTime")
-    return judged_runs(sums, run, planned, sql_step, max_seconds, max_calls, keep=("steps", "failed"))
+    asked = list(dict.fromkeys([*planned, sql_step]))  # the judgement asks for no other agent
+    sums = rows.groupBy(F.session_window("at", f"{silence_ms} milliseconds"), *run).agg(
+        *[F.bool_or(F.col("agent") == a).alias(f"_agent_{i}") for i, a in enumerate(asked)],
+        F.coalesce(F.sum("duration"), F.lit(0.0)).alias("seconds"), F.coalesce(F.sum("calls"), F.lit(0).cast("long")).alias("calls"),
+        F.count(F.lit(1)).alias("steps"), F.count_if(F.col("status") == "failed").alias("failed"),
+    )
+    agents = F.array_compact(F.array(*[F.when(F.col(f"_agent_{i}"), F.lit(a)) for i, a in enumerate(asked)]))
+    return judged_runs(sums.withColumn("agents", agents), run, planned, sql_step, max_seconds, max_calls, keep=("steps", "failed"))
