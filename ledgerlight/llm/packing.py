@@ -87,6 +87,13 @@ def _encode_chunks(path: str, chunks: list[bytes]) -> list[bytes]:
         if len(text) > 64 or "<|" in text or not PLAIN.fullmatch(text):
             rest.append((k, text))
             continue
+        if text.isascii() and text.isalpha():  # one piece, whose letters stand for themselves
+            word = text.lower()
+            ids = pieces.get(word)
+            if ids is None:
+                ids = pieces[word] = _packed([t.id for t in model.tokenize(word)])
+            out[k] = ids
+            continue
         found = []
         for piece in PIECE.findall(text.lower()):
             ids = pieces.get(piece)
@@ -111,10 +118,18 @@ def encode_words(path: str, texts: list[bytes]) -> list[bytes]:
     if len(cache) > CACHED_CHUNKS:
         cache.clear()
     split = [t.split() for t in texts]
-    missing = list({w for ws in split for w in ws if w not in cache})
-    cache.update(zip(missing, _encode_chunks(path, missing)))
-    get = cache.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+    found = [list(map(cache.get, ws)) for ws in split]  # one look-up a word
+    missing, gaps = {}, []
+    for ws, parts in zip(split, found):
+        at = -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            missing[ws[at]] = parts[at] = b""
+            gaps.append((parts, at, ws[at]))
+    cache.update(zip(missing, _encode_chunks(path, list(missing))))
+    for parts, at, word in gaps:
+        parts[at] = cache[word]
+    return [b"".join(parts) for parts in found]
 
 
 def cut_points(ids: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ledgerlight.llm import packing, queries
 from ledgerlight.operators import inverted, relational
 from ledgerlight.streaming import feeds, runs
 from oracle_check import TABLES, compare, connect
@@ -87,3 +88,17 @@ def test_open_runs_are_summed_without_python(spark, tmp_path):
     out = runs.closed_runs(feeds.read_feed(spark, like, str(tmp_path / "in")), ["r"], "at", ["a"], "a", 1, 1)
     plan = out._jdf.queryExecution().logical().toString()
     assert "TransformWithState" not in plan and "Python" not in plan
+
+
+def test_each_word_is_looked_up_once(monkeypatch):
+    class Known(dict):
+        def __contains__(self, word):
+            raise AssertionError("a look-up beside the one that fetches the ids")
+
+    path = queries.tokenizer_path()
+    monkeypatch.setitem(packing._chunks, path, Known())
+    texts = [x.encode() for x in ("plain Words, don't I'M PLAIN x1 Été <|endoftext|>", "", "again plain " + "z" * 80)]
+    whole = packing._tokenizer(path)
+    for _ in range(2):
+        want = [packing._packed(whole.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+        assert packing.encode_words(path, texts) == want
