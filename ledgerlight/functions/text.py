@@ -32,7 +32,7 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct runs of a-z and 0-9 after folding; snake_case is split."""
-    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split(fold(text), "[^a-z0-9]+")), "")
 
 
 def strip_fences(text: Column) -> Column:

@@ -1,15 +1,15 @@
 """Which texts hold which passages, by a join on hashes of windows.
 
 Wherever a text holds a passage, it holds the words inside the passage, those with white space
-on both sides, as words in a row. A passage with such words is known by a window of 1, 2, 4 or 8
-of them, the largest that fits; a shorter one by a window of 1 to 32 characters. Passages are
-thus in a few length classes. For each class that occurs, the texts are cut into all their
-windows of that length, text and passage meet where the hashes of their windows agree, and
-``contains`` decides. Long texts are cut into pieces that overlap by a window, so no value holds
-more than the windows of a piece.
-
-A passage takes the window that the fewest passages share, so passages with a common beginning
-do not meet the texts that have only that.
+on both sides, as words in a row. A passage with such words is known by one or two of them; a
+shorter one by a window of 1 to 32 characters. Passages are thus in a few length classes. For
+each class that occurs, the texts are cut into all their windows of that length, text and passage
+meet where the hashes of their windows agree, and ``contains`` decides. Two words are plain rows
+of the scan, which cost far less than hashes of longer windows; ``contains`` drops the few texts
+more that they let through. For characters, long texts are cut into pieces that overlap by a window.
+
+A passage takes the window that the fewest passages share and of these the longest, so passages
+with a common beginning do not meet the texts that have only that, and few texts have it by chance.
 """
 
 from __future__ import annotations
@@ -22,31 +22,24 @@ from pyspark.sql import functions as F
 from ledgerlight.operators.scale import broadcast_if_small
 from ledgerlight.session import durable
 
-WORDS = 8  # most words in a window
+WORDS = 2  # most words in a window
 CHARS = 32  # most characters in a window
-PIECE = 65_536  # words or characters of a piece
+PIECE = 65_536  # characters of a piece
 
 
-def _units(text: Column, by_words: bool) -> Column:
-    """What windows are cut from: hashes of the words of a text, or the text itself."""
-    return F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w)) if by_words else text
-
-
-def _cut(unit: Column, by_words: bool, width: int, piece: int) -> Column:
-    """Pieces that share ``width - 1`` words or characters with the next."""
-    if not by_words:
-        return F.regexp_extract_all(unit, F.lit(rf"(?s)(?=(.{{1,{piece + width - 1}}})).{{1,{piece}}}"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(unit), F.lit(1)), F.lit(piece))
-    return F.transform(starts, lambda at: F.slice(unit, at, piece + width - 1))
-
-
-def _hashes(unit: Column, by_words: bool, width: int) -> Column:
-    """Distinct hashes of the windows of a piece."""
-    if not by_words:
-        windows = F.regexp_extract_all(unit, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-        return F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))
-    firsts = F.slice(unit, F.lit(1), F.greatest(F.size(unit) - (width - 1), F.lit(0)))
-    return F.array_distinct(F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get(unit, i + k) for k in range(1, width)])))
+def _windows(rows: DataFrame, text: str, by_words: bool, width: int, piece: int) -> DataFrame:
+    """``rows`` without ``text``, with hash and length of each of its windows; one that occurs again may come again."""
+    kept = [name for name in rows.columns if name != text]
+    if by_words:
+        words = rows.select(*kept, F.split(text, r"\s+").alias("a"))
+        if width == 1:
+            each = words.select(*kept, F.explode(F.array_distinct("a")).alias("a"))
+            return each.select(*kept, F.xxhash64("a").alias("mark"), F.length("a").alias("size"))
+        pairs = words.select(*kept, F.inline(F.arrays_zip("a", F.slice("a", F.lit(2), F.size("a")).alias("b"))).alias("a", "b")).where("b IS NOT NULL")
+        return pairs.select(*kept, F.xxhash64("a", "b").alias("mark"), (F.length("a") + F.length("b")).alias("size"))
+    cut = rows.select(*kept, F.explode(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{piece + width - 1}}})).{{1,{piece}}}"), F.lit(1))).alias("unit"))
+    each = F.array_distinct(F.regexp_extract_all("unit", F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+    return cut.select(*kept, F.explode(each).alias("a")).select(*kept, F.xxhash64("a").alias("mark"), F.lit(width).alias("size"))
 
 
 def _classed(passages: DataFrame) -> DataFrame:
@@ -65,11 +58,10 @@ def _classed(passages: DataFrame) -> DataFrame:
 
 
 def _anchors(wanted: DataFrame, by_words: bool, width: int) -> DataFrame:
-    """One window hash for each distinct passage of a class."""
-    units = wanted.select("passage", _units(F.col("part"), by_words).alias("unit"))
-    hashes = units.select("passage", F.explode(_hashes(F.col("unit"), by_words, width)).alias("mark"))
+    """One window hash for each distinct passage of a class: the one that fewest share, then the longest."""
+    hashes = _windows(wanted.select("passage", "part"), "part", by_words, width, PIECE).distinct()
     shared = hashes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    rarest = hashes.join(shared, "mark").groupBy("passage").agg(F.min(F.struct("n", "mark")).alias("least"))
+    rarest = hashes.join(shared, "mark").groupBy("passage").agg(F.min(F.struct("n", (-F.col("size")).alias("short"), "mark")).alias("least"))
     return rarest.select("passage", F.col("least.mark").alias("mark"))
 
 
@@ -87,10 +79,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, piece: int = PIECE) -> Dat
     found = []
     for by_words, width in classes:
         anchors = _anchors(wanted.where((F.col("by_words") == by_words) & (F.col("width") == width)), by_words, width)
-        cut = texts.select("row", _units(F.col("text"), by_words).alias("whole")).select(
-            "row", F.explode(_cut(F.col("whole"), by_words, width, piece)).alias("unit")
-        )
-        marks = cut.select("row", F.explode(_hashes(F.col("unit"), by_words, width)).alias("mark"))
+        marks = _windows(texts.select("row", "text"), "text", by_words, width, piece)
         found.append(marks.join(broadcast_if_small(anchors), "mark").select("row", "passage").distinct())
     if not found:
         return given.select("question_id", F.lit(None).cast(dict(docs.dtypes)["entry"]).alias("entry")).limit(0)

@@ -33,15 +33,18 @@ def fk_expand(hits: DataFrame, edges: DataFrame, within: DataFrame | None = None
     """Hits plus their neighbours one link away, in both directions.
 
     hits: question_id, entry. edges: entry, reference. ``within`` (entry), the catalogue or
-    what of it may be used, drops every other name.
+    what of it may be used, drops every other name. Few hits are broadcast, so links and names
+    stay where they are read.
     """
-    base = hits.select("question_id", "entry").distinct()
-    forward = base.join(edges, "entry").select("question_id", F.col("reference").alias("entry"))
-    back = base.join(edges.select("entry", "reference"), base.entry == edges.reference).select(
-        "question_id", edges.entry.alias("entry")
+    base = broadcast_if_small(hits.select("question_id", "entry").distinct())
+    forward = edges.join(base, "entry").select("question_id", F.col("reference").alias("entry"))
+    back = edges.select("reference", F.col("entry").alias("_from")).join(base, F.col("reference") == base.entry).select(
+        "question_id", F.col("_from").alias("entry")
     )
     out = base.unionByName(forward).unionByName(back).distinct()
-    return out if within is None else out.join(within.select("entry"), "entry", "left_semi").select("question_id", "entry")
+    if within is None:
+        return out
+    return within.select("entry").join(broadcast_if_small(out), "entry").select("question_id", "entry").distinct()
 
 
 def full_cover_recall(gold: DataFrame, got: DataFrame) -> DataFrame:

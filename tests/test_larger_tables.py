@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerlight.llm import packing, queries
-from ledgerlight.operators import inverted, relational
+from ledgerlight.operators import inverted, passages, relational, retrieval
 from ledgerlight.streaming import feeds, runs
 from oracle_check import TABLES, compare, connect
 
@@ -102,3 +102,52 @@ def test_each_word_is_looked_up_once(monkeypatch):
     for _ in range(2):
         want = [packing._packed(whole.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
         assert packing.encode_words(path, texts) == want
+
+
+def test_an_index_for_known_questions_holds_their_words_only(spark, tmp_path):
+    """Every entry is read, other words are not stored, and the rows are those of the whole index."""
+    chance = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(e, e, f"name {e % 9}", " ".join(chance.choices(words, k=chance.randint(0, 40))), "x") for e in range(300)]
+    frame = spark.createDataFrame(rows, "entry long, position long, name string, description string, columns string")
+    asked = spark.createDataFrame([(q, " ".join(chance.choices(words[:40], k=6)) + " name") for q in range(20)], "question_id long, text string")
+    vocabulary = asked.select(F.explode(F.split("text", " ")).alias("token"))
+    part = inverted.build(frame, str(tmp_path / "part"), vocabulary=vocabulary)
+    whole = inverted.build(frame, str(tmp_path / "whole"))
+    known = {r["token"] for r in vocabulary.collect()}
+    assert {r["token"] for r in part.postings.select("token").distinct().collect()} <= known
+    assert 2 * part.postings.count() < whole.postings.count()
+    only = frame.where("entry % 3 = 0").select("entry")
+    for candidates in (None, only):
+        got, want = [sorted(map(tuple, inverted.search(i, asked, 4, candidates).collect())) for i in (part, whole)]
+        assert got == want and len(got) > 60
+
+
+def test_questions_meet_common_words_by_masks(spark, tmp_path):
+    """An entry gives a row for a 64-bit word of common tokens, not one for each of 256 tokens."""
+    rows = [(e, e, "", f"every word here c{e % 40} d{e % 41}", "") for e in range(300)]
+    frame = spark.createDataFrame(rows, "entry long, position long, name string, description string, columns string")
+    index = inverted.build(frame, str(tmp_path / "index"))
+    plan = inverted.search(index, spark.createDataFrame([(1, "every word d7")], "question_id long, text string"), 3)._jdf.queryExecution().toString()
+    assert "getbit" not in plan and "bit_get" not in plan
+
+
+def test_windows_of_passages_are_rows_of_the_scan(spark):
+    """No function runs for each word of a text, and the anchor is the longest pair of words that fewest passages share."""
+    docs = spark.createDataFrame([(1, "x of the extraordinary circumstances of the y"), (2, "of the of the"), (3, None)], "entry long, text string")
+    asked = spark.createDataFrame([(1, "x of the extraordinary circumstances of the y"), (2, "a of the b")], "question_id long, passage string")
+    found = passages.passages_in(docs, asked)
+    assert [tuple(r) for r in found.collect()] == [(1, 1)]
+    marks = passages._windows(docs.select("entry", "text"), "text", True, 2, 9)
+    assert "transform(" not in marks._jdf.queryExecution().toString() and marks.where("entry = 2").count() == 3
+    wanted = asked.select("passage", F.lit("of the extraordinary circumstances of the").alias("part")).limit(1)
+    assert passages._anchors(wanted, True, 2).first()["mark"] == spark.range(1).select(F.xxhash64(F.lit("extraordinary"), F.lit("circumstances"))).first()[0]
+
+
+def test_links_are_not_shuffled_to_few_hits(spark):
+    edges = spark.createDataFrame([(e, e // 2) for e in range(2, 500)], "entry long, reference long")
+    hits = spark.createDataFrame([(1, 7), (1, 7), (2, 400)], "question_id long, entry long")
+    known = spark.createDataFrame([(e,) for e in [*range(300), 7, 3]], "entry long")
+    out = retrieval.fk_expand(hits, edges, within=known)
+    assert sorted(map(tuple, out.collect())) == [(1, 3), (1, 7), (1, 14), (1, 15), (2, 200)]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
