@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import ratio
 from ledgerlight.operators import inverted
 from ledgerlight.operators.scale import broadcast_if_small
+from ledgerlight.session import durable
 from ledgerlight.sources.writers import scratch_folder
 
 ALL_TABLES = "*"
@@ -79,12 +80,15 @@ def missing(gold: DataFrame, got: DataFrame) -> DataFrame:
 def miss_causes(gold: DataFrame, got: DataFrame, catalogue: DataFrame, permitted: DataFrame) -> DataFrame:
     """Missing gold entries by cause: not permitted, letter case, or the ranking itself.
 
-    All frames hold ``entry`` as text; gold and got also question_id.
+    All frames hold ``entry`` as text; gold and got also question_id. Of the names only those that
+    are asked for leave the scan, while these are few.
     """
-    known = catalogue.select("entry").distinct().withColumn("_known", F.lit(True))
-    lowered = catalogue.select(F.lower("entry").alias("_low")).distinct().withColumn("_folded", F.lit(True))
-    allowed = permitted.select("entry").distinct().withColumn("_allowed", F.lit(True))
-    rows = missing(gold, got).withColumn("_low", F.lower("entry"))
+    rows = durable(missing(gold, got).withColumn("_low", F.lower("entry")))
+    names = broadcast_if_small(rows.select("entry").distinct())
+    lows = broadcast_if_small(rows.select("_low").distinct())
+    known = catalogue.select("entry").join(names, "entry", "left_semi").distinct().withColumn("_known", F.lit(True))
+    lowered = catalogue.select(F.lower("entry").alias("_low")).join(lows, "_low", "left_semi").distinct().withColumn("_folded", F.lit(True))
+    allowed = permitted.select("entry").join(names, "entry", "left_semi").distinct().withColumn("_allowed", F.lit(True))
     rows = rows.join(known, "entry", "left").join(lowered, "_low", "left").join(allowed, "entry", "left")
     cause = (
         F.when(F.col("_known") & F.col("_allowed").isNull(), "not_permitted")

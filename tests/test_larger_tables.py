@@ -151,3 +151,13 @@ def test_links_are_not_shuffled_to_few_hits(spark):
     out = retrieval.fk_expand(hits, edges, within=known)
     assert sorted(map(tuple, out.collect())) == [(1, 3), (1, 7), (1, 14), (1, 15), (2, 200)]
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_causes_of_few_misses_do_not_shuffle_the_catalogue(spark):
+    names = spark.range(400).select(F.concat(F.lit("doc_"), "id").alias("entry"))
+    gold = spark.createDataFrame([(1, "doc_1"), (1, "DOC_2"), (1, "doc_3"), (2, "doc_9999"), (2, "doc_4"), (2, "doc_5")], "question_id long, entry string")
+    got = spark.createDataFrame([(2, "doc_4")], "question_id long, entry string")
+    out = retrieval.miss_causes(gold, got, names, names.where("entry != 'doc_3'"))
+    assert sorted(map(tuple, out.collect())) == [(1, "DOC_2", "case_mismatch"), (1, "doc_1", "other"), (1, "doc_3", "not_permitted"), (2, "doc_5", "other"), (2, "doc_9999", "other")]
+    # each pass over the names meets the few asked ones before it is grouped
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 3
